@@ -32,3 +32,13 @@ def e1(t: Tables, **kw) -> DataFrame:
 
 def e2(t: Tables, **kw) -> DataFrame:
     return engineer_features(clean_ledger(t), **kw)
+
+
+def categorized_fixed(t: Tables, threshold: float = 0.5) -> DataFrame:
+    """Deterministic prediction fixture + M11 review flag (consumers of M9-M12)."""
+    from kassa.operators.predictions import review_flag
+    return review_flag(t.predictions_fixed(), threshold)
+
+
+# DuckDB twin of categorized_fixed
+CATEGORIZED_SQL = "SELECT *, confidence < 0.5 AS needs_review FROM predictions_fixed"
