@@ -36,21 +36,24 @@ def daily_series(df: DataFrame, col: str | None = "predicted_category") -> DataF
     return daily_spend(series_frame(df, col), ["series_key"])
 
 
-def fit_moving_average(daily: DataFrame, window: int = WINDOW, min_points: int = MIN_POINTS) -> DataFrame:
+def fit_moving_average(daily: DataFrame, window: int = WINDOW, min_points: int = MIN_POINTS,
+                       keys: list[str] | None = None) -> DataFrame:
     """Per series, mean and population std of the last ``window`` daily
     values (fewer if the series is shorter), last date; only series with at least
-    ``min_points`` daily rows get a model."""
-    w_desc = Window.partitionBy("series_key").orderBy(F.col("ds").desc())
+    ``min_points`` daily rows get a model.  One window + one aggregate for all series."""
+    keys = keys or ["series_key"]
+    w_desc = Window.partitionBy(*keys).orderBy(F.col("ds").desc())
     ranked = daily.withColumn("_rn", F.row_number().over(w_desc))
-    fit = (ranked.groupBy("series_key")
+    recent = F.col("_rn") <= window
+    fit = (ranked.groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("n_days"), F.max("ds").alias("train_ds_max"),
-                F.avg(F.when(F.col("_rn") <= window, F.col("y"))).alias("yhat"),
-                F.stddev_pop(F.when(F.col("_rn") <= window, F.col("y"))).alias("sigma"),
-                F.count_if(F.col("_rn") <= window).alias("window")))
+                F.avg(F.when(recent, F.col("y"))).alias("yhat"),
+                F.stddev_pop(F.when(recent, F.col("y"))).alias("sigma"),
+                F.count_if(recent).alias("window")))
+    extra = [safe_key(F.col("series_key")).alias("safe_key")] if "series_key" in keys else []
     return (fit.where(F.col("n_days") >= min_points)
-            .select("series_key", safe_key(F.col("series_key")).alias("safe_key"),
-                    F.lit(MODEL_TYPE).alias("model_type"), "train_ds_max", F.col("window").cast("int"),
-                    "yhat", "sigma", "n_days"))
+            .select(*keys, *extra, F.lit(MODEL_TYPE).alias("model_type"), "train_ds_max",
+                    F.col("window").cast("int"), "yhat", "sigma", "n_days"))
 
 
 def skipped_series(daily: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
@@ -59,10 +62,11 @@ def skipped_series(daily: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
             .where(F.col("n_days") < min_points))
 
 
-def project(models: DataFrame, days: int = 30, z: float = Z) -> DataFrame:
+def project(models: DataFrame, days: int = 30, z: float = Z, key: str = "series_key",
+            keep: list[str] | None = None) -> DataFrame:
     """Days + 1 dates starting at train_ds_max, constant yhat, +- z sigma."""
     ds = F.explode(F.sequence(F.col("train_ds_max"), F.date_add(F.col("train_ds_max"), days)))
-    return models.select(F.col("series_key").alias("category"), ds.alias("ds"), "yhat",
+    return models.select(*(keep or []), F.col(key).alias("category"), ds.alias("ds"), "yhat",
                          (F.col("yhat") - z * F.col("sigma")).alias("yhat_lower"),
                          (F.col("yhat") + z * F.col("sigma")).alias("yhat_upper"),
                          "train_ds_max")

@@ -37,8 +37,8 @@ def top_k(df: DataFrame, k: int = 3, prefix: str = "prob_") -> DataFrame:
     r = _ranked(df, prefix)
     cols = {}
     for i in range(1, k + 1):
-        cols[f"top_{i}_category"] = F.element_at(r, i).getField("c")
-        cols[f"top_{i}_prob"] = F.element_at(r, i).getField("p")
+        cols[f"top_{i}_category"] = F.try_element_at(r, F.lit(i)).getField("c")
+        cols[f"top_{i}_prob"] = F.try_element_at(r, F.lit(i)).getField("p")
     return df.withColumns(cols)
 
 

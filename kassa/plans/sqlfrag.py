@@ -101,3 +101,30 @@ LEFT JOIN (
          coalesce(sum(amount) FILTER (WHERE amount > 0), 0) AS monthly_income,
          coalesce(sum(amount) FILTER (WHERE amount < 0), 0) AS monthly_expense
   FROM {src} GROUP BY ALL) m USING ({keys}, year_month)"""
+
+
+SAFE_KEY = ("coalesce(nullif(regexp_replace(regexp_replace(regexp_replace({x}, '^" + WS + "+|" + WS + "+$', '', 'g'), "
+            "'[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'category')")
+
+
+def daily_sql(src: str, key: str | None) -> str:
+    k = f"{key} AS series_key, " if key else "'total' AS series_key, "
+    where = f" AND {key} IS NOT NULL" if key else ""
+    return (f"SELECT {k}CAST(date AS DATE) AS ds, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS y "
+            f"FROM {src} WHERE date IS NOT NULL AND amount IS NOT NULL{where} GROUP BY 1, 2")
+
+
+def fit_sql(daily: str, keys: str = "series_key", min_points: int = 30, safe: bool = True) -> str:
+    sk = (SAFE_KEY.format(x="series_key") + " AS safe_key, ") if safe else ""
+    return f"""SELECT {keys}, {sk}'moving_average_v1' AS model_type, max(ds) AS train_ds_max,
+       count(*) FILTER (WHERE rn <= 7) AS window, avg(y) FILTER (WHERE rn <= 7) AS yhat,
+       stddev_pop(y) FILTER (WHERE rn <= 7) AS sigma, count(*) AS n_days
+FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ds DESC) AS rn FROM ({daily}) d0) r
+GROUP BY {keys} HAVING count(*) >= {min_points}"""
+
+
+def project_sql(models: str, days: int = 30, key: str = "series_key", keep: str = "") -> str:
+    return f"""SELECT {keep}{key} AS category, g.ds AS ds, yhat, yhat - 1.96 * sigma AS yhat_lower, yhat + 1.96 * sigma AS yhat_upper,
+       CAST(train_ds_max AS TIMESTAMP) AS train_ds_max
+FROM ({models}) m0, unnest(generate_series(CAST(train_ds_max AS TIMESTAMP),
+     CAST(train_ds_max AS TIMESTAMP) + INTERVAL {days} DAY, INTERVAL 1 DAY)) AS g(ds)"""
