@@ -116,3 +116,23 @@ def chunk_window(keys: list[str]):
 
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HALO, CHUNK)
+
+
+def dense_index(df: DataFrame, order: list, name: str = "_idx") -> DataFrame:
+    """1-based dense position of each row in ``order`` (a global order), without a
+    global window: a range-partitioned sort, then per-partition counts (one row per
+    partition, broadcast) turned into offsets.  The sorted frame is checkpointed to
+    the session's checkpoint folder first, so the partition layout the ids depend on
+    is fixed even if tasks are re-run on other executors.
+    """
+    from kassa.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pid = F.shiftright(F.col("_mid"), 33)
+    counts = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition: this window is bounded by the partition count
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return (s.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
+            .withColumn(name, (F.col("_off") + local + 1).cast("long")).drop("_pid", "_off", "_mid"))
