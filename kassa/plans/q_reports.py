@@ -1 +1,72 @@
-"""Queries."""
+"""Sinks and snapshot source as write -> read round trips."""
+from __future__ import annotations
+
+import datetime as dt
+import time
+
+from pyspark.sql import functions as F
+
+from kassa.operators import forecast as FC
+from kassa.plans.common import CATEGORIZED_SQL, LEDGER_SPEC, categorized_fixed
+from kassa.plans.q_anomaly import SCORED_SQL, SCORED_SPEC, scored
+from kassa.plans.q_clean import PRED_SPEC
+from kassa.plans.q_forecast import CAT_MODELS, cat_models
+from kassa.plans import sqlfrag as S
+from kassa.plans.registry import register
+from kassa.session import scratch_path
+from kassa.sources import sinks
+from kassa.sources.files import latest_snapshot, read_table
+from kassa.sources.testdata import LEDGER_CATEGORIES
+
+
+@register("S3_latest_snapshot", LEDGER_SPEC, "SELECT * FROM ledger WHERE amount < 0")
+def q_s3(t):
+    base = scratch_path(t.spark, "s3_snapshots")
+    sinks.write_table(t.ledger(), f"{base}/categorized_transactions_old", "parquet")
+    time.sleep(1.1)  # the newer export must carry a later modification time
+    sinks.write_table(t.ledger().where(F.col("amount") < 0), f"{base}/categorized_transactions_new", "parquet")
+    return latest_snapshot(t.spark, f"{base}/categorized_transactions_*", fmt="parquet")
+
+
+@register("S7_featured_sink_round_trip", LEDGER_SPEC, "SELECT * FROM ledger")
+def q_s7(t):
+    path = scratch_path(t.spark, "s7_ledger_csv")
+    sinks.write_table(t.ledger(), path, "csv")
+    back = read_table(t.spark, path, "csv")
+    return back.select(F.col("transaction_id").cast("long"), F.col("user_id").cast("long"), "date",
+                       "description", F.col("amount").cast("double"), "category")
+
+
+@register("S8_review_split_sink", PRED_SPEC, f"SELECT * FROM ({CATEGORIZED_SQL}) p WHERE needs_review")
+def q_s8(t):
+    base = scratch_path(t.spark, "s8")
+    wrote = sinks.write_with_review(categorized_fixed(t), f"{base}/all", f"{base}/review")
+    assert wrote
+    return t.spark.read.parquet(f"{base}/review")
+
+
+@register("S9_export_review_only", LEDGER_SPEC + ", predicted_category string, confidence double, needs_review boolean",
+          f"SELECT * EXCLUDE ({', '.join(chr(34) + 'prob_' + c + chr(34) for c in LEDGER_CATEGORIES)}) "
+          f"FROM ({CATEGORIZED_SQL}) p WHERE needs_review")
+def q_s9(t):
+    prefix = scratch_path(t.spark, "s9/categorized_transactions")
+    path = sinks.export(categorized_fixed(t), prefix, review_only=True, fmt="parquet",
+                        now=dt.datetime(2024, 1, 2, 3, 4, 5))
+    assert path.endswith("_20240102_030405")
+    return t.spark.read.parquet(path)
+
+
+@register("S10_anomaly_sink", SCORED_SPEC, f"SELECT * FROM ({SCORED_SQL}) s WHERE is_anomaly")
+def q_s10(t):
+    path = scratch_path(t.spark, "s10_anomalies")
+    sinks.write_anomalies(scored(t).select("row_id", "reconstruction_error", "threshold", "is_anomaly",
+                                           "anomaly_label"), path)
+    return t.spark.read.parquet(f"{path}/is_anomaly=true").withColumn("is_anomaly", F.lit(True))
+
+
+@register("S11_forecast_sink_per_category", "category string, ds date, yhat double, yhat_lower double, yhat_upper double",
+          S.project_sql(CAT_MODELS, 30))
+def q_s11(t):
+    path = scratch_path(t.spark, "s11_forecasts")
+    sinks.write_forecasts(FC.project(cat_models(t), 30).drop("train_ds_max"), path)
+    return t.spark.read.parquet(path)
