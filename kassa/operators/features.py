@@ -94,7 +94,9 @@ def monthly_stats(df: DataFrame, keys: list[str], mode: str = "training") -> Dat
 def category_stats(df: DataFrame, col: str = "category") -> DataFrame:
     """G1: mean, sample std, count of amount_abs per category."""
     x = F.abs(F.col("amount"))
-    return (df.where(F.col(col).isNotNull()).groupBy(col)
+    # no null filter here: it would be pushed below a shared dedupe and stop exchange
+    # reuse; the null group never matches in the left join anyway
+    return (df.groupBy(col)
             .agg(F.avg(x).alias("cat_mean"), F.stddev_samp(x).alias("cat_std"), F.count(x).alias("cat_count")))
 
 

@@ -51,16 +51,19 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
     Call this on a narrow frame: probes carry every column as null.
     """
     keys = list(keys)
-    day = F.to_date(F.col(ts))
-    data = df.withColumns({"_t": F.col(ts), "_kind": F.lit(1), "_w": F.lit(1), "_day": day})
-    u = data
+    # one pass over the input: every row is emitted as itself (kind 1) and, for the
+    # look-back count, once more as a probe (kind 0) carrying only the key columns
+    kinds = F.array(F.lit(1), F.lit(0)) if lookback_days is not None else F.array(F.lit(1))
+    gen = df.withColumn("_kind", F.explode(kinds))
+    is_row = F.col("_kind") == 1
+    t = F.col(ts)
     if lookback_days is not None:
-        shifted = F.col(ts) + F.make_dt_interval(days=F.lit(lookback_days))
-        probes = df.select(
-            *[F.col(f"`{f.name}`") if f.name in keys else F.lit(None).cast(f.dataType).alias(f.name)
-              for f in df.schema.fields],
-            shifted.alias("_t"), F.lit(0).alias("_kind"), F.lit(-1).alias("_w"), F.to_date(shifted).alias("_day"))
-        u = data.unionByName(probes)
+        t = F.when(is_row, t).otherwise(t + F.make_dt_interval(days=F.lit(lookback_days)))
+    u = gen.select(
+        *[F.col(f"`{f.name}`") if f.name in keys else F.when(is_row, F.col(f"`{f.name}`")).alias(f.name)
+          for f in df.schema.fields],
+        t.alias("_t"), "_kind", F.when(is_row, F.lit(1)).otherwise(F.lit(-1)).alias("_w"))
+    u = u.withColumn("_day", F.to_date("_t"))
 
     # probes (kind 0) sort before rows (kind 1) at equal time
     w_day = Window.partitionBy(*keys, "_day").orderBy("_t", "_kind", tiebreak)

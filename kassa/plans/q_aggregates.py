@@ -19,7 +19,7 @@ B = f"WITH b AS ({S.CLEAN_LEDGER})\n"
           "SELECT category, avg(abs(amount)) AS cat_mean, stddev_samp(abs(amount)) AS cat_std, "
           "count(amount) AS cat_count FROM ledger WHERE category IS NOT NULL GROUP BY category")
 def q_g1(t):
-    return FE.category_stats(t.ledger())
+    return FE.category_stats(t.ledger()).where(F.col("category").isNotNull())
 
 
 MONTHLY_SPEC = ("user_id long, year_month string, monthly_total double, monthly_mean double, monthly_std double, "
