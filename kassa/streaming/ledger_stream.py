@@ -47,11 +47,12 @@ def categorize_stream(raw: DataFrame, model=None, threshold: float = 0.5) -> Dat
 def daily_spend_stream(raw: DataFrame, watermark: str = "2 days") -> DataFrame:
     """G7 incrementally: tumbling 1-day windows of expense sums; late rows within the
     watermark update their day, older ones are dropped by the watermark."""
-    feat = stream_row_features(raw)
-    return (feat.withWatermark("date", watermark)
-            .groupBy(F.window("date", "1 day").alias("w"))
+    # event time must be a (session-zone, UTC) TIMESTAMP for the watermark
+    feat = stream_row_features(raw).withColumn("_event", F.col("date").cast("timestamp"))
+    return (feat.withWatermark("_event", watermark)
+            .groupBy(F.window("_event", "1 day").alias("w"))
             .agg(F.sum("spend").alias("y"), F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("ds"), "y", "n"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("ds"), "y", "n"))
 
 
 def start(df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet",
