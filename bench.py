@@ -49,6 +49,7 @@ def main() -> None:
         q.run(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
         times = []
         for _ in range(runs):
+            spark.catalog.clearCache()   # no cached intermediates carried between runs
             t0 = time.perf_counter()
             q.run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - t0)

@@ -14,9 +14,13 @@ WS = r"[ \t\n\r\x0B\f]"
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+#-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
 
 
+WS_CHARS = " \t\n\r\x0b\f"
+
+
 def normalize_text(x: Column) -> Column:
-    """Lower-case and strip leading/trailing whitespace (``trim`` strips spaces only)."""
-    return F.lower(F.regexp_replace(x, f"^{WS}+|{WS}+$", ""))
+    """Lower-case and strip leading/trailing whitespace (``trim`` strips spaces only,
+    ``btrim`` with the whitespace set strips all of them)."""
+    return F.lower(F.btrim(x, F.lit(WS_CHARS)))
 
 
 def word_count(x: Column) -> Column:

@@ -27,11 +27,14 @@ def require_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
     return df
 
 
-def parse_timestamp(x: Column, formats: list[str] | None = None) -> Column:
+def parse_timestamp(x: Column, formats: list[str] | None = None, source_type: T.DataType | None = None) -> Column:
     """string/timestamp -> timestamp_ntz, unparseable -> null.
 
     ``try_cast`` handles ISO layouts; ``formats`` adds more (e.g. ``MM/dd/yyyy``).
+    Values that already are timestamps or dates are cast directly.
     """
+    if isinstance(source_type, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        return x.cast("timestamp_ntz")
     s = x.cast("string")
     cands = [s.try_cast("timestamp_ntz")]
     for fmt in formats or []:
@@ -39,18 +42,21 @@ def parse_timestamp(x: Column, formats: list[str] | None = None) -> Column:
     return F.coalesce(*cands) if len(cands) > 1 else cands[0]
 
 
-def coerce_double(x: Column) -> Column:
+def coerce_double(x: Column, source_type: T.DataType | None = None) -> Column:
     """To double, bad -> null, NaN -> null."""
-    d = x.try_cast("double")
+    d = x.cast("double") if isinstance(source_type, T.NumericType) else x.try_cast("double")
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
 def coerce(df: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
     """C3-C5 on the required columns; other columns pass through unchanged."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    desc = F.col("description")
     return df.withColumns({
-        "date": parse_timestamp(F.col("date"), date_formats),
-        "description": normalize_text(F.col("description").cast("string")),
-        "amount": coerce_double(F.col("amount")),
+        "date": parse_timestamp(F.col("date"), date_formats, types.get("date")),
+        "description": normalize_text(desc if isinstance(types.get("description"), T.StringType)
+                                      else desc.cast("string")),
+        "amount": coerce_double(F.col("amount"), types.get("amount")),
     })
 
 

@@ -12,6 +12,7 @@ joined (AQE turns that join into a broadcast when the measured side is small).
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def rolling_features(df: DataFrame, keys: list[str], value: str, chunk_rows: int
 
 def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "training",
                    categories: list[str] | None = None, feature_set: str = "full",
-                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, persist_input: bool = True) -> DataFrame:
     """E1 (``mode="training"``) / E2 (``mode="serving"``).
 
     Input: cleaned ledger with transaction_id, date, description, amount[, category][, keys].
@@ -134,7 +135,10 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
     keys = ["user_id"] if keys is None else list(keys)
     training = mode == "training"
     has_cat = "category" in df.columns
-    base = df
+    # The input feeds three branches (ordered sequence, monthly and per-category
+    # statistics).  Persisting it makes them share one scan (+ cleaning shuffle);
+    # lost blocks are recomputed from the deterministic lineage.
+    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
 
     # ordered sequence: position, previous timestamp, 7-day count (training) / day rank (serving)
     s = seq.sequence(base, keys, lookback_days=7 if training else None, count_name="transaction_count_7d")

@@ -219,3 +219,10 @@ def q_r4(t):
     models = FC.fit_moving_average(daily, min_points=1, keys=["user_id", "category"])
     fc = FC.project(models, 30, key="category", keep=["user_id"])
     return R.user_forecast_response(fc, 30)
+
+
+@register("M23_seasonal_trend_forecast", FC_SPEC)
+def q_m23(t):
+    from kassa.operators.seasonal import fit_seasonal, forecast_seasonal
+    daily = cat_daily(t)
+    return forecast_seasonal(daily, fit_seasonal(daily), 30)

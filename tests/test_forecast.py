@@ -42,3 +42,23 @@ def test_risk_empty_is_na(spark):
     empty = spark.createDataFrame([], "category string, predicted_spend double")
     r = FC.risk_category(empty).first()
     assert (r.risk_category, r.risk_amount) == ("N/A", 0.0)
+
+
+def test_seasonal_trend_matches_numpy_ridge(spark):
+    import math
+    import numpy as np
+    from kassa.operators.seasonal import fit_seasonal, forecast_seasonal, n_terms
+    base = dt.date(2024, 1, 1)
+    n = 120
+    rng = np.random.default_rng(0)
+    y = [10 + 0.05 * i + 3 * math.sin(2 * math.pi * (base + dt.timedelta(days=i)).toordinal() / 7)
+         + rng.normal(0, 0.1) for i in range(n)]
+    daily = spark.createDataFrame([("s", base + dt.timedelta(days=i), float(v)) for i, v in enumerate(y)],
+                                  "series_key string, ds date, y double")
+    coef = fit_seasonal(daily, ridge=1e-6)
+    fc = forecast_seasonal(daily, coef, days=10).orderBy("ds").toPandas()
+    assert len(fc) == n + 10
+    assert (fc.yhat_lower <= fc.yhat).all() and (fc.yhat <= fc.yhat_upper).all()
+    resid = np.array(y) - fc.yhat.values[:n]
+    assert np.sqrt(np.mean(resid ** 2)) < 0.2          # recovers trend + weekly shape
+    assert coef.first().beta.__len__() == n_terms()
