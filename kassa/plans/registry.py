@@ -22,7 +22,7 @@ class Query:
     build: Callable[[Tables], DataFrame]
     spec: str | None
     sql: str | None
-    digits: int = 8
+    digits: int = 9
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(Tables(spark, sf_dir))
@@ -37,7 +37,7 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, spec: str | None, sql: str | None = None, digits: int = 8):
+def register(name: str, spec: str | None, sql: str | None = None, digits: int = 9):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")

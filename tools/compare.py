@@ -22,7 +22,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else v
     if hasattr(v, "to_pydatetime"):
         v = v.to_pydatetime()
     if isinstance(v, dt.datetime):
@@ -77,12 +77,13 @@ def main():
             continue
         rs, rd = rows_of(sp), rows_of(dp)
         if rs == rd:
-            print(f"ok {name}: {len(rs)} rows ({ts:.1f}s)")
+            print(f"ok {name}: {len(rs)} rows ({ts:.1f}s)", flush=True)
         else:
             bad += 1
-            diff_s = [r for r in rs if r not in set(rd)][:3]
-            diff_d = [r for r in rd if r not in set(rs)][:3]
-            print(f"MISMATCH {name}: spark {len(rs)} duck {len(rd)}\n  spark-only {diff_s}\n  duck-only {diff_d}")
+            sd, ss = set(rd), set(rs)
+            diff_s = [r for r in rs if r not in sd][:3]
+            diff_d = [r for r in rd if r not in ss][:3]
+            print(f"MISMATCH {name}: spark {len(rs)} duck {len(rd)}\n  spark-only {diff_s}\n  duck-only {diff_d}", flush=True)
     print(f"bad={bad}")
 
 
