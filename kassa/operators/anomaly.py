@@ -156,8 +156,15 @@ def exact_quantile(df: DataFrame, col: str, p: float, buckets: int = 4096, max_b
                 c = stats[k]["c"]
                 if acc + c > r:
                     new_lo, new_hi = float(stats[k]["mn"]), float(stats[k]["mx"])
-                    if (new_lo, new_hi) == (lo, hi):   # cannot narrow further: few distinct values left
-                        return float(band.orderBy("_x").limit(r - below + 1).collect()[-1][0])
+                    if (new_lo, new_hi) == (lo, hi):
+                        # bucket width below float resolution: the band holds a few adjacent
+                        # doubles; step through them by count (one small aggregate each)
+                        while True:
+                            nxt = band.agg(F.count(F.when(F.col("_x") == lo, 1)).alias("c"),
+                                           F.min(F.when(F.col("_x") > lo, F.col("_x"))).alias("nx")).first()
+                            if below + nxt["c"] > r or nxt["nx"] is None:
+                                return lo
+                            below, lo = below + nxt["c"], float(nxt["nx"])
                     lo, hi, below, cnt = new_lo, new_hi, acc, c
                     break
                 acc += c

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_CHUNK_ROWS = 1 << 20
 
@@ -34,12 +35,25 @@ CHUNK = "_chunk"
 HALO = "_halo"
 
 
-def _keys_eq(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
+def _group_columns(df: DataFrame, keys: list[str]) -> dict[str, Column]:
+    """Null-safe stand-ins for the key columns: a nullable key becomes a non-null value
+    plus an is-null flag.  Windows, the histogram aggregate and the join back all use
+    these with plain equality, so the join keeps the (key, day) hash partitioning the
+    day window already produced (``eqNullSafe`` join keys are ``coalesce`` expressions,
+    which no earlier exchange matches, and would re-shuffle the full row side).
+    """
+    out: dict[str, Column] = {}
+    for i, f in enumerate(df.schema[k] for k in keys):
+        c = F.col(f"`{f.name}`")
+        if not f.nullable:
+            out[f"_g{i}"] = c
+            continue
+        if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType)):
+            out[f"_g{i}"] = F.coalesce(c, F.lit(0).cast(f.dataType))
+        else:
+            out[f"_g{i}"] = F.coalesce(c.cast("string"), F.lit(""))
+        out[f"_g{i}n"] = c.isNull()
+    return out
 
 
 def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "transaction_id",
@@ -51,10 +65,12 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
     Call this on a narrow frame: probes carry every column as null.
     """
     keys = list(keys)
+    gcols = _group_columns(df, keys)
+    g = list(gcols)
     # one pass over the input: every row is emitted as itself (kind 1) and, for the
     # look-back count, once more as a probe (kind 0) carrying only the key columns
     kinds = F.array(F.lit(1), F.lit(0)) if lookback_days is not None else F.array(F.lit(1))
-    gen = df.withColumn("_kind", F.explode(kinds))
+    gen = df.withColumns(gcols).withColumn("_kind", F.explode(kinds))
     is_row = F.col("_kind") == 1
     t = F.col(ts)
     if lookback_days is not None:
@@ -62,11 +78,12 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
     u = gen.select(
         *[F.col(f"`{f.name}`") if f.name in keys else F.when(is_row, F.col(f"`{f.name}`")).alias(f.name)
           for f in df.schema.fields],
+        *[F.col(c) for c in g if c not in df.columns],
         t.alias("_t"), "_kind", F.when(is_row, F.lit(1)).otherwise(F.lit(-1)).alias("_w"))
     u = u.withColumn("_day", F.to_date("_t"))
 
     # probes (kind 0) sort before rows (kind 1) at equal time
-    w_day = Window.partitionBy(*keys, "_day").orderBy("_t", "_kind", tiebreak)
+    w_day = Window.partitionBy(*g, "_day").orderBy("_t", "_kind", tiebreak)
     run = w_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w_day.rowsBetween(Window.unboundedPreceding, -1)
     windowed = u.select(
@@ -76,20 +93,17 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
         F.last(F.when(F.col("_kind") == 1, F.col("_t")), ignorenulls=True).over(before).alias("_in_prev"),
     )
 
-    hist = (u.groupBy(*keys, "_day")
+    hist = (u.groupBy(*g, "_day")
             .agg(F.sum("_kind").alias("_n"), F.sum("_w").alias("_ws"),
                  F.max(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_last")))
-    w_hist = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_day").alias("_h_day"),
+    w_hist = Window.partitionBy(*g).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(*g, "_day",
                        F.coalesce(F.sum("_n").over(w_hist), F.lit(0)).alias("_n_before"),
                        F.coalesce(F.sum("_ws").over(w_hist), F.lit(0)).alias("_w_before"),
                        F.last("_last", ignorenulls=True).over(w_hist).alias("_prev_day_last"))
 
     rows = windowed.filter(F.col("_kind") == 1)
-    cond = rows["_day"] == hist["_h_day"]
-    for k in keys:
-        cond = cond & rows[k].eqNullSafe(hist[f"_h_{k}"])
-    out = rows.join(hist, cond, "inner")
+    out = rows.join(hist, on=[*g, "_day"], how="inner")
     extra = {
         RANK: (F.col("_n_before") + F.col("_in_rank")).cast("long"),
         DAY_RANK: F.col("_in_rank").cast("long"),

@@ -35,6 +35,9 @@ def build_session(master: str | None = None, app: str = "kassa",
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # no Python call-site capture per DataFrame call (it walks the stack and makes
+         # a conf round trip each time; only error messages use it)
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.driver.memory", os.environ.get("KASSA_DRIVER_MEMORY", "8g")))
     for k, v in RUNTIME_DEFAULTS.items():
         b = b.config(k, v)
