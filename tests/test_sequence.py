@@ -84,3 +84,17 @@ def test_first_row_std_zero_and_single_row_month(spark):
     sv = engineer_features(df).orderBy("transaction_id").collect()
     assert sv[0].monthly_std == 0.0
     assert tr[1].monthly_expense == 0.0 and tr[1].income_expense_ratio == 7.0
+
+
+def test_null_key_is_its_own_group(spark):
+    # the null stand-in value equals a real key (0 / ''); the is-null flag keeps them apart
+    rows = [(0, None, "2024-01-01"), (1, 0, "2024-01-02"), (2, None, "2024-01-03"),
+            (3, 0, "2024-01-20"), (4, None, "2024-01-05"), (5, 1, "2024-01-05")]
+    for kt, conv in (("long", lambda u: u), ("string", lambda u: None if u is None else ("" if u == 0 else str(u)))):
+        data = [(i, conv(u), ts(d), f"d{i}", -1.0, "c") for i, u, d in rows]
+        df = spark.createDataFrame(data, f"transaction_id long, user_id {kt}, date timestamp_ntz, "
+                                         "description string, amount double, category string")
+        out = {r.transaction_id: r for r in seq.sequence(df, ["user_id"], lookback_days=7, count_name="n7").collect()}
+        assert [out[i][seq.RANK] for i in range(6)] == [1, 1, 2, 2, 3, 1]
+        assert [out[i].n7 for i in range(6)] == [1, 1, 2, 1, 3, 1]
+        assert out[2][seq.PREV_TS] == ts("2024-01-01") and out[1][seq.PREV_TS] is None
