@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,7 +127,19 @@ def exact_quantile(df: DataFrame, col: str, p: float, buckets: int = 4096, max_b
     collapses to it.
     """
     x = F.col(col)
-    base = df.select(x.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    # The passes below read one double column several times; persisting it keeps each
+    # pass from recomputing the upstream plan and keeps a large scoring expression from
+    # being inlined into every filter and aggregate (generated code past 64 KB falls
+    # back to interpreted evaluation).  Lost blocks are recomputed from the lineage.
+    base = (df.select(x.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        return _exact_quantile(base, p, buckets, max_band)
+    finally:
+        base.unpersist()
+
+
+def _exact_quantile(base: DataFrame, p: float, buckets: int, max_band: int) -> float | None:
     st = base.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     n = st["n"]
     if not n:
