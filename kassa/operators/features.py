@@ -42,6 +42,11 @@ def category_values(df: DataFrame, col: str = "category", limit: int = MAX_ONE_H
     return sorted(vals)
 
 
+def distinct_at_most(df: DataFrame, col: str, n: int) -> bool:
+    """True if ``col`` has at most ``n`` distinct non-null values (one partial-aggregated job)."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct().limit(n + 1).count() <= n
+
+
 def one_hot(df: DataFrame, values: list[str], col: str = "category", prefix: str = "cat_is_") -> DataFrame:
     """Boolean indicator per value (named cat_is_<v>, SURVEY Q16)."""
     return df.withColumns({f"{prefix}{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for v in values})
@@ -157,7 +162,11 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
             values = categories if categories is not None else category_values(base)
             out = one_hot(out, values)
             if feature_set == "full":
-                out = out.join(category_stats(base), on="category", how="left")
+                # one row per category; broadcast only with the size bound checked
+                # (category_values checks it when it reads the labels), else a shuffle join
+                stats = category_stats(base)
+                bounded = categories is None or distinct_at_most(base, "category", MAX_ONE_HOT)
+                out = out.join(F.broadcast(stats) if bounded else stats, on="category", how="left")
     else:
         stats = prefix_stats(base)
         out = (out.withColumn("_prefix", desc_prefix(F.col("description")))
