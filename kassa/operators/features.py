@@ -146,7 +146,11 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
     base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
 
     # ordered sequence: position, previous timestamp, 7-day count (training) / day rank (serving)
-    s = seq.sequence(base, keys, lookback_days=7 if training else None, count_name="transaction_count_7d")
+    # monthly statistics ride on the sequence's per-(key, day) histogram join, so the
+    # rows are not shuffled a second time by (key, year_month)
+    monthly = monthly_stats(base, keys, mode)
+    s = seq.sequence(base, keys, lookback_days=7 if training else None, count_name="transaction_count_7d",
+                     attach=(monthly, {"year_month": year_month(F.col("_day"))}))
     s = s.withColumn("days_since_last",
                      F.coalesce(whole_days_between(F.col("date"), F.col(seq.PREV_TS)), F.lit(0)).cast("double"))
     if not training:
@@ -155,7 +159,7 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
     value = "amount_abs" if training else "amount"
     s = rolling_features(s, keys, value, chunk_rows).drop(seq.RANK, seq.DAY_RANK, seq.PREV_TS)
 
-    out = s.join(monthly_stats(base, keys, mode), on=[*keys, "year_month"], how="left")
+    out = s
 
     if training:
         if has_cat:

@@ -57,12 +57,19 @@ def _group_columns(df: DataFrame, keys: list[str]) -> dict[str, Column]:
 
 
 def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "transaction_id",
-             lookback_days: int | None = None, count_name: str = "count_lookback") -> DataFrame:
+             lookback_days: int | None = None, count_name: str = "count_lookback",
+             attach: tuple[DataFrame, dict[str, Column]] | None = None) -> DataFrame:
     """Add RANK, DAY_RANK, PREV_TS and, if ``lookback_days``, ``count_name``.
 
     ``count_name`` = number of rows j of the key with position <= i and
     ts_j > ts_i - lookback (pandas ``rolling('7D').count()`` on a sorted index).
     Call this on a narrow frame: probes carry every column as null.
+
+    ``attach = (table, derived)``: a table keyed by ``keys`` plus the columns named in
+    ``derived`` (expressions over the day column ``_day``, e.g. its month), left-joined
+    to every row.  It is joined to the per-(key, day) histogram, which the rows join
+    anyway without being shuffled, so attaching costs a join of two small tables
+    instead of a shuffle of all rows.
     """
     keys = list(keys)
     gcols = _group_columns(df, keys)
@@ -93,14 +100,30 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
         F.last(F.when(F.col("_kind") == 1, F.col("_t")), ignorenulls=True).over(before).alias("_in_prev"),
     )
 
-    hist = (u.groupBy(*g, "_day")
+    hk = {f"_hk{i}": F.col(f"`{k}`") for i, k in enumerate(keys)} if attach is not None else {}
+    # the key values ride along (they are functions of the stand-ins) for ``attach``
+    hist = (u.withColumns(hk).groupBy(*g, *hk, "_day")
             .agg(F.sum("_kind").alias("_n"), F.sum("_w").alias("_ws"),
                  F.max(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_last")))
     w_hist = Window.partitionBy(*g).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*g, "_day",
+    hist = hist.select(*g, *hk, "_day",
                        F.coalesce(F.sum("_n").over(w_hist), F.lit(0)).alias("_n_before"),
                        F.coalesce(F.sum("_ws").over(w_hist), F.lit(0)).alias("_w_before"),
                        F.last("_last", ignorenulls=True).over(w_hist).alias("_prev_day_last"))
+    attached: list[str] = []
+    if attach is not None:
+        table, derived = attach
+        attached = [c for c in table.columns if c not in keys and c not in derived]
+        hd = hist.withColumns({f"_hd_{c}": e for c, e in derived.items()})
+        cond = None
+        for i, k in enumerate(keys):
+            e = hd[f"_hk{i}"].eqNullSafe(table[k])
+            cond = e if cond is None else cond & e
+        for c in derived:
+            e = hd[f"_hd_{c}"].eqNullSafe(table[c])
+            cond = e if cond is None else cond & e
+        hist = hd.join(table, cond, "left").select(*[hd[c] for c in hist.columns if c not in hk],
+                                                  *[table[c] for c in attached])
 
     rows = windowed.filter(F.col("_kind") == 1)
     out = rows.join(hist, on=[*g, "_day"], how="inner")
@@ -111,7 +134,7 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
     }
     if lookback_days is not None:
         extra[count_name] = (F.col("_w_before") + F.col("_in_w")).cast("long")
-    return out.withColumns(extra).select(*df.columns, *extra.keys())
+    return out.withColumns(extra).select(*df.columns, *extra.keys(), *attached)
 
 
 def with_halo_chunks(df: DataFrame, halo: int, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
