@@ -98,3 +98,16 @@ def test_null_key_is_its_own_group(spark):
         assert [out[i][seq.RANK] for i in range(6)] == [1, 1, 2, 2, 3, 1]
         assert [out[i].n7 for i in range(6)] == [1, 1, 2, 1, 3, 1]
         assert out[2][seq.PREV_TS] == ts("2024-01-01") and out[1][seq.PREV_TS] is None
+
+
+def test_attach_joins_per_key_month_with_null_keys(spark):
+    rows = [(0, None, "2024-01-01"), (1, 0, "2024-01-02"), (2, None, "2024-02-03"), (3, 0, "2024-01-20")]
+    data = [(i, u, ts(d), f"d{i}", -1.0, "c") for i, u, d in rows]
+    df = spark.createDataFrame(data, "transaction_id long, user_id long, date timestamp_ntz, "
+                                     "description string, amount double, category string")
+    table = spark.createDataFrame([(None, "2024-01", 10.0), (0, "2024-01", 20.0), (None, "2024-02", 30.0)],
+                                  "user_id long, year_month string, v double")
+    out = seq.sequence(df, ["user_id"], attach=(table, {"year_month": F.date_format(F.col("_day"), "yyyy-MM")}))
+    got = {r.transaction_id: r.v for r in out.collect()}
+    assert got == {0: 10.0, 1: 20.0, 2: 30.0, 3: 20.0}
+    assert out.columns[-1] == "v" and "year_month" not in out.columns
