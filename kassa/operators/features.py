@@ -130,7 +130,8 @@ def rolling_features(df: DataFrame, keys: list[str], value: str, chunk_rows: int
 
 def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "training",
                    categories: list[str] | None = None, feature_set: str = "full",
-                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, persist_input: bool = True) -> DataFrame:
+                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, persist_input: bool = True,
+                   monthly: bool = True) -> DataFrame:
     """E1 (``mode="training"``) / E2 (``mode="serving"``).
 
     Input: cleaned ledger with transaction_id, date, description, amount[, category][, keys].
@@ -148,9 +149,10 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
     # ordered sequence: position, previous timestamp, 7-day count (training) / day rank (serving)
     # monthly statistics ride on the sequence's per-(key, day) histogram join, so the
     # rows are not shuffled a second time by (key, year_month)
-    monthly = monthly_stats(base, keys, mode)
+    # (``monthly=False`` leaves them out for consumers that do not read them)
+    attach = (monthly_stats(base, keys, mode), {"year_month": year_month(F.col("_day"))}) if monthly else None
     s = seq.sequence(base, keys, lookback_days=7 if training else None, count_name="transaction_count_7d",
-                     attach=(monthly, {"year_month": year_month(F.col("_day"))}))
+                     attach=attach)
     s = s.withColumn("days_since_last",
                      F.coalesce(whole_days_between(F.col("date"), F.col(seq.PREV_TS)), F.lit(0)).cast("double"))
     if not training:

@@ -47,4 +47,5 @@ FROM ({S.features_training(with_cat=False)}) f GROUP BY year_month, category""")
 def q_flagship(t):
     from kassa.operators.features import build_all_features
     from kassa.plans.common import clean_ledger
-    return monthly_category_spend(build_all_features(clean_ledger(t), categories=[], feature_set="no_label"))
+    return monthly_category_spend(build_all_features(clean_ledger(t), categories=[], feature_set="no_label",
+                                                     monthly=False))
