@@ -5,6 +5,7 @@ their own names first, or carry the caller's row along as one struct column.
 """
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,11 @@ class Scratch:
         out._kassa_path = path
         return out
 
+    def release(self) -> None:
+        """Let go of finished steps' shuffle files: they go once the driver has collected its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete settled tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kassa.llm import chat_format, fingerprints, quality_rules, sql, url_filters
+from kassa.llm import (
+    chat_format, fingerprints, ngram_jaccard, piece_codec, quality_rules, sql, url_filters)
 from kassa.llm.common import Scratch, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,17 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "d.*")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.groups(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encode, digests = piece_codec.encoder(model), piece_codec.digests(model)
+    return documents(spark, sf_dir).select("doc_id", digests(encode("text")).alias("d")).select("doc_id", "d.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(Scratch(spark, "op8"), documents(spark, sf_dir), "text", "source", ["doc_id"])
     return out.select("row.doc_id", "m.*", "base_failed", "kept")
@@ -42,10 +55,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_chat_formatting, op8_quality_rules, op9_url_filters, op10_fingerprints)}
+    op3_chat_formatting, op6_ngram_jaccard, op7_piece_codec, op8_quality_rules, op9_url_filters, op10_fingerprints)}
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": sql.CHAT_FORMATTING,
+    "op6_ngram_jaccard": sql.NGRAM_JACCARD,
     "op8_quality_rules": sql.QUALITY_RULES,
     "op9_url_filters": sql.URL_FILTERS,
 }
