@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kassa.llm.common import Scratch
 from kassa.llm.components import components
@@ -140,16 +141,16 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names[by_name], top["times"].to_numpy(np.int64)[by_name]
 
 
+@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType())]))
+def _measured(texts: pd.Series) -> pd.DataFrame:
+    sets = [token_set(t) for t in texts]
+    return pd.DataFrame({"n": pd.array([len(s) for s in sets], dtype="Int64"),
+                         "node": pd.array([signature(s) if len(s) else None for s in sets], dtype="Int64")})
+
+
 def _sets(rows: DataFrame) -> DataFrame:
     """(id, h, n, node): node is null for empty sets."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def measure(batches):
-        for b in batches:
-            sets = [token_set(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": [len(s) for s in sets],
-                                "node": pd.array([signature(s) if len(s) else None for s in sets], dtype="Int64")})
-    return rows.mapInPandas(measure, f"id {kind}, h long, n long, node long")
+    return rows.select("id", "h", _measured("text").alias("m")).select("id", "h", "m.*")
 
 
 def _prefix_rows(rows: DataFrame, frequent) -> DataFrame:

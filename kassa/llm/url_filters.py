@@ -23,7 +23,6 @@ from kassa.llm.common import Scratch, lower_ascii
 
 #: closes each label of a key
 END = "\x01"
-OUT = "part int, host string, path string, rule string, verdict string"
 
 
 def host_and_path(url):
@@ -80,7 +79,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     """(``key``, host, path, rule, verdict) for every page; ``rules``: host, path, verdict."""
     scratch = Scratch(pages.sparkSession, "url-filters")
     host, path = host_and_path(pages[url])
-    urls = pages.select(pages[key].alias("id"), host.alias("host"), path.alias("path"))
+    # as text: a nullable number would pass through the sweep as a float
+    urls = pages.select(pages[key].cast("string").alias("id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("key", reversed_key(F.col("host")))
     # the path and a hash of the row split a host that holds a large part of all rows
     order = ["key", "path", F.xxhash64("id", "path")]
@@ -103,9 +103,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         rules = rules.select("host", "path", "verdict").limit(0).withColumns({"key": F.lit(""), "part": F.lit(0)})
     columns = ["part", "key", "kind", "id", "host", "path", "verdict"]
     rows = urls.withColumns({"kind": F.lit(1), "verdict": F.lit(None).cast("string")}).select(columns).unionByName(
-        rules.withColumns({"kind": F.lit(0), "id": F.lit(None).cast(urls.schema["id"].dataType)}).select(columns))
-    kind = urls.schema["id"].dataType.simpleString()
+        rules.withColumns({"kind": F.lit(0), "id": F.lit(None).cast("string")}).select(columns))
     judged = (rows.repartition("part").sortWithinPartitions("part", "key", "kind")
               .mapInPandas(lambda batches: sweep(batches, default),
-                           f"part int, id {kind}, host string, path string, rule string, verdict string"))
-    return judged.select(F.col("id").alias(key), "host", "path", "rule", "verdict")
+                           "part int, id string, host string, path string, rule string, verdict string"))
+    return judged.select(F.col("id").cast(pages.schema[key].dataType).alias(key), "host", "path", "rule", "verdict")
