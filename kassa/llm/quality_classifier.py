@@ -15,7 +15,7 @@ a text's hidden layer is the mean of its words' rows.
 
 Defined results: null and empty texts have no words and score as the zero vector; a word is a run of
 letters and digits or of other visible characters, in lower case, and one in capitals only counts as a
-capitals mark too; labels other than 0 and 1 are ignored, several labels of a document are averaged;
+capitals mark too, one equal to the word before it as a repetition mark; labels other than 0 and 1 are ignored, several labels of a document are averaged;
 without both classes among the labels every score is the mean label (0.5 without any).
 """
 from __future__ import annotations
@@ -35,13 +35,14 @@ SAMPLE, VOCABULARY, BUCKETS = 6000, 40_000, 1 << 15
 DIMENSIONS, NONZERO, NEIGHBOURS, HIDDEN, EPOCHS, SEED = 128, 8, 2, 32, 40, 7
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
-CAPITALS = "\x01capitals"
+CAPITALS, AGAIN = "\x01capitals", "\x01again"
 
 
 def words_in(text: str | None) -> list[str]:
     out = _WORD.findall(text) if text else []
     capitals = [CAPITALS for w in out if len(w) > 1 and w.isupper()]
-    return [w.lower() for w in out] + capitals
+    out = [w.lower() for w in out]
+    return out + capitals + [AGAIN for a, b in zip(out, out[1:]) if a == b]
 
 
 def _bucket(word: str) -> int:
