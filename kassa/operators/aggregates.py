@@ -51,11 +51,6 @@ def dashboard_totals(transactions: DataFrame, users: DataFrame) -> DataFrame:
                                 F.sum("_a").alias("total_amount"))
 
 
-def exact_percentile(df: DataFrame, col: str, p: float = 0.95) -> DataFrame:
-    """Linear interpolation (numpy default).  ``approx=True`` variant: percentile_approx."""
-    return df.agg(F.percentile(F.col(col), F.lit(p)).alias("threshold"))
-
-
 def flag_counts(df: DataFrame, flag: str = "is_anomaly") -> DataFrame:
     """Flagged, total, percent."""
     n = F.count(F.lit(1))

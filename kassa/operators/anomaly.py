@@ -2,9 +2,8 @@
 
 Model parameters are small and bounded by the number of features (d means and stds,
 a d x d reconstruction map, or a few thousand network weights), so they live on the
-driver as numbers and enter the plan as literals or a broadcast: scoring is a
-narrow, codegen'd projection (linear maps) or one Arrow-batched ``mapInPandas``
-(the nonlinear autoencoder).  The 95th-percentile threshold is exact and
+driver as numbers and travel with the task: scoring is one Arrow-batched matrix
+product (linear maps) or ``mapInPandas`` (the nonlinear autoencoder), no shuffle.  The 95th-percentile threshold is exact and
 distributed (``exact_quantile``).
 """
 from __future__ import annotations
@@ -12,6 +11,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,17 +67,9 @@ class LinearDecoder:
     matrix: list[list[float]]
     bias: list[float] = field(default_factory=list)
 
-    def reconstruct(self, cols: list[str]) -> list[Column]:
-        d = len(cols)
-        b = self.bias or [0.0] * d
-        out = []
-        for j in range(d):
-            terms = [F.col(cols[i]) * F.lit(float(self.matrix[i][j])) for i in range(d) if self.matrix[i][j] != 0.0]
-            e = terms[0] if terms else F.lit(0.0)
-            for t in terms[1:]:
-                e = e + t
-            out.append(e + F.lit(float(b[j])) if b[j] else e)
-        return out
+    def reconstruct(self, x: np.ndarray) -> np.ndarray:
+        out = x @ np.array(self.matrix, float)
+        return out + np.array(self.bias, float) if self.bias else out
 
 
 def neighbour_decoder(d: int) -> LinearDecoder:
@@ -98,93 +91,101 @@ def fit_pca_decoder(df: DataFrame, scaled_cols: list[str], k: int | None = None)
     return LinearDecoder((pc @ pc.T).tolist())
 
 
+_SCORED = T.StructType([T.StructField("recon", T.ArrayType(T.DoubleType())), T.StructField("error", T.DoubleType())])
+
+
+def mean_squared(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    return ((x - out) ** 2).mean(axis=1)
+
+
 def score_linear(df: DataFrame, scaler: Scaler, decoder: LinearDecoder) -> DataFrame:
-    """M16 for linear decoders: scaled_i, recon_i, reconstruction_error (mean squared diff)."""
-    s = scale(df, scaler)
-    zc = [f"{c}_scaled" for c in scaler.columns]
-    rec = decoder.reconstruct(zc)
-    s = s.withColumns({f"{c}_recon": r for c, r in zip(scaler.columns, rec)})
-    return with_error(s, scaler.columns)
+    """M16 for linear decoders: scaled_i, recon_i, reconstruction_error (mean squared diff).
 
+    The map is one matrix product per Arrow batch; written out as columns, a wide matrix's
+    expressions outgrow what generated code can hold.  A missing feature makes the error null.
+    """
+    @F.pandas_udf(_SCORED)
+    def run(rows: pd.Series) -> pd.DataFrame:
+        x = np.array(rows.tolist(), dtype=float).reshape(len(rows), len(scaler.columns))
+        out = decoder.reconstruct(x)
+        error = pd.Series(mean_squared(x, out))
+        return pd.DataFrame({"recon": list(out), "error": error.astype(object).where(error.notna(), None)})
 
-def with_error(df: DataFrame, cols: list[str]) -> DataFrame:
-    sq = [F.pow(F.col(f"{c}_scaled") - F.col(f"{c}_recon"), 2) for c in cols]
-    tot = sq[0]
-    for e in sq[1:]:
-        tot = tot + e
-    return df.withColumn("reconstruction_error", tot / F.lit(float(len(cols))))
+    scaled = scaler.columns_scaled()
+    s = df.withColumn("_z", F.array(*scaled.values())).withColumn("_s", run("_z"))
+    cols = {name: F.get("_z", F.lit(i)) for i, name in enumerate(scaled)}
+    cols |= {f"{c}_recon": F.get("_s.recon", F.lit(i)) for i, c in enumerate(scaler.columns)}
+    return s.withColumns(cols | {"reconstruction_error": F.col("_s.error")}).drop("_z", "_s")
 
 
 # ---- G19 exact quantile --------------------------------------------------------------
-def exact_quantile(df: DataFrame, col: str, p: float, buckets: int = 4096, max_band: int = 200_000) -> float | None:
+def exact_quantile(df: DataFrame, col: str, p: float, buckets: int = 4096) -> float | None:
     """Exact linear-interpolation quantile (numpy default) without gathering the column.
 
-    The two order statistics around rank (n-1)p are located by histogram refinement:
-    each pass is one aggregate of ``buckets`` counts over the current value band,
-    narrowing the band to the bucket holding the ranks; when the band holds at most
-    ``max_band`` rows those values are sorted on the driver.  Memory per pass is the
-    bucket array; a heavily repeated value ends the search as soon as the band
-    collapses to it.
+    The order statistic of rank (n-1)p is located by histogram refinement: each pass is one
+    aggregate of ``buckets`` counts over the current band of finite values and narrows the band
+    to the bucket that holds the rank, until it holds one value.  The next order statistic is that
+    value again or the least one above it.  Infinities are counted apart, at either end.
     """
-    x = F.col(col)
-    # The passes below read one double column several times; persisting it keeps each
-    # pass from recomputing the upstream plan and keeps a large scoring expression from
-    # being inlined into every filter and aggregate (generated code past 64 KB falls
-    # back to interpreted evaluation).  Lost blocks are recomputed from the lineage.
-    base = (df.select(x.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    # The passes read one double column several times; persisting it (bounded: one column, released
+    # below) keeps each pass from recomputing the plan above and a large scoring expression from
+    # being inlined into every aggregate.  Lost blocks are recomputed from the lineage.
+    base = (df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        return _exact_quantile(base, p, buckets, max_band)
+        return _exact_quantile(base, p, buckets)
     finally:
         base.unpersist()
 
 
-def _exact_quantile(base: DataFrame, p: float, buckets: int, max_band: int) -> float | None:
-    st = base.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+def _exact_quantile(base: DataFrame, p: float, buckets: int) -> float | None:
+    x, inf = F.col("_x"), float("inf")
+    finite = F.when((x > -inf) & (x < inf), x)
+    st = base.agg(F.count(F.lit(1)).alias("n"), F.count_if(x == -inf).alias("low"), F.count_if(x == inf).alias("high"),
+                  F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
     n = st["n"]
     if not n:
         return None
     h = (n - 1) * p
     r0 = int(math.floor(h))
-    r1 = min(r0 + 1, n - 1)
-    frac = h - r0
-
-    def select_rank(r: int) -> float:
-        lo, hi, below, cnt = float(st["lo"]), float(st["hi"]), 0, n
-        while True:
-            if lo == hi:
-                return lo
-            band = base.where((F.col("_x") >= lo) & (F.col("_x") <= hi))
-            if cnt <= max_band:
-                vals = [row[0] for row in band.orderBy("_x").collect()]
-                return float(vals[r - below])
-            width = (hi - lo) / buckets
-            b = F.least(F.greatest(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(0)),
-                        F.lit(buckets - 1))
-            # bucket index is monotone in x, so each bucket is a contiguous value band
-            stats = {row["b"]: row for row in band.groupBy(b.alias("b"))
-                     .agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("mn"), F.max("_x").alias("mx")).collect()}
-            acc = below
-            for k in sorted(stats):
-                c = stats[k]["c"]
-                if acc + c > r:
-                    new_lo, new_hi = float(stats[k]["mn"]), float(stats[k]["mx"])
-                    if (new_lo, new_hi) == (lo, hi):
-                        # bucket width below float resolution: the band holds a few adjacent
-                        # doubles; step through them by count (one small aggregate each)
-                        while True:
-                            nxt = band.agg(F.count(F.when(F.col("_x") == lo, 1)).alias("c"),
-                                           F.min(F.when(F.col("_x") > lo, F.col("_x"))).alias("nx")).first()
-                            if below + nxt["c"] > r or nxt["nx"] is None:
-                                return lo
-                            below, lo = below + nxt["c"], float(nxt["nx"])
-                    lo, hi, below, cnt = new_lo, new_hi, acc, c
-                    break
-                acc += c
-
-    v0 = select_rank(r0)
-    v1 = v0 if r1 == r0 else select_rank(r1)
-    return v0 + frac * (v1 - v0)
+    v0, up_to = _value_at(base, r0, st, buckets)
+    if h == r0:
+        return v0
+    if r0 + 1 < up_to:
+        v1 = v0
+    else:
+        v1 = base.where(x > v0).agg(F.min(x)).first()[0]
+    return v0 if v0 == v1 else v0 + (h - r0) * (v1 - v0)
+
+
+def _value_at(base: DataFrame, rank: int, st, buckets: int) -> tuple[float, int]:
+    """The value of ``rank`` (from 0) and how many values are not above it."""
+    x = F.col("_x")
+    if rank < st["low"]:
+        return float("-inf"), st["low"]
+    if rank >= st["n"] - st["high"]:
+        return float("inf"), st["n"]
+    lo, hi, below, count = float(st["lo"]), float(st["hi"]), st["low"], st["n"] - st["low"] - st["high"]
+    while lo < hi:
+        width = hi / buckets - lo / buckets   # not (hi - lo) / buckets: the span may exceed a double
+        if width > 0:
+            place = F.floor(x / width - F.lit(lo / width)) if abs(lo / width) < 1e300 else F.lit(0)
+            bucket = F.least(F.greatest(place.cast("long"), F.lit(0)), F.lit(buckets - 1))
+        else:
+            bucket = F.when(x == lo, F.lit(0)).otherwise(F.lit(1))
+        # a bucket is a contiguous band of values, as its index never falls with x
+        stats = sorted((r["b"], r["c"], r["mn"], r["mx"]) for r in base.where((x >= lo) & (x <= hi))
+                       .groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("mn"), F.max(x).alias("mx"))
+                       .collect())
+        if len(stats) == 1:   # neighbouring doubles: take the least apart from the others
+            least = base.agg(F.count_if(x == lo).alias("c"), F.min(F.when(x > lo, x)).alias("nx")).first()
+            stats = [(0, least["c"], lo, lo), (1, count - least["c"], least["nx"], hi)]
+        for _, c, mn, mx in stats:
+            if below + c > rank:
+                lo, hi, count = float(mn), float(mx), c
+                break
+            below += c
+    return lo, below + count
 
 
 # ---- M17, G22, T1, M18 -----------------------------------------------------------------

@@ -1,14 +1,13 @@
 """The reference's dense autoencoder (d-32-16-k-16-32-d, ReLU, linear output, MSE,
-Adam) trained data-parallel on Spark.
-
-Each epoch is one job: the current weights (a few thousand numbers) ship with the
-task closure, every partition runs a vectorised numpy forward/backward pass over its
-Arrow batches and emits its gradient and loss *sums* in long form (one row per
-parameter), Spark sums them per parameter (partial aggregation, then one row per
-parameter), and the driver applies an Adam step.  That is full-batch training (the
-reference uses mini-batches), so results are compared on quality, not weights.
-Validation = rows above the 80th percentile of the key (the reference holds out the
-last 20%); early stopping with patience keeps the best weights.
+Adam, mini-batches of 64, learning rate 0.001) trained data-parallel on Spark.
+
+Each epoch is one job: the current weights and Adam moments (a few thousand numbers) ship
+with the task closure, every partition makes mini-batch steps over its own rows, and the
+partitions' weights and moments are averaged by their row counts (periodic averaging).
+Partitions return one array each; arrays are summed in two levels, so the driver sees at
+most ``FAN_IN`` of them.  Averaging differs from one sequential pass, so results are compared
+on quality, not weights.  Validation = rows above the 80th percentile of the key (the
+reference holds out the last 20%); early stopping with patience keeps the best weights.
 """
 from __future__ import annotations
 
@@ -19,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kassa.operators.anomaly import Scaler, exact_quantile, with_error
+from kassa.operators.anomaly import Scaler, exact_quantile, mean_squared
 
 
 def layer_sizes(d: int, k: int | None = None) -> list[int]:
@@ -86,66 +85,82 @@ class AutoencoderModel:
         return unflatten(self.weights, self.sizes)
 
 
-def _epoch_job(scaled: DataFrame, zcols: list[str], params_vec: np.ndarray, sizes: list[int]) -> np.ndarray:
-    n_par = params_vec.size
+#: arrays that reach the driver, and partitions of the training table per core
+FAN_IN, PER_CORE = 64, 4
+BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-7
+
+
+def _epoch_job(scaled: DataFrame, zcols: list[str], state: np.ndarray, step: float, sizes: list[int], lr: float,
+               batch_rows: int, seed: int) -> np.ndarray:
+    """Row-weighted sums of [weights, moments, train sse, train rows, validation sse, validation rows, steps]."""
+    n_par = len(state) // 3
 
     def part(batches):
-        params = unflatten(params_vec, sizes)
-        tot = np.zeros(n_par)
+        w, m, v = (x.copy() for x in np.split(state, 3))
+        start, t = unflatten(state[:n_par], sizes), step
+        draw = np.random.default_rng(seed)
         tr_sse = va_sse = 0.0
         tr_n = va_n = 0
         for pdf in batches:
-            x = pdf[zcols].to_numpy(dtype=float)
             val = pdf["_val"].to_numpy(dtype=bool)
-            if (~val).any():
-                s, g = grad_sums(x[~val], params)
-                tot += np.concatenate([a.ravel() for a in g])
-                tr_sse += s; tr_n += int((~val).sum())
-            if val.any():
-                out, _ = forward(x[val], params)
-                va_sse += float(np.sum((out - x[val]) ** 2)); va_n += int(val.sum())
-        idx = np.concatenate([np.arange(n_par), [-1, -2, -3, -4]])
-        vals = np.concatenate([tot, [tr_sse, tr_n, va_sse, va_n]])
-        yield pd.DataFrame({"idx": idx.astype("int64"), "v": vals})
-
-    rows = (scaled.mapInPandas(part, "idx long, v double").groupBy("idx").agg(F.sum("v").alias("v")).collect())
-    out = np.zeros(n_par + 4)
-    for r in rows:
-        out[r["idx"] if r["idx"] >= 0 else n_par + (-r["idx"] - 1)] = r["v"]
-    return out
+            held, x = pdf.loc[val, zcols].to_numpy(dtype=float), pdf.loc[~val, zcols].to_numpy(dtype=float)
+            if len(held):
+                out, _ = forward(held, start)
+                va_sse += float(np.sum((out - held) ** 2)); va_n += len(held)
+            x = x[draw.permutation(len(x))]
+            for at in range(0, len(x), batch_rows):
+                rows = x[at: at + batch_rows]
+                sse, grads = grad_sums(rows, unflatten(w, sizes))
+                g = flatten(grads) / rows.size
+                t += 1
+                m = BETA1 * m + (1 - BETA1) * g
+                v = BETA2 * v + (1 - BETA2) * g * g
+                w = w - lr * (m / (1 - BETA1 ** t)) / (np.sqrt(v / (1 - BETA2 ** t)) + EPSILON)
+                tr_sse += sse; tr_n += len(rows)
+        yield pd.DataFrame({"v": [np.concatenate([tr_n * np.concatenate([w, m, v]), [tr_sse, tr_n, va_sse, va_n, tr_n * t]])]})
+
+    def add(batches):
+        total = np.zeros(3 * n_par + 5)
+        for pdf in batches:
+            for v in pdf["v"]:
+                total += v
+        yield pd.DataFrame({"v": [total]})
+
+    kind = "v array<double>"
+    sums = scaled.mapInPandas(part, kind).repartition(FAN_IN).mapInPandas(add, kind)
+    return np.sum([np.array(r["v"]) for r in sums.collect()], axis=0)
 
 
 def fit_autoencoder(df: DataFrame, scaler: Scaler, key: str = "row_id", k: int | None = None, epochs: int = 50,
-                    lr: float = 0.01, patience: int = 10, validation: float = 0.2, seed: int = 42) -> AutoencoderModel:
+                    lr: float = 0.001, batch_rows: int = 64, patience: int = 10, validation: float = 0.2,
+                    seed: int = 42) -> AutoencoderModel:
     cols = scaler.columns
     d = len(cols)
     sizes = layer_sizes(d, k)
     cut = exact_quantile(df, key, 1.0 - validation)
     zc = [f"{c}_scaled" for c in cols]
-    scaled = (df.withColumns(scaler.columns_scaled()).select(*zc, (F.col(key) > F.lit(cut)).alias("_val"))
-              .persist())
+    scaled = df.withColumns(scaler.columns_scaled()).select(*zc, (F.col(key) > F.lit(cut)).alias("_val"))
+    scaled = scaled.coalesce(PER_CORE * df.sparkSession.sparkContext.defaultParallelism).persist()
     w = flatten(init_params(sizes, seed))
-    m = np.zeros_like(w); v = np.zeros_like(w)
-    b1, b2, eps = 0.9, 0.999, 1e-7
+    state, step = np.concatenate([w, np.zeros_like(w), np.zeros_like(w)]), 0.0
     best, best_w, wait, history = np.inf, w.copy(), 0, []
     try:
         for ep in range(1, epochs + 1):
-            acc = _epoch_job(scaled, zc, w, sizes)
-            n_par = w.size
-            tr_sse, tr_n, va_sse, va_n = acc[n_par:]
-            g = acc[:n_par] / max(tr_n * d, 1)
-            tr_loss = tr_sse / max(tr_n * d, 1)
-            va_loss = va_sse / max(va_n * d, 1) if va_n else tr_loss
+            before = state[: w.size]
+            acc = _epoch_job(scaled, zc, state, step, sizes, lr, batch_rows, seed + ep)
+            tr_sse, tr_n, va_sse, va_n, steps = acc[3 * w.size:]
+            if not tr_n:
+                break
+            state, step = acc[: 3 * w.size] / tr_n, steps / tr_n
+            tr_loss = tr_sse / (tr_n * d)
+            va_loss = va_sse / (va_n * d) if va_n else tr_loss   # of the weights the epoch began with
             history.append((ep, float(tr_loss), float(va_loss)))
             if va_loss < best - 1e-12:
-                best, best_w, wait = va_loss, w.copy(), 0
+                best, best_w, wait = va_loss, before.copy(), 0
             else:
                 wait += 1
                 if wait >= patience:
                     break
-            m = b1 * m + (1 - b1) * g
-            v = b2 * v + (1 - b2) * g * g
-            w = w - lr * (m / (1 - b1 ** ep)) / (np.sqrt(v / (1 - b2 ** ep)) + eps)
     finally:
         scaled.unpersist()
     return AutoencoderModel(scaler, sizes, best_w, history)
@@ -162,11 +177,12 @@ def score(model: AutoencoderModel, df: DataFrame, key: str = "row_id") -> DataFr
         params = unflatten(wv, sizes)
         for pdf in batches:
             out, _ = forward(pdf[zc].to_numpy(dtype=float), params)
-            for j, c in enumerate(cols):
-                pdf[f"{c}_recon"] = out[:, j]
-            yield pdf
+            error = mean_squared(pdf[zc].to_numpy(dtype=float), out)
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=[f"{c}_recon" for c in cols]),
+                             pd.DataFrame({"reconstruction_error": error})], axis=1)
 
     schema = scaled.schema
     from pyspark.sql.types import DoubleType, StructField, StructType
-    schema = StructType(schema.fields + [StructField(f"{c}_recon", DoubleType()) for c in cols])
-    return with_error(scaled.mapInPandas(run, schema), cols)
+    schema = StructType(schema.fields + [StructField(c, DoubleType()) for c in
+                                         [*(f"{c}_recon" for c in cols), "reconstruction_error"]])
+    return scaled.mapInPandas(run, schema)

@@ -7,8 +7,16 @@ from pyspark.sql import types as T
 
 from kassa.functions.text import normalize_text
 
+# The columns every ledger must have.
 REQUIRED_COLUMNS = ["date", "description", "amount"]
 
+# Layouts tried after ISO, in this order.  Day-first layouts are ambiguous with these and
+# have to be asked for.
+DATE_FORMATS = ["MM/dd/yyyy", "M/d/yyyy", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy"]
+
+# A plain decimal number.  Java's own literals ("1d", "0x1p3"), infinities and NaN are not amounts.
+DECIMAL = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+
 # Tokens a CSV reader should treat as missing (pandas' default NA set).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -19,33 +27,63 @@ def normalize_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
+def schema_faults(schema: T.StructType, required=REQUIRED_COLUMNS) -> list[tuple[str, str]]:
+    """(column, fault) for every required column that is absent, repeated or not a plain value."""
+    out = []
+    for name in required:
+        found = [f.dataType for f in schema.fields if f.name == name]
+        if len(found) != 1:
+            out.append((name, "absent" if not found else f"occurs {len(found)} times"))
+        elif isinstance(found[0], (T.ArrayType, T.MapType, T.StructType)):
+            out.append((name, f"is a {found[0].typeName()}"))
+    return out
+
+
+def column_report(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
+    """C2 as rows: column, fault (null when the column is fine)."""
+    faults = dict(schema_faults(df.schema, required))
+    return df.sparkSession.createDataFrame([(c, faults.get(c)) for c in required], "column string, fault string")
+
+
 def require_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
-    """Raise ValueError listing missing columns (plan-time check, no job)."""
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+    """The frame itself, or a ValueError that names every fault at once (no job)."""
+    faults = schema_faults(df.schema, required)
+    if faults:
+        raise ValueError("unusable ledger: " + "; ".join(f"column {c!r} {why}" for c, why in faults))
     return df
 
 
 def parse_timestamp(x: Column, formats: list[str] | None = None, source_type: T.DataType | None = None) -> Column:
     """string/timestamp -> timestamp_ntz, unparseable -> null.
 
-    ``try_cast`` handles ISO layouts; ``formats`` adds more (e.g. ``MM/dd/yyyy``).
+    ISO layouts first, then ``formats`` in order (``DATE_FORMATS`` by default).
     Values that already are timestamps or dates are cast directly.
     """
     if isinstance(source_type, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return x.cast("timestamp_ntz")
     s = x.cast("string")
     cands = [s.try_cast("timestamp_ntz")]
-    for fmt in formats or []:
-        cands.append(F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"))
-    return F.coalesce(*cands) if len(cands) > 1 else cands[0]
+    trimmed = F.btrim(s)
+    for fmt in DATE_FORMATS if formats is None else formats:
+        cands.append(F.try_to_timestamp(trimmed, F.lit(fmt)).cast("timestamp_ntz"))
+    return F.coalesce(*cands)
 
 
 def coerce_double(x: Column, source_type: T.DataType | None = None) -> Column:
-    """To double, bad -> null, NaN -> null."""
-    d = x.cast("double") if isinstance(source_type, T.NumericType) else x.try_cast("double")
-    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+    """To double; text must be a plain decimal.  NaN and infinities become null, since one of
+    them would turn every sum it enters into itself."""
+    if isinstance(source_type, T.NumericType):
+        d = x.cast("double")
+    else:
+        d = F.when(x.cast("string").rlike(DECIMAL), F.btrim(x.cast("string")).try_cast("double"))
+    return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None).cast("double")).otherwise(d)
+
+
+def dropped_counts(df: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
+    """Why cleaning drops rows: how many have no readable date, description or amount."""
+    c = coerce(require_columns(normalize_column_names(df)), date_formats)
+    return c.agg(F.count(F.lit(1)).alias("n_rows"),
+                 *[F.count_if(F.col(x).isNull()).alias(f"bad_{x}") for x in REQUIRED_COLUMNS])
 
 
 def coerce(df: DataFrame, date_formats: list[str] | None = None) -> DataFrame:

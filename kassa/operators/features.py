@@ -12,7 +12,6 @@ joined (AQE turns that join into a broadcast when the measured side is small).
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from kassa.functions.amounts import amount_columns
 from kassa.functions.calendar import calendar_columns, whole_days_between, year_month
 from kassa.functions.text import desc_prefix, word_count
 from kassa.operators import sequence as seq
+from kassa.session import materialise
 
 # The 33 numeric model inputs, in model order.
 FEATURE_COLUMNS = [
@@ -31,6 +31,7 @@ FEATURE_COLUMNS = [
     "monthly_income", "monthly_expense", "income_expense_ratio",
 ]
 LABEL_DERIVED = ["cat_mean", "cat_std", "cat_count"]
+# Most labels that become one-hot columns: a schema of more is not a label column's.
 MAX_ONE_HOT = 1000
 
 
@@ -42,11 +43,6 @@ def category_values(df: DataFrame, col: str = "category", limit: int = MAX_ONE_H
     return sorted(vals)
 
 
-def distinct_at_most(df: DataFrame, col: str, n: int) -> bool:
-    """True if ``col`` has at most ``n`` distinct non-null values (one partial-aggregated job)."""
-    return df.select(col).where(F.col(col).isNotNull()).distinct().limit(n + 1).count() <= n
-
-
 def one_hot(df: DataFrame, values: list[str], col: str = "category", prefix: str = "cat_is_") -> DataFrame:
     """Boolean indicator per value (named cat_is_<v>, SURVEY Q16)."""
     return df.withColumns({f"{prefix}{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for v in values})
@@ -130,7 +126,7 @@ def rolling_features(df: DataFrame, keys: list[str], value: str, chunk_rows: int
 
 def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "training",
                    categories: list[str] | None = None, feature_set: str = "full",
-                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, persist_input: bool = True,
+                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, materialise_input: bool = True,
                    monthly: bool = True) -> DataFrame:
     """E1 (``mode="training"``) / E2 (``mode="serving"``).
 
@@ -142,9 +138,9 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
     training = mode == "training"
     has_cat = "category" in df.columns
     # The input feeds three branches (ordered sequence, monthly and per-category
-    # statistics).  Persisting it makes them share one scan (+ cleaning shuffle);
-    # lost blocks are recomputed from the deterministic lineage.
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
+    # statistics).  Written once, they share one scan and cleaning shuffle, and nothing
+    # stays in executor memory afterwards.
+    base = materialise(df, "features_input") if materialise_input else df
 
     # ordered sequence: position, previous timestamp, 7-day count (training) / day rank (serving)
     # monthly statistics ride on the sequence's per-(key, day) histogram join, so the
@@ -168,13 +164,11 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
             values = categories if categories is not None else category_values(base)
             out = one_hot(out, values)
             if feature_set == "full":
-                # one row per category; broadcast only with the size bound checked
-                # (category_values checks it when it reads the labels), else a shuffle join
-                stats = category_stats(base)
-                bounded = categories is None or distinct_at_most(base, "category", MAX_ONE_HOT)
-                out = out.join(F.broadcast(stats) if bounded else stats, on="category", how="left")
+                # written first: the planner sees the true size of one row per category
+                # and leaves the ledger where it is whenever that is small
+                out = out.join(materialise(category_stats(base), "category_stats"), on="category", how="left")
     else:
-        stats = prefix_stats(base)
+        stats = materialise(prefix_stats(base), "prefix_stats")
         out = (out.withColumn("_prefix", desc_prefix(F.col("description")))
                .join(stats, on="_prefix", how="left").drop("_prefix")
                .fillna(0, subset=LABEL_DERIVED))

@@ -60,8 +60,9 @@ def drop_prefix(df: DataFrame, prefix: str = "prob_") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])
 
 
-DISPLAY_COLUMNS = ["transaction_id", "date", "description", "amount", "category", "predicted_category",
-                   "confidence", "needs_review"]
+# The columns a listing shows, where a ledger has them.
+DISPLAY_COLUMNS = ["transaction_id", "date", "merchant", "description", "account", "amount", "category",
+                   "predicted_category", "confidence", "needs_review"]
 
 
 def display_projection(df: DataFrame, wanted=DISPLAY_COLUMNS) -> DataFrame:

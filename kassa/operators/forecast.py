@@ -36,6 +36,14 @@ def daily_series(df: DataFrame, col: str | None = "predicted_category") -> DataF
     return daily_spend(series_frame(df, col), ["series_key"])
 
 
+def fit_total(daily: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """The model of the one total series; too short a history is an error, not an empty table."""
+    n = daily.count()
+    if n < min_points:
+        raise ValueError(f"the total series has {n} days, {min_points} are needed")
+    return fit_moving_average(daily, min_points=min_points)
+
+
 def fit_moving_average(daily: DataFrame, window: int = WINDOW, min_points: int = MIN_POINTS,
                        keys: list[str] | None = None) -> DataFrame:
     """Per series, mean and population std of the last ``window`` daily

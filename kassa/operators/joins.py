@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from kassa.functions.text import desc_prefix
 from kassa.operators.features import prefix_stats
+from kassa.session import materialise
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, on: list[str]) -> DataFrame:
-    """Left equi join of per-group statistics."""
-    return df.join(stats, on=on, how="left")
+    """Left equi join of per-group statistics.
+
+    The statistics are written first, so a small table is broadcast by its true size and the
+    large side is not shuffled by a key of few values."""
+    return df.join(materialise(stats, "stats"), on=on, how="left")
 
 
 def attach_prefix_stats(df: DataFrame) -> DataFrame:
     """Stats by 10-char description prefix, missing -> 0."""
-    stats = prefix_stats(df)
+    stats = materialise(prefix_stats(df), "prefix_stats")
     return (df.withColumn("_prefix", desc_prefix(F.col("description"))).join(stats, "_prefix", "left")
             .drop("_prefix").fillna(0, subset=["cat_mean", "cat_std", "cat_count"]))
 

@@ -1,5 +1,6 @@
 """Table maintenance (U1-U5): the reference's REST calls re-aimed as batch jobs that
-apply a change batch to a table and return (new table, rejects).
+apply a change batch to a table and return (new table, rejects).  U2 and U5 come in two halves, so
+asking for the rejects alone sorts and numbers nothing.
 
 Per-id "latest change wins" uses ``max_by`` aggregates (map-side combined), not a
 window per id, so an id with many changes is not one task; new ids come from
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kassa.functions.text import is_valid_email
+from kassa.operators.joins import new_emails
 from kassa.operators.sequence import dense_index
 
 TX_COLUMNS = ["transaction_id", "user_id", "date", "description", "amount", "category"]
@@ -32,20 +34,20 @@ def get_transaction(table: DataFrame, ident) -> DataFrame:
     return table.filter(F.col("transaction_id") == F.lit(ident))
 
 
-def append(table: DataFrame, batch: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Batch (seq, user_id, date, description, amount, category).
-
-    Missing date -> current time (UTC); owner must exist (J6); accepted rows get ids
-    max(id) + 1, 2, ... in ``seq`` order.  Returns (new table, rejected batch rows).
-    """
+def split_by_owner(batch: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """U2, first half: (rows whose owner exists, rejected rows).  Missing date -> current time (UTC)."""
     b = batch.withColumn("date", F.coalesce(F.col("date"), F.localtimestamp()))
     ids = users.select(F.col("id").alias("user_id"))
-    ok = b.join(ids, "user_id", "left_semi")
-    rejected = b.join(ids, "user_id", "left_anti")
+    return b.join(ids, "user_id", "left_semi"), b.join(ids, "user_id", "left_anti")
+
+
+def append(table: DataFrame, accepted: DataFrame) -> DataFrame:
+    """U2, second half: accepted rows (seq, user_id, date, description, amount, category) get ids
+    max(id) + 1, 2, ... in ``seq`` order."""
     top = _max_id(table, "transaction_id")
-    numbered = dense_index(ok, ["seq"], "_pos")
+    numbered = dense_index(accepted, ["seq"], "_pos")
     new = numbered.withColumn("transaction_id", F.lit(top) + F.col("_pos")).select(*TX_COLUMNS)
-    return table.select(*TX_COLUMNS).unionByName(new), rejected
+    return table.select(*TX_COLUMNS).unionByName(new)
 
 
 def latest_per_id(batch: DataFrame, key: str = "transaction_id", seq: str = "seq",
@@ -83,18 +85,20 @@ def apply_deletes(table: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
             ids.join(table.select("transaction_id"), "transaction_id", "left_anti"))
 
 
-def register_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Batch (seq, email): valid e-mail, not registered, first in batch wins.
+def split_candidates(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """U5, first half: batch (seq, email) -> (acceptable rows, rejected rows with a reason).
 
-    Returns (accepted rows with new ids, rejected rows with a reason)."""
+    Valid e-mail, not registered (J5), first in batch wins."""
     first = (batch.groupBy("email").agg(F.min("seq").alias("seq")))
     dup = batch.join(first, ["email", "seq"], "left_anti").withColumn("reason", F.lit("duplicate in batch"))
     cand = batch.join(first, ["email", "seq"], "left_semi")
     invalid = cand.filter(~is_valid_email(F.col("email"))).withColumn("reason", F.lit("invalid email"))
     valid = cand.filter(is_valid_email(F.col("email")))
     taken = valid.join(users.select("email"), "email", "left_semi").withColumn("reason", F.lit("already registered"))
-    ok = valid.join(users.select("email"), "email", "left_anti")
+    return new_emails(valid, users), dup.unionByName(invalid).unionByName(taken).select("seq", "email", "reason")
+
+
+def register_users(users: DataFrame, acceptable: DataFrame) -> DataFrame:
+    """U5, second half: acceptable rows with new ids in ``seq`` order."""
     top = _max_id(users, "id")
-    accepted = dense_index(ok, ["seq"], "_pos").select((F.lit(top) + F.col("_pos")).alias("id"), "email", "seq")
-    rejected = dup.unionByName(invalid).unionByName(taken).select("seq", "email", "reason")
-    return accepted, rejected
+    return dense_index(acceptable, ["seq"], "_pos").select((F.lit(top) + F.col("_pos")).alias("id"), "email", "seq")

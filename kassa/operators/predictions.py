@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kassa.operators.anomaly import exact_quantile
+from kassa.session import materialise
+
 
 def prob_columns(df: DataFrame, prefix: str = "prob_") -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
@@ -55,45 +58,57 @@ def accuracy(df: DataFrame, label: str = "category", pred: str = "predicted_cate
                   F.count(F.lit(1)).alias("n"))
 
 
-def confusion_long(df: DataFrame, label: str = "category", pred: str = "predicted_category") -> DataFrame:
-    """M7 long form, zero-filled over the label x prediction classes.
+def confusion_counts(df: DataFrame, label: str = "category", pred: str = "predicted_category") -> DataFrame:
+    """(actual, predicted, n): the one aggregate that M6 and M7 are made of, written once."""
+    counts = df.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counts, "confusion")
+
 
-    Classes are the union of labels and predictions (small: one row per class), the
-    zero fill is an outer join of the class pairs with the counts.
+def confusion_long(df: DataFrame, label: str = "category", pred: str = "predicted_category",
+                   max_classes: int = 1000) -> DataFrame:
+    """M7 long form, zero-filled over all pairs of label and prediction classes.
+
+    The pairs are asked for, so their number is the square of the classes'; more than
+    ``max_classes`` are refused instead of being multiplied.
     """
-    counts = df.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    # the class set is a label set (bounded); pairs come from exploding it twice
-    classes = df.select(F.array(F.col(label), F.col(pred)).alias("a")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("a")))).alias("cs"))
-    pairs = (classes.select(F.explode("cs").alias("actual"), "cs")
-             .select("actual", F.explode("cs").alias("predicted")))
-    return pairs.join(counts, ["actual", "predicted"], "left").fillna(0, subset=["n"])
+    counts = confusion_counts(df, label, pred)
+    names = counts.select(F.explode(F.array_distinct(F.array("actual", "predicted"))).alias("c")).distinct()
+    found = [r["c"] for r in names.limit(max_classes + 1).collect()]
+    if len(found) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    listed = F.array(*[F.lit(c) for c in found]) if found else F.array().cast("array<string>")
+    pairs = names.select(F.col("c").alias("actual"), F.explode(listed).alias("predicted"))
+    return pairs.join(counts.select(F.col("actual").alias("a"), F.col("predicted").alias("p"), "n"),
+                      F.col("actual").eqNullSafe(F.col("a")) & F.col("predicted").eqNullSafe(F.col("p")), "left").select(
+        "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def classification_report(df: DataFrame, label: str = "category", pred: str = "predicted_category") -> DataFrame:
     """M6: per class precision, recall, f1, support + macro avg + weighted avg.
 
-    Zero division gives 0 (sklearn's default warning value).
+    Zero division gives 0 (sklearn's default warning value).  Everything is derived from the
+    confusion counts, one row per pair of classes that occurs.
     """
-    tp = df.groupBy(F.col(label).alias("cls")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.count_if(F.col(label) == F.col(pred)).alias("tp"))
-    pp = df.groupBy(F.col(pred).alias("cls")).agg(F.count(F.lit(1)).alias("predicted"))
-    per = tp.join(pp, "cls", "full").fillna(0, subset=["support", "tp", "predicted"])
-    prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
-    rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
-    per = per.withColumns({"precision": prec, "recall": rec})
-    per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                      2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-                         .otherwise(0.0))
-    per = per.select(F.col("cls").alias("class"), "precision", "recall", "f1", F.col("support").cast("long"))
+    counts = confusion_counts(df, label, pred)
+    # a count adds to its actual class's support, its predicted class's predictions, and to both when they agree
+    sides = counts.select(F.explode(F.array(
+        F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("predicted").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("long").alias("tp")))).alias("s")).select("s.*")
+    per = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+
+    def share(a, b):
+        return F.when(b > 0, a / b).otherwise(0.0)
+
+    per = per.withColumns({"precision": share(F.col("tp"), F.col("predicted")), "recall": share(F.col("tp"), F.col("support"))})
+    per = per.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    per = materialise(per.select("class", "precision", "recall", "f1", F.col("support").cast("long")), "per_class")
     tot = F.sum("support")
-    macro = per.agg(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"),
-                    F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), tot.alias("support"))
+    scores = ("precision", "recall", "f1")
+    macro = per.agg(F.lit("macro avg").alias("class"), *[F.avg(c).alias(c) for c in scores], tot.alias("support"))
     weighted = per.agg(F.lit("weighted avg").alias("class"),
-                       (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
-                       (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
-                       (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1"), tot.alias("support"))
+                       *[(F.sum(F.col(c) * F.col("support")) / tot).alias(c) for c in scores], tot.alias("support"))
     return per.unionByName(macro).unionByName(weighted)
 
 
@@ -111,9 +126,10 @@ def distribution(df: DataFrame, col: str = "predicted_category") -> DataFrame:
 
 
 def confidence_stats(df: DataFrame) -> DataFrame:
-    """Mean, exact median, min, max."""
+    """Mean, exact median, min, max.  The median is found by histogram refinement."""
     c = F.col("confidence")
-    return df.agg(F.avg(c).alias("mean_confidence"), F.median(c).alias("median_confidence"),
+    return df.agg(F.avg(c).alias("mean_confidence"),
+                  F.lit(exact_quantile(df, "confidence", 0.5)).cast("double").alias("median_confidence"),
                   F.min(c).alias("min_confidence"), F.max(c).alias("max_confidence"))
 
 

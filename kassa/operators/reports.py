@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kassa.operators.anomaly import exact_quantile
 from kassa.operators.forecast import horizon_rows, predicted_by_category
+from kassa.operators.predictions import (confidence_histogram, distribution, monthly_category_totals,
+                                         predicted_breakdown)
+from kassa.session import materialise
 
 
 def _top_columns(arr, n: int) -> dict:
@@ -22,34 +26,34 @@ def _top_columns(arr, n: int) -> dict:
 
 def forecast_report(total_fc: DataFrame, category_fc: DataFrame, days: int, top_n: int = 10) -> DataFrame:
     """Horizon, G16 totals of the total series, T3 risk, T2 top ``top_n`` categories."""
-    tot = horizon_rows(total_fc).select(F.lit(True).alias("_t"), "yhat", "yhat_lower", "yhat_upper",
-                                        F.lit(None).cast("string").alias("category"),
-                                        F.lit(None).cast("double").alias("spend"))
-    per = predicted_by_category(category_fc).select(
-        F.lit(False).alias("_t"), *[F.lit(None).cast("double").alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")],
-        "category", F.col("predicted_spend").alias("spend"))
-    t = F.col("_t")
-    agg = tot.unionByName(per).agg(
-        F.sum(F.when(t, F.col("yhat"))).alias("total_predicted"),
-        F.sum(F.when(t, F.col("yhat_lower"))).alias("total_lower"),
-        F.sum(F.when(t, F.col("yhat_upper"))).alias("total_upper"),
-        F.array_sort(F.collect_list(F.when(~t, F.struct((-F.col("spend")).alias("k"), "category", "spend"))))
-        .alias("_ranked"))
-    top = F.slice(F.col("_ranked"), 1, top_n)
-    return agg.select(F.lit(days).alias("horizon_days"), "total_predicted", "total_lower", "total_upper",
-                      F.coalesce(F.upper(F.try_element_at(top, F.lit(1)).getField("category")), F.lit("N/A")).alias("risk_category"),
-                      F.coalesce(F.try_element_at(top, F.lit(1)).getField("spend"), F.lit(0.0)).alias("risk_amount"),
-                      *[c.alias(k) for k, c in _top_columns(top, top_n).items()])
-
-
-def dashboard_rows(category_fc: DataFrame) -> DataFrame:
-    """Per category predicted spend over the horizon, rank, share of the total, risk flag."""
-    per = predicted_by_category(category_fc)
-    w_all = Window.partitionBy()  # one row per category: a label set
-    rank = F.row_number().over(Window.orderBy(F.desc("predicted_spend"), "category"))
-    return per.select("category", "predicted_spend", rank.alias("rank"),
-                      (100.0 * F.col("predicted_spend") / F.sum("predicted_spend").over(w_all)).alias("share_pct"),
-                      F.sum("predicted_spend").over(w_all).alias("total_predicted")) \
+    per = predicted_by_category(category_fc).select("category", F.col("predicted_spend").alias("spend"))
+    # top_n rows
+    best = per.orderBy(F.desc("spend"), "category").limit(top_n).collect()
+    top = F.array(*[F.struct(F.lit(r["category"]).alias("category"), F.lit(r["spend"]).alias("spend")) for r in best]) \
+        if best else F.lit(None).cast("array<struct<category:string,spend:double>>")
+    totals = horizon_rows(total_fc).agg(F.sum("yhat").alias("total_predicted"), F.sum("yhat_lower").alias("total_lower"),
+                                        F.sum("yhat_upper").alias("total_upper")).withColumn("_top", top)
+    first = F.try_element_at(F.col("_top"), F.lit(1))
+    return totals.select(F.lit(days).alias("horizon_days"), "total_predicted", "total_lower", "total_upper",
+                         F.coalesce(F.upper(first["category"]), F.lit("N/A")).alias("risk_category"),
+                         F.coalesce(first["spend"], F.lit(0.0)).alias("risk_amount"),
+                         *[c.alias(k) for k, c in _top_columns(F.col("_top"), top_n).items()])
+
+
+def dashboard_rows(category_fc: DataFrame, total_fc: DataFrame, top_n: int = 100) -> DataFrame:
+    """The ``top_n`` categories by predicted spend: rank, share of all categories' spend, risk flag,
+    and the total model's own prediction with its bounds beside each."""
+    per = materialise(predicted_by_category(category_fc), "predicted_spend")
+    spend = per.agg(F.sum("predicted_spend").alias("s")).first()["s"]
+    total = horizon_rows(total_fc).agg(F.sum("yhat").alias("y"), F.sum("yhat_lower").alias("lo"),
+                                       F.sum("yhat_upper").alias("up")).first()
+    shown = per.orderBy(F.desc("predicted_spend"), "category").limit(top_n)
+    rank = F.row_number().over(Window.orderBy(F.desc("predicted_spend"), "category"))   # over top_n rows
+    return shown.select("category", "predicted_spend", rank.alias("rank"),
+                        (100.0 * F.col("predicted_spend") / F.lit(spend).cast("double")).alias("share_pct"),
+                        F.lit(total["y"]).cast("double").alias("total_predicted"),
+                        F.lit(total["lo"]).cast("double").alias("total_lower"),
+                        F.lit(total["up"]).cast("double").alias("total_upper")) \
         .withColumn("is_risk", F.col("rank") == 1)
 
 
@@ -74,12 +78,42 @@ def categorization_overview(pred: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return pred.agg(n.alias("total"), F.count_if(F.col("needs_review")).alias("needs_review"),
                     (100.0 * F.count_if(F.col("needs_review")) / n).alias("review_pct"),
-                    F.avg(c).alias("mean_confidence"), F.median(c).alias("median_confidence"),
+                    F.avg(c).alias("mean_confidence"),
+                    F.lit(exact_quantile(pred, "confidence", 0.5)).cast("double").alias("median_confidence"),
                     F.min(c).alias("min_confidence"), F.max(c).alias("max_confidence"),
                     F.count_distinct("predicted_category").alias("n_categories"),
                     F.sum("amount").alias("total_amount"))
 
 
+def overview_tables(pred: DataFrame) -> DataFrame:
+    """The overview's tables in one long frame (section, key, subkey, value): distribution (G10),
+    breakdown (G9), monthly trend (G14), confidence histogram (G20)."""
+    none, text = F.lit(""), "string"
+    breakdown = predicted_breakdown(pred)
+    parts = [distribution(pred).select(F.lit("distribution").alias("section"), F.col("predicted_category").alias("key"),
+                                       none.alias("subkey"), F.col("count").cast("double").alias("value"))]
+    parts += [breakdown.select(F.lit("breakdown").alias("section"), F.col("predicted_category").alias("key"),
+                               F.lit(c).alias("subkey"), F.col(c).cast("double").alias("value"))
+              for c in ("total_amount", "avg_amount", "avg_confidence")]
+    parts.append(monthly_category_totals(pred).select(F.lit("monthly").alias("section"), F.col("month").alias("key"),
+                                                      F.col("category").alias("subkey"), F.col("amount").alias("value")))
+    parts.append(confidence_histogram(pred).select(F.lit("histogram").alias("section"),
+                                                   F.lpad(F.col("bin").cast(text), 2, "0").alias("key"),
+                                                   none.alias("subkey"), F.col("count").cast("double").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def executive_series(category_fc: DataFrame) -> DataFrame:
+    """R2: every category's predicted series over the horizon, with its share of each day."""
+    rows = horizon_rows(category_fc)
+    days = rows.groupBy(F.col("ds").alias("day")).agg(F.sum("yhat").alias("s"))   # one row per day
+    return rows.join(days, F.col("ds") == F.col("day")).select(
+        "category", "ds", "yhat", "yhat_lower", "yhat_upper", (100.0 * F.col("yhat") / F.col("s")).alias("share_pct"))
+
+
 def executive_report(total_fc: DataFrame, category_fc: DataFrame, scored: DataFrame, days: int) -> DataFrame:
     """R2: total, risk, number of category series and anomaly count (the reference
     passes no anomalies; here they come from the scorer, SURVEY Q17)."""

@@ -85,11 +85,26 @@ def forecast_seasonal(daily: DataFrame, coef: DataFrame, days: int = 30, z: floa
     last = daily.groupBy("series_key").agg(F.max("ds").alias("_m"))
     fut = last.select("series_key", F.explode(F.sequence(F.date_add("_m", 1), F.date_add("_m", days))).alias("ds"))
     dates = hist.unionByName(fut)
-    d = _with_design(dates, coef.select("series_key", "_ds0", "_span")).join(
-        coef.select("series_key", "beta", "sigma"), "series_key")
+    # joined once: the solve is planned (and run) once
+    d = _with_design(dates, coef)
     yhat = None
     for i in range(n_terms()):
         term = F.col(f"_x{i}") * F.col("beta")[i]
         yhat = term if yhat is None else yhat + term
     return d.select(F.col("series_key").alias("category"), "ds", yhat.alias("yhat"),
                     (yhat - z * F.col("sigma")).alias("yhat_lower"), (yhat + z * F.col("sigma")).alias("yhat_upper"))
+
+
+def normal_residual(daily: DataFrame, coef: DataFrame, ridge: float = 1e-3) -> DataFrame:
+    """(series_key, residual): how far ``coef`` is from solving its normal equations, relative to their size.
+
+    One aggregate: per term the sum of x (y - x beta), less the ridge term.
+    """
+    d = _with_design(daily.select("series_key", "ds", "y"), coef)
+    p = n_terms()
+    miss = F.col("y") - sum((F.col(f"_x{i}") * F.col("beta")[i] for i in range(p)), F.lit(0.0))
+    sums = d.withColumn("_miss", miss).groupBy("series_key").agg(
+        F.first("beta").alias("beta"), F.sum(F.abs(F.col("y"))).alias("_size"),
+        *[F.sum(F.col(f"_x{i}") * F.col("_miss")).alias(f"_g{i}") for i in range(p)])
+    worst = F.greatest(*[F.abs(F.col(f"_g{i}") - (ridge if i else 0.0) * F.col("beta")[i]) for i in range(p)])
+    return sums.select("series_key", (worst / F.greatest(F.col("_size"), F.lit(1.0))).alias("residual"))

@@ -65,6 +65,9 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
     ts_j > ts_i - lookback (pandas ``rolling('7D').count()`` on a sorted index).
     Call this on a narrow frame: probes carry every column as null.
 
+    Rows without a timestamp come first in their key's order, have no look-back count
+    (null) and count in nobody else's.
+
     ``attach = (table, derived)``: a table keyed by ``keys`` plus the columns named in
     ``derived`` (expressions over the day column ``_day``, e.g. its month), left-joined
     to every row.  It is joined to the per-(key, day) histogram, which the rows join
@@ -86,11 +89,14 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
         *[F.col(f"`{f.name}`") if f.name in keys else F.when(is_row, F.col(f"`{f.name}`")).alias(f.name)
           for f in df.schema.fields],
         *[F.col(c) for c in g if c not in df.columns],
-        t.alias("_t"), "_kind", F.when(is_row, F.lit(1)).otherwise(F.lit(-1)).alias("_w"))
+        t.alias("_t"), "_kind",
+        F.when(F.col(ts).isNull(), F.lit(0)).when(is_row, F.lit(1)).otherwise(F.lit(-1)).alias("_w"))
     u = u.withColumn("_day", F.to_date("_t"))
+    # undated rows stand before all others: a day of their own that joins by plain equality
+    u = u.withColumn("_slot", F.coalesce("_day", F.lit("0001-01-01").cast("date")))
 
     # probes (kind 0) sort before rows (kind 1) at equal time
-    w_day = Window.partitionBy(*g, "_day").orderBy("_t", "_kind", tiebreak)
+    w_day = Window.partitionBy(*g, "_slot").orderBy("_t", "_kind", tiebreak)
     run = w_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w_day.rowsBetween(Window.unboundedPreceding, -1)
     windowed = u.select(
@@ -102,11 +108,11 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
 
     hk = {f"_hk{i}": F.col(f"`{k}`") for i, k in enumerate(keys)} if attach is not None else {}
     # the key values ride along (they are functions of the stand-ins) for ``attach``
-    hist = (u.withColumns(hk).groupBy(*g, *hk, "_day")
-            .agg(F.sum("_kind").alias("_n"), F.sum("_w").alias("_ws"),
+    hist = (u.withColumns(hk).groupBy(*g, *hk, "_slot")
+            .agg(F.max("_day").alias("_day"), F.sum("_kind").alias("_n"), F.sum("_w").alias("_ws"),
                  F.max(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_last")))
-    w_hist = Window.partitionBy(*g).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*g, *hk, "_day",
+    w_hist = Window.partitionBy(*g).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(*g, *hk, "_slot", "_day",
                        F.coalesce(F.sum("_n").over(w_hist), F.lit(0)).alias("_n_before"),
                        F.coalesce(F.sum("_ws").over(w_hist), F.lit(0)).alias("_w_before"),
                        F.last("_last", ignorenulls=True).over(w_hist).alias("_prev_day_last"))
@@ -126,14 +132,14 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
                                                   *[table[c] for c in attached])
 
     rows = windowed.filter(F.col("_kind") == 1)
-    out = rows.join(hist, on=[*g, "_day"], how="inner")
+    out = rows.drop("_day").join(hist, on=[*g, "_slot"], how="inner")
     extra = {
         RANK: (F.col("_n_before") + F.col("_in_rank")).cast("long"),
         DAY_RANK: F.col("_in_rank").cast("long"),
         PREV_TS: F.coalesce(F.col("_in_prev"), F.col("_prev_day_last")),
     }
     if lookback_days is not None:
-        extra[count_name] = (F.col("_w_before") + F.col("_in_w")).cast("long")
+        extra[count_name] = F.when(F.col(ts).isNotNull(), F.col("_w_before") + F.col("_in_w")).cast("long")
     return out.withColumns(extra).select(*df.columns, *extra.keys(), *attached)
 
 

@@ -27,7 +27,7 @@ def clean_ledger(t: Tables) -> DataFrame:
 
 
 def e1(t: Tables, **kw) -> DataFrame:
-    return build_all_features(clean_ledger(t), categories=LEDGER_CATEGORIES, **kw)
+    return build_all_features(clean_ledger(t), **kw)
 
 
 def e2(t: Tables, **kw) -> DataFrame:

@@ -109,11 +109,11 @@ def q_w1(t):
     return W.rolling_stats(clean_ledger(t).withColumn("amount_abs", F.abs("amount")), ["user_id"], "amount_abs")
 
 
-@register("W1_W4_rolling_small_chunks", ROLL_SPEC, B + f"SELECT transaction_id, {S.rolling('abs(amount)')} FROM b")
+@register("W1_W4_rolling_small_chunks", ROLL_SPEC,
+          f"SELECT transaction_id, {S.rolling('abs(amount)', '1')} FROM ledger_intraday")
 def q_w1_chunks(t):
-    """Same result with 8-row chunks: exercises the halo path that splits hot keys."""
-    return W.rolling_stats(clean_ledger(t).withColumn("amount_abs", F.abs("amount")), ["user_id"], "amount_abs",
-                           chunk_rows=64)
+    """One sequence over the whole table in chunks of 64 rows: every chunk but the first has a halo."""
+    return W.rolling_stats(t.ledger_intraday().withColumn("amount_abs", F.abs("amount")), [], "amount_abs", chunk_rows=64)
 
 
 @register("W11_rolling_signed_amount", ROLL_SPEC, B + f"SELECT transaction_id, {S.rolling('amount')} FROM b")
@@ -127,6 +127,23 @@ def q_w5(t):
     return W.days_since_last(t.ledger_intraday(), ["user_id"])
 
 
+@register("W5_days_since_last_undated", "transaction_id long, days_since_last long", """
+SELECT transaction_id, CASE WHEN date IS NULL THEN 0 ELSE coalesce(floor((epoch_us(date) - epoch_us(last_value(date IGNORE NULLS)
+         OVER (PARTITION BY user_id ORDER BY date NULLS FIRST, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+       / 86400000000), 0) END AS days_since_last FROM ledger_undated""")
+def q_w5_undated(t):
+    """Rows without a date stay."""
+    return W.days_since_last(t.ledger_undated(), ["user_id"])
+
+
+@register("W6_count_7d_undated", "transaction_id long, transaction_count_7d long", f"""
+SELECT transaction_id, {S.count_7d()} FROM ledger_undated WHERE date IS NOT NULL
+UNION ALL SELECT transaction_id, NULL FROM ledger_undated WHERE date IS NULL""")
+def q_w6_undated(t):
+    """Rows without a date stay, have no count and count in nobody's."""
+    return W.count_in_last_days(t.ledger_undated(), ["user_id"], 7)
+
+
 @register("W6_count_7d_intraday", "transaction_id long, transaction_count_7d long",
           f"SELECT transaction_id, {S.count_7d()} FROM ledger_intraday")
 def q_w6(t):

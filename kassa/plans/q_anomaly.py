@@ -46,11 +46,10 @@ def q_m13(t):
 
 
 @register("M14_align_pad_features", "row_id long, " + ", ".join(f"{c} double" for c in COLS),
-          "SELECT row_id, " + ", ".join(f"feature_{i}" for i in range(8)) + ", 0.0 AS feature_8, 0.0 AS feature_9 "
-          "FROM metrics")
+          "SELECT row_id, " + ", ".join(COLS[:-2]) + ", " + ", ".join(f"0.0 AS {c}" for c in COLS[-2:]) + " FROM metrics")
 def q_m14(t):
-    eight = t.metrics().select("row_id", *[F.col(f"feature_{i}").alias(f"f{i}") for i in range(8)])
-    return A.align_for_scoring(eight, COLS)
+    fewer = t.metrics().select("row_id", *[F.col(c).alias(f"f{i}") for i, c in enumerate(COLS[:-2])])
+    return A.align_for_scoring(fewer, COLS)
 
 
 @register("M16_M17_detect_anomalies", SCORED_SPEC, SCORED_SQL)
@@ -119,3 +118,10 @@ SELECT 30 AS horizon_days, total_predicted,
        n_anomalies, n_scored FROM tot, an""")
 def q_r2(t):
     return R.executive_report(FC.project(tot_models(t), 30), FC.project(cat_models(t), 30), scored(t), 30)
+
+
+@register("R2_executive_report_series", "category string, ds date, yhat double, yhat_lower double, yhat_upper double, share_pct double", f"""
+WITH f AS (SELECT * FROM ({S.project_sql(CAT_MODELS, 30)}) f0 WHERE ds > train_ds_max)
+SELECT category, ds, yhat, yhat_lower, yhat_upper, 100.0 * yhat / sum(yhat) OVER (PARTITION BY ds) AS share_pct FROM f""")
+def q_r2_series(t):
+    return R.executive_series(FC.project(cat_models(t), 30))

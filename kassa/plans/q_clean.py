@@ -1,6 +1,7 @@
 """Sources, cleaning, profiling, filters and scalar functions."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kassa.functions import (amount_columns, calendar_columns, desc_prefix, is_valid_email, report_label,
@@ -13,14 +14,15 @@ from kassa.plans.common import CATEGORIZED_SQL, LEDGER_SPEC, categorized_fixed,
 from kassa.plans.registry import register
 from kassa.session import scratch_path
 from kassa.sources.files import indexed_metrics, load_transactions, read_table
-from kassa.sources.testdata import LEDGER_CATEGORIES
+from kassa.sources.testdata import LEDGER_CATEGORIES, METRIC_FEATURES
 
 WS = S.WS
 DIRTY_SPEC = "transaction_id string, user_id string, date timestamp, description string, amount double, category string"
 COERCE_DIRTY_SQL = f"""
-SELECT "Transaction_ID" AS transaction_id, "User_Id" AS user_id, TRY_CAST(" Date " AS TIMESTAMP) AS date,
+SELECT "Transaction_ID" AS transaction_id, "User_Id" AS user_id, coalesce(TRY_CAST(" Date " AS TIMESTAMP), try_strptime(" Date ", '%m/%d/%Y')) AS date,
        lower(regexp_replace("Description", '^{WS}+|{WS}+$', '', 'g')) AS description,
-       CASE WHEN isnan(TRY_CAST("AMOUNT" AS DOUBLE)) THEN NULL ELSE TRY_CAST("AMOUNT" AS DOUBLE) END AS amount,
+       CASE WHEN regexp_full_match("AMOUNT", '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
+            THEN TRY_CAST("AMOUNT" AS DOUBLE) END AS amount,
        "Category" AS category FROM ledger_dirty"""
 CLEAN_DIRTY_SQL = f"""
 SELECT DISTINCT * FROM ({COERCE_DIRTY_SQL}) d
@@ -37,6 +39,34 @@ def q_c1_c5(t):
     return C.coerce(C.require_columns(C.normalize_column_names(t.ledger_dirty())))
 
 
+@register("C2_missing_columns", "column string, fault string",
+          "SELECT * FROM (VALUES ('date', 'absent'), ('description', NULL), ('amount', 'absent')) v(\"column\", fault)")
+def q_c2(t):
+    return C.column_report(t.ledger().select("description", F.col("amount").alias("sum")))
+
+
+@register("C3_dropped_rows", "n_rows long, bad_date long, bad_description long, bad_amount long", f"""
+SELECT count(*) AS n_rows, count(*) - count(date) AS bad_date, count(*) - count(description) AS bad_description,
+       count(*) - count(amount) AS bad_amount FROM ({COERCE_DIRTY_SQL}) x""")
+def q_c3_dropped(t):
+    return C.dropped_counts(t.ledger_dirty())
+
+
+@register("C8_order_by_date", "pos long, transaction_id long",
+          "SELECT row_number() OVER (ORDER BY date, transaction_id) AS pos, transaction_id FROM ledger "
+          "ORDER BY pos LIMIT 1000")
+def q_c8(t):
+    first = C.order_by_date(t.ledger()).limit(1000)   # the first page of the ordered ledger
+    return first.select(F.row_number().over(Window.orderBy("date", "transaction_id")).alias("pos"), "transaction_id")
+
+
+@register("P12_numeric_columns", "row_id long, amount double, user_id long",
+          "SELECT transaction_id AS row_id, amount, user_id FROM ledger")
+def q_p12(t):
+    led = t.ledger()
+    return led.select(F.col("transaction_id").alias("row_id"), *sorted(C.numeric_columns(led)))
+
+
 @register("S1_csv_scan_round_trip", DIRTY_SPEC, CLEAN_DIRTY_SQL)
 def q_s1(t):
     path = scratch_path(t.spark, "s1_ledger_dirty_csv")
@@ -57,7 +87,7 @@ def q_s6(t):
     return read_table(t.spark, path)
 
 
-METRIC_SPEC = "row_id long, " + ", ".join(f"feature_{i} double" for i in range(10))
+METRIC_SPEC = "row_id long, " + ", ".join(f"feature_{i} double" for i in range(METRIC_FEATURES))
 
 
 @register("S5_indexed_metric_scan", METRIC_SPEC, "SELECT * EXCLUDE (target) FROM metrics")

@@ -9,6 +9,7 @@ from kassa.operators.aggregates import daily_spend
 from kassa.plans import sqlfrag as S
 from kassa.plans.common import categorized_fixed
 from kassa.plans.registry import register
+from kassa.session import materialise
 
 PF = "predictions_fixed"
 CAT_DAILY = S.daily_sql(PF, "predicted_category")
@@ -33,7 +34,7 @@ def cat_models(t):
 
 
 def tot_models(t):
-    return FC.fit_moving_average(tot_daily(t))
+    return FC.fit_total(tot_daily(t))
 
 
 @register("M19_fit_total_moving_average", MODEL_SPEC, TOT_MODELS)
@@ -189,16 +190,38 @@ def q_r1(t):
     return R.forecast_report(FC.project(tot_models(t), 30), FC.project(cat_models(t), 30), 30)
 
 
-@register("R3_forecast_dashboard_90d",
-          "category string, predicted_spend double, rank long, share_pct double, total_predicted double, is_risk boolean",
-          f"""
+DASHBOARD_SPEC = ("category string, predicted_spend double, rank long, share_pct double, total_predicted double, "
+                  "total_lower double, total_upper double, is_risk boolean")
+
+
+def dashboard_sql(days: int) -> str:
+    return f"""
 SELECT category, predicted_spend, row_number() OVER (ORDER BY predicted_spend DESC, category) AS rank,
-       100.0 * predicted_spend / sum(predicted_spend) OVER () AS share_pct, sum(predicted_spend) OVER () AS total_predicted,
+       100.0 * predicted_spend / sum(predicted_spend) OVER () AS share_pct, total_predicted, total_lower, total_upper,
        row_number() OVER (ORDER BY predicted_spend DESC, category) = 1 AS is_risk
-FROM (SELECT category, sum(yhat) AS predicted_spend FROM ({S.project_sql(CAT_MODELS, 90)}) f
-      WHERE ds > train_ds_max GROUP BY 1) p""")
+FROM (SELECT category, sum(yhat) AS predicted_spend FROM ({S.project_sql(CAT_MODELS, days)}) f
+      WHERE ds > train_ds_max GROUP BY 1) p,
+     (SELECT sum(yhat) AS total_predicted, sum(yhat_lower) AS total_lower, sum(yhat_upper) AS total_upper
+      FROM ({S.project_sql(TOT_MODELS, days)}) g WHERE ds > train_ds_max) t"""
+
+
+@register("R3_forecast_dashboard_90d",
+          DASHBOARD_SPEC, dashboard_sql(90))
 def q_r3(t):
-    return R.dashboard_rows(FC.project(cat_models(t), 90))
+    return R.dashboard_rows(FC.project(cat_models(t), 90), FC.project(tot_models(t), 90))
+
+
+@register("M21_total_below_minimum", "fault string",
+          "SELECT 'the total series has 1 days, 30 are needed' AS fault")
+def q_m21_total(t):
+    """The total series of one day of the ledger is refused."""
+    day = t.ledger().agg(F.min(F.to_date("date")).alias("d"))
+    one = t.ledger().join(F.broadcast(day), F.to_date("date") == F.col("d"))   # one row on the broadcast side
+    try:
+        FC.fit_total(FC.daily_series(one, None))
+    except ValueError as e:
+        return day.select(F.lit(str(e)).alias("fault"))
+    raise AssertionError("a series of one day was accepted")
 
 
 USER_DAILY = ("SELECT user_id, category, CAST(date AS DATE) AS ds, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS y "
@@ -207,22 +230,33 @@ USER_DAILY = ("SELECT user_id, category, CAST(date AS DATE) AS ds, sum(CASE WHEN
 
 @register("R4_user_forecast_response",
           "user_id long, days long, predicted_total double, daily_average double, top_category string, "
-          "top_category_spend double, n_categories long", f"""
+          "top_category_spend double, n_categories long, category string, category_spend double", f"""
 WITH m AS ({S.fit_sql(USER_DAILY, 'user_id, category', 1, safe=False)}),
 per AS (SELECT user_id, category, sum(yhat) AS spend FROM ({S.project_sql('SELECT * FROM m', 30, 'category', 'user_id, ')}) f
         WHERE ds > train_ds_max GROUP BY 1, 2)
-SELECT user_id, 30 AS days, sum(spend) AS predicted_total, sum(spend) / 30 AS daily_average,
-       arg_min(category, (-spend, category)) AS top_category, max(spend) AS top_category_spend, count(*) AS n_categories
-FROM per GROUP BY user_id""")
+SELECT r.*, per.category, per.spend AS category_spend FROM per JOIN (
+  SELECT user_id, 30 AS days, sum(spend) AS predicted_total, sum(spend) / 30 AS daily_average,
+         arg_min(category, (-spend, category)) AS top_category, max(spend) AS top_category_spend, count(*) AS n_categories
+  FROM per GROUP BY user_id) r USING (user_id)""")
 def q_r4(t):
     daily = daily_spend(t.ledger(), ["user_id", "category"])
     models = FC.fit_moving_average(daily, min_points=1, keys=["user_id", "category"])
     fc = FC.project(models, 30, key="category", keep=["user_id"])
-    return R.user_forecast_response(fc, 30)
+    return R.user_forecast_response(fc, 30).select("*", F.explode("categories").alias("category", "category_spend"))
 
 
-@register("M23_seasonal_trend_forecast", FC_SPEC)
+@register("M23_seasonal_trend_forecast", "category string, n_dates long, first_day date, last_day date, solved boolean, "
+          "ordered boolean", f"""
+SELECT series_key AS category, count(*) + 30 AS n_dates, min(ds) AS first_day, max(ds) + INTERVAL 30 DAY AS last_day,
+       true AS solved, true AS ordered
+FROM ({CAT_DAILY}) d GROUP BY 1 HAVING count(*) >= 30""")
 def q_m23(t):
-    from kassa.operators.seasonal import fit_seasonal, forecast_seasonal
+    """Per series: dates covered; the normal equations hold to 1e-6 of their size; lower <= yhat <= upper."""
+    from kassa.operators.seasonal import fit_seasonal, forecast_seasonal, normal_residual
     daily = cat_daily(t)
-    return forecast_seasonal(daily, fit_seasonal(daily), 30)
+    coef = materialise(fit_seasonal(daily), "seasonal")
+    fc = forecast_seasonal(daily, coef, 30).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_dates"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"),
+        F.bool_and((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered"))
+    res = normal_residual(daily, coef).select("series_key", (F.col("residual") < 1e-6).alias("solved"))
+    return fc.join(res, F.col("category") == F.col("series_key"))

@@ -26,15 +26,14 @@ SELECT * FROM ledger UNION ALL
 SELECT (SELECT max(transaction_id) FROM ledger) + row_number() OVER (ORDER BY seq) AS transaction_id,
        user_id, date, description, amount, category FROM ok""")
 def q_u2(t):
-    new, _ = U.append(t.ledger(), append_batch(t), t.users())
-    return new
+    accepted, _ = U.split_by_owner(append_batch(t), t.users())
+    return U.append(t.ledger(), accepted)
 
 
 @register("U2_rejected_appends", "seq long, user_id long",
           f"SELECT seq, user_id FROM ({APPEND_BATCH_SQL}) b WHERE user_id NOT IN (SELECT id FROM users)")
 def q_u2r(t):
-    _, rej = U.append(t.ledger(), append_batch(t), t.users())
-    return rej
+    return U.split_by_owner(append_batch(t), t.users())[1]
 
 
 def update_batch(t):
@@ -130,8 +129,8 @@ f AS (SELECT email, min(seq) AS seq FROM b GROUP BY email),
 ok AS (SELECT * FROM f WHERE {VALID} AND email NOT IN (SELECT email FROM users))
 SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS id, email, seq FROM ok""")
 def q_u5(t):
-    acc, _ = U.register_users(t.users(), user_batch(t))
-    return acc
+    acceptable, _ = U.split_candidates(t.users(), user_batch(t))
+    return U.register_users(t.users(), acceptable)
 
 
 @register("U5_J5_rejected_users", "seq long, email string, reason string", f"""
@@ -141,8 +140,7 @@ SELECT seq, email, 'duplicate in batch' AS reason FROM b WHERE (email, seq) NOT
 UNION ALL SELECT seq, email, 'invalid email' FROM f WHERE NOT {VALID}
 UNION ALL SELECT seq, email, 'already registered' FROM f WHERE {VALID} AND email IN (SELECT email FROM users)""")
 def q_u5r(t):
-    _, rej = U.register_users(t.users(), user_batch(t))
-    return rej
+    return U.split_candidates(t.users(), user_batch(t))[1]
 
 
 @register("U1_list_user_transactions", LEDGER_SPEC, "SELECT * FROM ledger WHERE user_id = 1000")

@@ -85,12 +85,6 @@ def q_m7(t):
     return PR.confusion_long(t.predictions_fixed())
 
 
-@register("M12_probability_columns", "transaction_id long, " + ", ".join(f"prob_{c} double" for c in LEDGER_CATEGORIES),
-          "SELECT transaction_id, " + ", ".join(f'"prob_{c}"' for c in LEDGER_CATEGORIES) + " FROM predictions_fixed")
-def q_m12(t):
-    return t.predictions_fixed().select("transaction_id", *[F.col(f"`prob_{c}`") for c in LEDGER_CATEGORIES])
-
-
 @register("G9_predicted_category_breakdown",
           "predicted_category string, count long, total_amount double, avg_amount double, avg_confidence double",
           "SELECT predicted_category, count(*) AS count, round(sum(amount), 2) AS total_amount, "
@@ -157,3 +151,17 @@ def q_g20(t):
           "count(DISTINCT predicted_category) AS n_categories, sum(amount) AS total_amount FROM p", digits=WHOLE_TABLE_DIGITS)
 def q_r5(t):
     return R.categorization_overview(categorized_fixed(t))
+
+
+@register("R5_overview_tables", "section string, key string, subkey string, value double", P + f"""
+x AS (SELECT 1)
+SELECT 'distribution' AS section, predicted_category AS key, '' AS subkey, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY 2
+UNION ALL SELECT 'breakdown', predicted_category, 'total_amount', round(sum(amount), 2) FROM p GROUP BY 2
+UNION ALL SELECT 'breakdown', predicted_category, 'avg_amount', round(avg(amount), 2) FROM p GROUP BY 2
+UNION ALL SELECT 'breakdown', predicted_category, 'avg_confidence', round(avg(confidence), 2) FROM p GROUP BY 2
+UNION ALL SELECT 'monthly', strftime(date, '%Y-%m'), predicted_category, sum(amount) FROM p GROUP BY 2, 3
+UNION ALL SELECT 'histogram', lpad(CAST(b AS VARCHAR), 2, '0'), '', CAST(coalesce(n, 0) AS DOUBLE)
+FROM range(1, 31) r(b) LEFT JOIN (SELECT least(CAST(floor(confidence * 30) AS BIGINT) + 1, 30) AS bin, count(*) AS n
+                                  FROM p WHERE confidence IS NOT NULL GROUP BY 1) h ON h.bin = r.b""", digits=WHOLE_TABLE_DIGITS)
+def q_r5_tables(t):
+    return R.overview_tables(categorized_fixed(t))

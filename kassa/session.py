@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators assume. They are SQL confs, so they can be applied to an
 # existing session (the driver's or a cluster's) without a restart.
@@ -50,14 +51,16 @@ def build_session(master: str | None = None, app: str = "kassa",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
+    """The folder for tables that cut lineage, shared by driver and executors.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (tests, local runs) a private scratch folder is created.
+    The one the session already uses, else ``spark.checkpoint.dir``.  Only a local session
+    without either gets a scratch folder of its own; a cluster without one is an error.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="kassa-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -66,6 +69,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A table location under the shared checkpoint folder (for lineage cuts and model tables)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/kassa/{name}"
+    """A new table location under the shared folder; no two calls get the same."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kassa/{uuid.uuid4().hex[:12]}/{name}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: its lineage ends here, it needs no executor's memory,
+    and the planner knows its true size when it chooses a join."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kassa.operators.clean import map_na_tokens, parse_timestamp
 
 
-def load_transactions(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def load_transactions(spark: SparkSession, path: str, schema=None, date_formats: list[str] | None = None) -> DataFrame:
     """Header CSV.  No schema inference pass (a full extra scan at scale): columns
     arrive as strings unless ``schema`` is given, NA tokens become null, and ``date`` is
     parsed when present."""
@@ -16,7 +16,7 @@ def load_transactions(spark: SparkSession, path: str, schema=None) -> DataFrame:
     df = map_na_tokens(df)
     if "date" in [c.strip().lower() for c in df.columns]:
         name = next(c for c in df.columns if c.strip().lower() == "date")
-        df = df.withColumn(name, parse_timestamp(F.col(f"`{name}`")))
+        df = df.withColumn(name, parse_timestamp(F.col(f"`{name}`"), date_formats))
     return df
 
 
@@ -35,15 +35,28 @@ def indexed_metrics(df: DataFrame, index: str | None = None, target: str = "targ
     return out.withColumnRenamed(index, "row_id") if index != "row_id" else out
 
 
-def latest_snapshot(spark: SparkSession, pattern: str, fmt: str = "csv") -> DataFrame:
-    """S3: among the files matching ``pattern`` keep only the newest (mtime, then path).
+def newest_root(spark: SparkSession, pattern: str) -> str | None:
+    """The newest of the snapshots (files or folders) matching ``pattern``.
 
-    One listing through the file source's hidden ``_metadata`` column: the newest
-    file's rows are selected with a semi join against the one-row max, so no file name
-    travels through the driver.
+    A snapshot is as new as its newest file; equal times go to the greater path.  Only
+    names and times are listed, one entry per snapshot file, and nothing is read.
     """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    best = None
+    for root in fs.globStatus(path) or []:
+        times = [f.getModificationTime() for f in fs.listStatus(root.getPath())
+                 if not f.getPath().getName().startswith(("_", "."))] if root.isDirectory() else [root.getModificationTime()]
+        if times:
+            best = max(best or (-1, ""), (max(times), root.getPath().toString()))
+    return best[1] if best else None
+
+
+def latest_snapshot(spark: SparkSession, pattern: str, fmt: str = "csv") -> DataFrame:
+    """S3: of the snapshots matching ``pattern`` the newest one, whole; older ones are not read."""
+    root = newest_root(spark, pattern)
+    if root is None:
+        raise FileNotFoundError(f"no snapshot matches {pattern}")
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    df = reader.format(fmt).load(pattern).select("*", F.col("_metadata.file_path").alias("_file"),
-                                                 F.col("_metadata.file_modification_time").alias("_mtime"))
-    newest = df.groupBy().agg(F.max_by("_file", F.struct("_mtime", "_file")).alias("_file"))
-    return df.join(F.broadcast(newest), "_file", "left_semi").drop("_file", "_mtime")
+    return reader.format(fmt).load(root)

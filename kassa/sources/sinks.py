@@ -6,6 +6,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kassa.operators.anomaly import top_anomalies
 from kassa.operators.filters import drop_prefix
 
 
@@ -53,11 +54,25 @@ def export(df: DataFrame, prefix: str, include_probabilities: bool = False, revi
     return write_table(out, export_path(prefix, now), fmt)
 
 
-def write_anomalies(scored: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """One write, partitioned by the flag: ``is_anomaly=true`` is the suspicious subset."""
-    return write_table(scored, path, fmt, partition_by=["is_anomaly"])
+def write_anomalies(scored: DataFrame, path: str, top_path: str | None = None, n: int = 10, fmt: str = "parquet") -> str:
+    """One write, partitioned by the flag (``is_anomaly=true`` is the suspicious subset), and
+    the ``n`` largest errors as a table of their own."""
+    write_table(scored, path, fmt, partition_by=["is_anomaly"])
+    if top_path:
+        back = scored.sparkSession.read.format(fmt).load(path).withColumn("is_anomaly", F.col("is_anomaly").cast("boolean"))
+        write_table(top_anomalies(back, n), top_path, fmt)
+    return path
+
+
+def write_forecasts(forecast: DataFrame, path: str, total: DataFrame | None = None, fmt: str = "parquet") -> str:
+    """One folder per category (partitionBy), written by all tasks in parallel; the total
+    series goes to a folder beside it."""
+    write_table(forecast, f"{path}/categories", fmt, partition_by=["category"])
+    if total is not None:
+        write_table(total, f"{path}/total", fmt)
+    return path
 
 
-def write_forecasts(forecast: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """One folder per category (partitionBy), written by all tasks in parallel."""
-    return write_table(forecast, path, fmt, partition_by=["category"])
+def write_dashboards(rows: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Dashboard rows of several horizons, one folder per horizon."""
+    return write_table(rows, path, fmt, partition_by=["horizon_days"])

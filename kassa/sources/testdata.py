@@ -22,7 +22,8 @@ LEDGER_CATEGORIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW
 # Classes of the learnable ledger (the reference's category names):
 # Income, Food & Dining, Shopping, Bills & Utilities.
 
-METRIC_FEATURES = 10
+# The width of ``embeddings.embedding``; every value is a metric.
+METRIC_FEATURES = 64
 
 
 class Tables:
@@ -69,15 +70,21 @@ class Tables:
         rows = l.select(
             F.col("transaction_id").cast("string").alias("Transaction_ID"),
             F.when(tid % 50 == 0, F.lit("not a date"))
+             .when(tid % 7 == 0, F.date_format("date", "MM/dd/yyyy"))
              .otherwise(F.date_format("date", "yyyy-MM-dd")).alias(" Date "),
             F.when(tid % 3 == 0, F.concat(F.lit("  "), F.upper("description"), F.lit("\t")))
              .otherwise(F.col("description")).alias("Description"),
-            F.when(tid % 50 == 1, F.lit("n/a"))
+            F.when(tid % 50 == 1, F.lit("n/a")).when(tid % 50 == 2, F.lit("1d")).when(tid % 50 == 3, F.lit("5F"))
+             .when(tid % 50 == 4, F.lit("0x1p3")).when(tid % 50 == 5, F.lit("inf"))
              .otherwise(F.col("amount").cast("string")).alias("AMOUNT"),
             F.col("category").alias("Category"),
             F.col("user_id").cast("string").alias("User_Id"))
         return rows.unionByName(rows.filter(tid % 20 == 0))
 
+    def ledger_undated(self) -> DataFrame:
+        """The ledger with every fortieth date missing."""
+        return self.ledger().withColumn("date", F.when(F.col("transaction_id") % 40 != 0, F.col("date")))
+
     def predictions_fixed(self) -> DataFrame:
         return with_fixed_predictions(self.ledger())
 
@@ -164,12 +171,15 @@ FROM events""",
     "ledger_dirty": """
 WITH r AS (
   SELECT transaction_id AS tid, CAST(transaction_id AS VARCHAR) AS "Transaction_ID",
-         CASE WHEN transaction_id % 50 = 0 THEN 'not a date' ELSE strftime(date, '%Y-%m-%d') END AS " Date ",
+         CASE WHEN transaction_id % 50 = 0 THEN 'not a date' WHEN transaction_id % 7 = 0 THEN strftime(date, '%m/%d/%Y')
+              ELSE strftime(date, '%Y-%m-%d') END AS " Date ",
          CASE WHEN transaction_id % 3 = 0 THEN '  ' || upper(description) || chr(9) ELSE description END AS "Description",
-         CASE WHEN transaction_id % 50 = 1 THEN 'n/a' ELSE CAST(amount AS VARCHAR) END AS "AMOUNT",
+         CASE transaction_id % 50 WHEN 1 THEN 'n/a' WHEN 2 THEN '1d' WHEN 3 THEN '5F' WHEN 4 THEN '0x1p3'
+              WHEN 5 THEN 'inf' ELSE CAST(amount AS VARCHAR) END AS "AMOUNT",
          category AS "Category", CAST(user_id AS VARCHAR) AS "User_Id"
   FROM ledger)
 SELECT * EXCLUDE (tid) FROM r UNION ALL SELECT * EXCLUDE (tid) FROM r WHERE tid % 20 = 0""",
+    "ledger_undated": "SELECT * REPLACE (CASE WHEN transaction_id % 40 <> 0 THEN date END AS date) FROM ledger",
     "predictions_fixed": _fixed_predictions_sql(),
     "metrics": "SELECT vec_id AS row_id, " + ", ".join(
         f"CAST(embedding[{i + 1}] AS DOUBLE) AS feature_{i}" for i in range(METRIC_FEATURES))

@@ -19,10 +19,20 @@ def test_exact_quantile_refinement_matches_numpy(spark, p):
     rng = np.random.default_rng(7)
     v = np.concatenate([rng.normal(size=700), np.full(400, 0.123)])     # a heavy repeated value
     df = spark.createDataFrame([(float(x),) for x in v], "x double")
-    got = A.exact_quantile(df, "x", p, buckets=8, max_band=20)
+    got = A.exact_quantile(df, "x", p, buckets=8)
     assert got == pytest.approx(float(np.percentile(v, p * 100)), abs=1e-12)
 
 
+def test_exact_quantile_with_infinities_and_wide_range(spark):
+    inf = float("inf")
+    v = [inf, -inf, 1e308, -1e308, 5e-324, 0.0] + [float(i) for i in range(95)]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,), (float("nan"),)], "x double")
+    s = sorted(v)
+    for r in (0, 1, 2, 3, 50, 98, 99, 100):
+        assert A.exact_quantile(df, "x", r / 100) == s[r]
+    assert A.exact_quantile(df.limit(0), "x", 0.5) is None
+
+
 def test_alignment_pads_and_contributions_sum_to_100(spark):
     cols = [f"feature_{i}" for i in range(4)]
     rng = np.random.default_rng(1)

@@ -12,7 +12,7 @@ from kassa.streaming.ledger_stream import RAW_LEDGER_SCHEMA, daily_spend_stream
 
 def test_stratified_split_exact_counts(spark):
     led = Tables(spark, SF_SMALL).ledger_learnable()
-    s = CL.stratified_split(led, buckets=4)
+    s = CL.stratified_split(led, digits=2)
     per = {r.category: (r.n, r.t) for r in s.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("t")).collect()}
     assert all(t == int(n * 0.2 + 0.5) for n, t in per.values())

@@ -29,7 +29,8 @@ def test_append_ids_default_date_and_fk(spark):
     batch = spark.createDataFrame([(5, 10, None, "n1", -3.0, "x"), (3, 10, dt.datetime(2024, 2, 1), "n0", 1.0, None),
                                    (4, 11, None, "bad", 1.0, None)],
                                   "seq long, user_id long, date timestamp_ntz, description string, amount double, category string")
-    new, rej = U.append(table(spark), batch, users)
+    accepted, rej = U.split_by_owner(batch, users)
+    new = U.append(table(spark), accepted)
     got = {r.description: (r.transaction_id, r.date is not None) for r in new.collect()}
     assert got["n0"] == (3, True) and got["n1"] == (4, True)
     assert [r.seq for r in rej.collect()] == [4]
@@ -39,7 +40,8 @@ def test_register_users_first_wins(spark):
     users = spark.createDataFrame([(1, "old@x.org")], "id long, email string")
     batch = spark.createDataFrame([(1, "new@x.org"), (2, "new@x.org"), (3, "old@x.org"), (4, "bad")],
                                   "seq long, email string")
-    acc, rej = U.register_users(users, batch)
+    acceptable, rej = U.split_candidates(users, batch)
+    acc = U.register_users(users, acceptable)
     assert [(r.id, r.email, r.seq) for r in acc.collect()] == [(2, "new@x.org", 1)]
     assert sorted((r.seq, r.reason) for r in rej.collect()) == [
         (2, "duplicate in batch"), (3, "already registered"), (4, "invalid email")]
