@@ -5,9 +5,9 @@ reference's two different definitions (SURVEY Q2).  Windows are per ``keys``
 (default ``user_id``) ordered by (date, transaction_id); a one-key input gives the
 reference's whole-file result.
 
-Plan shape (checked with explain): one exchange on (key, day) for the ordered
-sequence, one on (key, chunk) for the row-count windows, one on (key, month) for the
-monthly join; the per-category / per-prefix statistics are aggregated first and
+Plan shape (checked with explain): a range exchange and one on (key, part, day) for the
+ordered sequence, one on (key, chunk) for the row-count windows; monthly statistics join
+the sequence's histogram; the per-category / per-prefix statistics are aggregated first and
 joined (AQE turns that join into a broadcast when the measured side is small).
 """
 from __future__ import annotations

@@ -4,11 +4,13 @@ The reference computes its rolling features over one sorted file.  Here they are
 key (``user_id``), and a single key may hold a large share of all rows, so a plain
 ``Window.partitionBy(key)`` would put that key into one task.  Instead:
 
-1. **Day buckets.**  Rows are windowed by ``(key, day)`` only.  A per-``(key, day)``
-   histogram (map-side combined) gives, through a window over days, how many rows and
-   which last timestamp precede each day.  Position within the key = rows before the
-   day + position within the day.  The histogram holds one row per key and calendar
-   day, so its per-key window is bounded by the calendar span, not the row count.
+1. **Range parts.**  Rows are range-partitioned by (key, time, tiebreak) and written, so
+   each has the number of a part that follows the order; a key with half of all rows, on
+   one day or not, spreads over half of the parts.  Rows are windowed by ``(key, part,
+   day)`` only.  A histogram of those (map-side combined) gives, through a window over
+   parts and days, how many rows and which last timestamp precede each.  Position within
+   the key = rows before + position within.  The histogram holds one row per key, part and
+   calendar day that occur together, so its per-key window is bounded by parts plus days.
 2. **Look-back counts.**  The "rows in (t - L, t]" count is a running sum over the
    key's sequence in which every row adds +1 at ``t`` and a probe subtracts 1 at
    ``t + L`` (probes sort before rows with the same time, so a row exactly L old is
@@ -18,7 +20,7 @@ key (``user_id``), and a single key may hold a large share of all rows, so a pla
    copied into the next chunk as read-only context.  Every window partition is then
    bounded by ``chunk_rows + halo`` rows and results are exact.
 
-The only unit that must fit one task is one key's rows on one calendar day.
+No unit of work grows with the rows of a key or of a day.
 """
 from __future__ import annotations
 
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kassa.session import ensure_checkpoint_dir, materialise
+
 DEFAULT_CHUNK_ROWS = 1 << 20
 
 RANK = "_rank"          # 1-based position in (ts, tiebreak) order within the key
@@ -38,8 +42,8 @@ HALO = "_halo"
 def _group_columns(df: DataFrame, keys: list[str]) -> dict[str, Column]:
     """Null-safe stand-ins for the key columns: a nullable key becomes a non-null value
     plus an is-null flag.  Windows, the histogram aggregate and the join back all use
-    these with plain equality, so the join keeps the (key, day) hash partitioning the
-    day window already produced (``eqNullSafe`` join keys are ``coalesce`` expressions,
+    these with plain equality, so the join keeps the (key, part, day) hash partitioning the
+    window already produced (``eqNullSafe`` join keys are ``coalesce`` expressions,
     which no earlier exchange matches, and would re-shuffle the full row side).
     """
     out: dict[str, Column] = {}
@@ -70,7 +74,7 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
 
     ``attach = (table, derived)``: a table keyed by ``keys`` plus the columns named in
     ``derived`` (expressions over the day column ``_day``, e.g. its month), left-joined
-    to every row.  It is joined to the per-(key, day) histogram, which the rows join
+    to every row.  It is joined to the per-(key, part, day) histogram, which the rows join
     anyway without being shuffled, so attaching costs a join of two small tables
     instead of a shuffle of all rows.
     """
@@ -95,8 +99,12 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
     # undated rows stand before all others: a day of their own that joins by plain equality
     u = u.withColumn("_slot", F.coalesce("_day", F.lit("0001-01-01").cast("date")))
 
+    # written, so that a row's part stays what it was when a task runs again
+    order = [*g, "_t", "_kind", tiebreak]
+    u = materialise(u.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sequence")
+
     # probes (kind 0) sort before rows (kind 1) at equal time
-    w_day = Window.partitionBy(*g, "_slot").orderBy("_t", "_kind", tiebreak)
+    w_day = Window.partitionBy(*g, "_part", "_slot").orderBy("_t", "_kind", tiebreak)
     run = w_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w_day.rowsBetween(Window.unboundedPreceding, -1)
     windowed = u.select(
@@ -108,11 +116,13 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
 
     hk = {f"_hk{i}": F.col(f"`{k}`") for i, k in enumerate(keys)} if attach is not None else {}
     # the key values ride along (they are functions of the stand-ins) for ``attach``
-    hist = (u.withColumns(hk).groupBy(*g, *hk, "_slot")
+    hist = (u.withColumns(hk).groupBy(*g, *hk, "_part", "_slot")
             .agg(F.max("_day").alias("_day"), F.sum("_kind").alias("_n"), F.sum("_w").alias("_ws"),
                  F.max(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_last")))
-    w_hist = Window.partitionBy(*g).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*g, *hk, "_slot", "_day",
+    w_hist = Window.partitionBy(*g).orderBy("_part", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    w_same = Window.partitionBy(*g, "_slot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(*g, *hk, "_part", "_slot", "_day",
+                       F.coalesce(F.sum("_n").over(w_same), F.lit(0)).alias("_n_same_day"),
                        F.coalesce(F.sum("_n").over(w_hist), F.lit(0)).alias("_n_before"),
                        F.coalesce(F.sum("_ws").over(w_hist), F.lit(0)).alias("_w_before"),
                        F.last("_last", ignorenulls=True).over(w_hist).alias("_prev_day_last"))
@@ -132,10 +142,10 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
                                                   *[table[c] for c in attached])
 
     rows = windowed.filter(F.col("_kind") == 1)
-    out = rows.drop("_day").join(hist, on=[*g, "_slot"], how="inner")
+    out = rows.drop("_day").join(hist, on=[*g, "_part", "_slot"], how="inner")
     extra = {
         RANK: (F.col("_n_before") + F.col("_in_rank")).cast("long"),
-        DAY_RANK: F.col("_in_rank").cast("long"),
+        DAY_RANK: (F.col("_n_same_day") + F.col("_in_rank")).cast("long"),
         PREV_TS: F.coalesce(F.col("_in_prev"), F.col("_prev_day_last")),
     }
     if lookback_days is not None:
@@ -171,7 +181,6 @@ def dense_index(df: DataFrame, order: list, name: str = "_idx") -> DataFrame:
     the session's checkpoint folder first, so the partition layout the ids depend on
     is fixed even if tasks are re-run on other executors.
     """
-    from kassa.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), 33)

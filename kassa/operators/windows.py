@@ -36,8 +36,7 @@ def count_in_last_days(df: DataFrame, keys: list[str], days: int = 7, name: str
 
 def same_day_rank(df: DataFrame, keys: list[str], name: str = "transaction_count_7d") -> DataFrame:
     """Running count within the calendar day (serving variant of the 7-day count)."""
-    w = Window.partitionBy(*keys, F.to_date("date")).orderBy("date", "transaction_id")
-    return df.withColumn(name, F.row_number().over(w).cast("long"))
+    return seq.sequence(df, keys).withColumn(name, F.col(seq.DAY_RANK)).drop(seq.RANK, seq.DAY_RANK, seq.PREV_TS)
 
 
 def monthly_transform(df: DataFrame, keys: list[str]) -> DataFrame:

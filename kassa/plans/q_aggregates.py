@@ -136,7 +136,7 @@ def q_w5_undated(t):
     return W.days_since_last(t.ledger_undated(), ["user_id"])
 
 
-@register("W6_count_7d_undated", "transaction_id long, transaction_count_7d long", f"""
+@register("W6_count_7d_undated", "transaction_id long, transaction_count_7d double", f"""
 SELECT transaction_id, {S.count_7d()} FROM ledger_undated WHERE date IS NOT NULL
 UNION ALL SELECT transaction_id, NULL FROM ledger_undated WHERE date IS NULL""")
 def q_w6_undated(t):

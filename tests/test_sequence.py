@@ -111,3 +111,21 @@ def test_attach_joins_per_key_month_with_null_keys(spark):
     got = {r.transaction_id: r.v for r in out.collect()}
     assert got == {0: 10.0, 1: 20.0, 2: 30.0, 3: 20.0}
     assert out.columns[-1] == "v" and "year_month" not in out.columns
+
+
+def test_one_day_of_one_key_spreads_over_tasks(spark):
+    """Half of all rows belong to one key and one day: no window partition holds more than a part of them."""
+    day = dt.datetime(2024, 1, 1)
+    hot = spark.range(20_000).selectExpr("id AS transaction_id", "1L AS user_id")
+    cold = spark.range(20_000, 40_000).selectExpr("id AS transaction_id", "id % 500 AS user_id")
+    df = hot.unionByName(cold).withColumn("date", F.lit(day).cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = seq.sequence(df, ["user_id"])
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 6 and max(sizes) < 15_000
+    ranks = out.where("user_id = 1").agg(F.min(seq.RANK), F.max(seq.RANK), F.count_distinct(seq.RANK),
+                                         F.max(seq.DAY_RANK)).first()
+    assert tuple(ranks) == (1, 20_040, 20_040, 20_040)
