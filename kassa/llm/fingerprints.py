@@ -3,7 +3,7 @@
 A text's five-word shingles are hashed once; the top bits of a hash choose one of ``BINS`` bins,
 which keeps its least hash.  An empty bin borrows from the first filled bin in a probe order of
 its own (optimal densification: independent probes; a permutation of all bins, so it always ends).
-Of every bin the low ``BITS`` bits are kept, packed into 64-bit words; a fingerprint's text form is
+Of every bin's value, hashed with the bin, the low ``BITS`` bits are kept, packed into 64-bit words; a fingerprint's text form is
 those words in hexadecimal.  Equal bins overstate likeness by chance agreement of 2^-BITS, which
 ``likeness`` takes out.
 
@@ -29,7 +29,7 @@ def _bin(h):
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: array<bigint> of packed bins (null without words) for string column ``text``."""
-    words, hashes, least, slots, low = (f"_{name}_{x}" for x in ("words", "hashes", "least", "slots", "low"))
+    words, hashes, least, slots, dense = (f"_{name}_{x}" for x in ("words", "hashes", "least", "slots", "dense"))
     keep = [F.col(c) for c in df.columns]
     df = df.withColumn(words, words_of(lower_ascii(F.col(text))))
     # every step names its input more than once, so the planner keeps it as a column instead of
@@ -39,23 +39,24 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))))
     # sorted, a bin's hashes stand together, the least first
     df = df.withColumn(least, F.filter(hashes, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(F.col(hashes), i - 1)))))
-    df = df.withColumn(slots, F.map_from_arrays(F.transform(least, _bin), F.transform(
-        least, lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)))))
-    df = df.withColumn(low, F.when(F.size(slots) > 0, F.transform(
+    df = df.withColumn(slots, F.map_from_arrays(F.transform(least, _bin), F.col(least)))
+    df = df.withColumn(dense, F.when(F.size(slots) > 0, F.transform(
         F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.try_element_at(F.col(slots), j))))
 
     def value(j):
-        hits = [F.get(F.col(low), F.pmod(F.xxhash64(j, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
+        hits = [F.get(F.col(dense), F.pmod(F.xxhash64(j, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
         # whoever misses that often looks through the filled bins, in a random order of its own
         rest = F.array_min(F.transform(F.map_keys(slots), lambda b: F.struct(
             F.xxhash64(j, b, F.lit(PROBES)).alias("rank"), F.try_element_at(F.col(slots), b).alias("v"))))
-        return F.coalesce(F.get(F.col(low), j), *hits, rest["v"])
+        found = F.coalesce(F.get(F.col(dense), j), *hits, rest["v"])
+        # hashed with its bin: bins that borrow one value then agree by chance independently
+        return F.xxhash64(found, j).bitwiseAND(F.lit((1 << BITS) - 1))
 
     full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value)
     packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_WORD - 1)), lambda w: F.aggregate(
         F.slice(F.col(f"_{name}_full"), w * PER_WORD + 1, PER_WORD), F.lit(0).cast("long"),
         lambda acc, v: F.shiftleft(acc, BITS).bitwiseOR(v)))
-    df = df.withColumn(f"_{name}_full", F.when(F.col(low).isNotNull(), full))
+    df = df.withColumn(f"_{name}_full", F.when(F.col(dense).isNotNull(), full))
     df = df.withColumn(name, F.when(F.size(f"_{name}_full") > 0, packed))
     return df.select(*keep, name)
 
@@ -93,34 +94,32 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     rows = docs.select(docs[key].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    keys = rows.groupBy("id", "h").agg(F.count("*").alias("times"), F.first(F.length("text")).alias("n"))
+    # never null, so that joins compare plain columns and keep the texts where they are
+    rows = rows.withColumns({"k": F.coalesce(F.col("id").cast("string"), F.lit("null")), "h": F.xxhash64("text")})
+    keys = rows.groupBy("id", "k", "h").agg(F.count("*").alias("times"), F.first(F.length("text")).alias("n"))
     keys = global_order(scratch, keys, ["id", "h"], "keys")
-    first = keys.orderBy("_uid").limit(1).select("id", "h", "n").first()
-    if first is None:
-        wrap = F.lit(None).cast(keys.select(F.struct("id", "h", "n")).schema[0].dataType)
-    else:
-        wrap = F.struct(F.lit(first["id"]).cast(keys.schema["id"].dataType).alias("id"),
-                        F.lit(first["h"]).cast("long").alias("h"), F.lit(first["n"]).cast("int").alias("n"))
-    keys = scratch.settle(with_next(keys, ["id", "h", "n"]).select(
-        "id", "h", "times", "n", F.coalesce("_next", wrap).alias("next")), "next")
+    first = keys.orderBy("_uid").limit(1).select("k", "h", "n").first()
+    wrap = F.struct(*[F.lit(first[c] if first else None).cast(keys.schema[c].dataType).alias(c) for c in ("k", "h", "n")])
+    keys = scratch.settle(with_next(keys, ["k", "h", "n"]).select(
+        "id", "k", "h", "times", "n", F.coalesce("_next", wrap).alias("next")), "next")
 
     # one row per key; both joins below read the same shuffle of the texts
-    texts = rows.groupBy("id", "h").agg(F.first("text").alias("text"))
-    wanted = keys.select("id", "h", "times", "n", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"),
+    texts = rows.groupBy("k", "h").agg(F.first("text").alias("text"))
+    carried = ["id", "k", "h", "times", "n", "next_k", "next_h"]
+    wanted = keys.select("id", "k", "h", "times", "n", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"),
                          F.least(F.floor(F.col("n") / 4).cast("int"), F.col("next.n")).alias("taken"))
-    source = texts.select(F.col("id").alias("sid"), F.col("h").alias("sh"), F.col("text").alias("stext"))
-    heads = wanted.join(source, wanted["next_id"].eqNullSafe(source["sid"]) & (wanted["next_h"] == source["sh"])).select(
-        "id", "h", "times", "n", "next_id", "next_h", F.substring("stext", F.lit(1), F.col("taken")).alias("head"))
-    own = texts.select(F.col("id").alias("oid"), F.col("h").alias("oh"), "text")
-    both = heads.join(own, heads["id"].eqNullSafe(own["oid"]) & (heads["h"] == own["oh"])).select(
-        "id", "h", "times", "n", "next_id", "next_h", "text",
+    source = texts.select(F.col("k").alias("sk"), F.col("h").alias("sh"), F.col("text").alias("stext"))
+    heads = wanted.join(source, (wanted["next_k"] == source["sk"]) & (wanted["next_h"] == source["sh"])).select(
+        *carried, F.substring("stext", F.lit(1), F.col("taken")).alias("head"))
+    own = texts.select(F.col("k").alias("ok"), F.col("h").alias("oh"), "text")
+    both = heads.join(own, (heads["k"] == own["ok"]) & (heads["h"] == own["oh"])).select(
+        *carried, "text",
         F.concat(F.substring("text", F.lit(1), F.col("n") - F.floor(F.col("n") / 4).cast("int")), "head").alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
     printed = with_fingerprint(with_fingerprint(both, "text", "packed"), "edited", "edited_packed")
     printed = scratch.settle(printed.drop("text", "edited"), "printed")
-    other = printed.select(F.col("id").alias("nid"), F.col("h").alias("nh"), F.col("packed").alias("next_packed"))
-    out = printed.join(other, printed["next_id"].eqNullSafe(other["nid"]) & (printed["next_h"] == other["nh"]))
+    other = printed.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("packed").alias("next_packed"))
+    out = printed.join(other, (printed["next_k"] == other["nk"]) & (printed["next_h"] == other["nh"]))
     return out.select(
         F.col("id").alias(key), F.col("n").cast("long").alias("n_chars"), "edited_sha256",
         as_text(F.col("packed")).alias("fingerprint"), as_text(F.col("edited_packed")).alias("edited_fingerprint"),
