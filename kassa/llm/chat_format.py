@@ -89,25 +89,27 @@ def chosen_paths(scratch: Scratch, links: DataFrame, branches: int = 1) -> DataF
 
     ``links``: tree, id, parent, score, where ids are unique over all trees.
     """
-    # jump j: the ancestor 2^j above, with the score summed from the message up to below it
+    # jump j: the ancestor 2^j above, with score and depth summed from the message up to below it.
+    # Messages that have reached their root are done and not joined again.
     known = links.select(F.col("id").alias("known"))
     hops = scratch.settle(
         links.join(known, links["parent"] == known["known"], "left")
         .select("tree", "id", F.col("known").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"),
                 F.lit(1).cast("long").alias("depth")), "jump0")
-    jumps, steps = [hops], 0
-    n = links.count()
-    while not jumps[-1].where(F.col("up").isNotNull()).isEmpty():
-        if 2 ** steps > n:  # longer than any tree: only cycles still point upwards
+    above, done = F.col("up").isNotNull(), hops.where(F.col("up").isNull())
+    jumps, n = [hops.where(above)], hops.count()
+    while not jumps[-1].isEmpty():
+        if 2 ** (len(jumps) - 1) > n:  # longer than any tree: only cycles still point upwards
             break
-        steps += 1
-        low, high = jumps[-1], jumps[-1].select(
+        low = jumps[-1]
+        high = done.unionByName(low).select(
             F.col("id").alias("mid"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        jumps.append(scratch.settle(
-            low.join(high, low["up"] == high["mid"], "left")
-            .select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-                    (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")), f"jump{steps}"))
-    rooted = jumps[-1].where(F.col("up").isNull()).select("tree", "id", "total", "depth")
+        further = scratch.settle(low.join(high, low["up"] == high["mid"]).select(
+            "tree", "id", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"),
+            (F.col("depth") + F.col("d2")).alias("depth")), f"jump{len(jumps)}")
+        done = done.unionByName(further.where(F.col("up").isNull()))
+        jumps.append(further.where(above))
+    rooted = done.select("tree", "id", "total", "depth")
     parents = hops.where(F.col("up").isNotNull()).select(F.col("up").alias("p")).distinct()
     leaves = rooted.join(parents, rooted["id"] == parents["p"], "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "id")
@@ -116,10 +118,10 @@ def chosen_paths(scratch: Scratch, links: DataFrame, branches: int = 1) -> DataF
     path = scratch.settle(best, "leaves")
     # a distance is one sum of powers of two, so every ancestor is reached exactly once
     for j in range(len(jumps) - 1, -1, -1):
-        hop = jumps[j].where(F.col("up").isNotNull()).select(F.col("id").alias("from"), F.col("up").alias("to"))
-        above = path.join(hop, path["id"] == hop["from"]).select(
+        hop = jumps[j].select(F.col("id").alias("from"), F.col("up").alias("to"))
+        more = path.join(hop, path["id"] == hop["from"]).select(
             "tree", "leaf", F.col("to").alias("id"), (F.col("depth") - 2 ** j).alias("depth"))
-        path = scratch.settle(path.unionByName(above), f"path{j}")
+        path = scratch.settle(path.unionByName(more), f"path{j}")
     return path
 
 
