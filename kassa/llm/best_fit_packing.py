@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -34,15 +35,20 @@ from kassa.llm.common import Scratch
 
 CAPACITY, END_ID = 4096, 1
 #: entries remembered per worker, and bytes of text whose new words are tokenised together
-WORDS, TOGETHER = 400_000, 1 << 20
+WORDS, TOGETHER = 600_000, 1 << 20
 #: share of unplaced pieces that a round must place before new sequences are opened
 PROGRESS = 0.02
 
 
+#: a full stop or comma between a letter and a blank is a part of its own
+_EDGE = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r]|\Z)")
+
+
 class WordTokenizer:
     """Token ids of texts, from remembered ids of their blank-separated words.
 
-    For tokenizers that drop white space and never join across it.
+    For tokenizers that drop white space, never join across it, lower-case A-Z, split a run of letters
+    from other characters, and mark the last token of each run with ``</w>``.
     """
 
     def __init__(self, path: str):
@@ -51,17 +57,48 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remembers the ids of words not known yet."""
+        letters = [w for w in words if w.decode("utf-8", "replace").isalpha()]
+        other = list(words.difference(letters))
+        if letters:
+            # one text of all of them: each is one run of letters and ends with a marked token
+            text = b" ".join(letters).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(letters):
+                raw = ids.tobytes()
+                self.known.update((w, raw[i:j]) for w, i, j in zip(letters, [0, *cuts.tolist()], cuts.tolist()))
+            else:
+                other += letters
+        if other:
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
+
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        """Parts of a text that are tokenised on their own, written alike where their ids are."""
+        raw = text.encode("utf-8", "surrogatepass")
+        if b"<|" not in raw:  # a special token's spelling counts
+            raw = _EDGE.sub(rb" \1", raw.lower())
+        return raw.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        split = [self.words(t) for t in texts]
+        parts = [list(map(self.known.get, words)) for words in split]
+        new = {w for words, p in zip(split, parts) if None in p for w, x in zip(words, p) if x is None}
+        if new:
+            if len(self.known) + len(new) > WORDS:
+                self.known.clear()
+            self._learn(new)
+            parts = [[self.known[w] if x is None else x for w, x in zip(words, p)] if None in p else p
+                     for words, p in zip(split, parts)]
+        return [b"".join(p) for p in parts]
 
 
 @functools.lru_cache(maxsize=2)
