@@ -1,23 +1,25 @@
 """Exact Jaccard links between documents' shingle sets, by prefixes under several token orders.
 
-Two sets with Jaccard >= t share a token among the first n - ceil(t n) + 1 of each, under *every*
-global order of tokens.  So:
+Two sets with Jaccard >= t share at least m tokens among the first n - ceil(t n) + m of each, under
+*every* global order of tokens and for every m; here m is 1 + n / 16 of the smaller set.  So:
 
 1. Texts with equal shingle sets form a class; from here on a class is one node.
-2. Every node emits its prefix under the first order; tokens with two nodes or more are buckets.
+2. Every node emits its prefix under the first order; the nodes of a token are its bucket.  Sets whose
+   sizes differ by more than t are no pair, so a row without a neighbour near in size goes, and so
+   does a node with fewer than m rows left: it shares too little with all others together.
    Orders put rarer tokens first: tokens that come up often inside some stretch of the input have
    their summed counts as first sort key (broadcast, at most ``MAX_FREQUENT`` numbers), so a passage
    shared by very many documents is in few prefixes.  Any order is exact; this one keeps buckets small.
-3. Each node is compared with one other: of its buckets' least nodes, the one it meets most often.
+3. Each node is compared with one other: the one it most often follows in its buckets, by size.
    Near copies in large groups link up here, at one comparison per node.
-4. Then all pairs of nodes that share a bucket and are not yet connected are compared.
+4. Then all pairs of nodes that share m buckets and are not yet connected are compared.
 
-Pairs of steps 3 and 4 are verified on whole texts only after they also share a prefix token under
+Pairs of steps 3 and 4 are verified on whole texts only after they also share m prefix tokens under
 each of the other orders.  A connected component of the links is a group.  Every link is found: a
 pair that is never compared is already connected.
 
 Tokens are 64-bit hashes of five words (A-Z lower-cased; fewer words are one token).  Defined
-results: null, empty and blank texts have an empty set and link with nothing; rows with equal key
+results: null keys come after all others; null, empty and blank texts have an empty set and link with nothing; rows with equal key
 and text are one document; an empty table has no rows.
 """
 from __future__ import annotations
@@ -29,12 +31,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kassa.llm.common import Scratch
 from kassa.llm.components import components
 
-SHINGLE, PERCENT, ORDERS = 5, 75, 3
+SHINGLE, PERCENT, ORDERS, SHARE = 5, 75, 3, 16
 #: tokens counted together, how often one must come up among them, and the most of them that are kept
 STRETCH, OFTEN, MAX_FREQUENT = 1_000_000, 4, 500_000
 #: members of one comparison block
@@ -73,10 +74,10 @@ def token_set(text: str | None) -> np.ndarray:
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(words))
     n = len(words) - width + 1
-    out = np.full(n, width, np.uint64)
-    for i in range(width):
-        out = _mix(out + h[i: i + n] + np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(out)
+    out = h[:n] + np.uint64(width)
+    for i in range(1, width):  # an odd weight per place
+        out += h[i: i + n] * np.uint64(0x9E3779B97F4A7C15 ** (i + 1) & _MASK)
+    return np.unique(_mix(out))
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -86,8 +87,13 @@ def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def common(n: int) -> int:
+    """How many prefix tokens a set of n and any larger one must share."""
+    return 1 + n // SHARE
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    return min(n, n - -(-PERCENT * n // 100) + common(n))
 
 
 def prefix(tokens: np.ndarray, frequent: tuple, order: int) -> np.ndarray:
@@ -112,18 +118,22 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.astype(np.uint64).view(np.int64)
 
 
-def _count_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per row its set's size and class; besides, counts of tokens that come up often in a stretch."""
     held, size = [], 0
 
     def counted():
         names, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= OFTEN
-        return pd.DataFrame({"token": _signed(names[often]), "times": counts[often].astype(np.int64)})
+        return pd.DataFrame({"row": None, "n": counts[often], "node": _signed(names[often])})
 
     for batch in batches:
-        for text in batch["text"]:
-            held.append(token_set(text))
-            size += len(held[-1])
+        sets = [token_set(t) for t in batch["text"]]
+        yield pd.DataFrame({"row": batch["row"], "n": [len(s) for s in sets],
+                            "node": pd.array([signature(s) if len(s) else None for s in sets], dtype="Int64")})
+        for s in sets:
+            held.append(s)
+            size += len(s)
             if size >= STRETCH:
                 yield counted()
                 held, size = [], 0
@@ -131,106 +141,145 @@ def _count_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield counted()
 
 
-def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted tokens, counts): at most MAX_FREQUENT, the most frequent."""
-    counted = rows.select("text").mapInPandas(_count_stretches, "token long, times long")
-    top = (counted.groupBy("token").agg(F.sum("times").alias("times"))
-           .orderBy(F.desc("times"), "token").limit(MAX_FREQUENT).toPandas())
-    names = top["token"].to_numpy(np.int64).view(np.uint64)
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted tokens, counts) of (node, n): at most MAX_FREQUENT, the most frequent."""
+    top = (counted.groupBy("node").agg(F.sum("n").alias("n"))
+           .orderBy(F.desc("n"), "node").limit(MAX_FREQUENT).toPandas())
+    names = top["node"].to_numpy(np.int64).view(np.uint64)
     by_name = np.argsort(names)
-    return names[by_name], top["times"].to_numpy(np.int64)[by_name]
-
-
-@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType())]))
-def _measured(texts: pd.Series) -> pd.DataFrame:
-    sets = [token_set(t) for t in texts]
-    return pd.DataFrame({"n": pd.array([len(s) for s in sets], dtype="Int64"),
-                         "node": pd.array([signature(s) if len(s) else None for s in sets], dtype="Int64")})
-
-
-def _sets(rows: DataFrame) -> DataFrame:
-    """(id, h, n, node): node is null for empty sets."""
-    return rows.select("id", "h", _measured("text").alias("m")).select("id", "h", "m.*")
+    return names[by_name], top["n"].to_numpy(np.int64)[by_name]
 
 
 def _prefix_rows(rows: DataFrame, frequent) -> DataFrame:
-    """(token, node) of every row's prefix under the first order."""
+    """(token, node, n) of every row's prefix under the first order."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
         for b in batches:
-            tokens, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            tokens, nodes, sizes = [np.empty(0, np.uint64)], [], []
             for text in b["text"]:
                 s = token_set(text)
                 if len(s):
                     tokens.append(prefix(s, shared.value, 0))
-                    nodes.append(np.full(len(tokens[-1]), signature(s), np.int64))
-            yield pd.DataFrame({"token": _signed(np.concatenate(tokens)), "node": np.concatenate(nodes)})
-    return rows.select("text").mapInPandas(emit, "token long, node long")
+                    nodes.append(signature(s))
+                    sizes.append(len(s))
+            times = [len(t) for t in tokens[1:]]
+            yield pd.DataFrame({"token": _signed(np.concatenate(tokens)),
+                                "node": np.repeat(np.array(nodes, np.int64), times),
+                                "n": np.repeat(np.array(sizes, np.int32), times)})
+    return rows.select("text").mapInPandas(emit, "token long, node long, n int")
+
+
+def _near_in_size(small: str, large: str) -> str:
+    return f"100 * {small} >= {PERCENT} * {large}"
+
+
+def _common(n: str) -> str:
+    return f"1 + {n} div {SHARE}"
+
+
+def _strong(buckets: DataFrame) -> DataFrame:
+    """The rows of nodes that share enough with all others together, the smallest possible partner in mind."""
+    partner = f"(n * {PERCENT} div 100)"
+    enough = buckets.groupBy("node", "n").agg(F.count("*").alias("k")).where(f"k >= {_common(partner)}").select(
+        F.col("node").alias("strong"))
+    return buckets.join(enough, F.col("node") == F.col("strong"), "left_semi").select("token", "node", "n")
+
+
+def _buckets(prefixes: DataFrame) -> DataFrame:
+    """(token, node, n, before): rows whose token has another node near in size; before: the next smaller.
+
+    Of all sizes the neighbour's is the nearest, so looking at both neighbours finds every such row.
+    """
+    order = "OVER (PARTITION BY token ORDER BY n, node)"
+    once = prefixes.selectExpr("token", "node", "n", f"lag(node) {order} AS same").where("same IS NULL OR same <> node")
+    both = once.selectExpr("token", "node", "n", f"lag(node) {order} AS before", f"lag(n) {order} AS n0", f"lead(n) {order} AS n1")
+    near = both.withColumn("joins", F.expr(f"coalesce({_near_in_size('n0', 'n')}, false)"))
+    return near.where(f"joins OR {_near_in_size('n', 'n1')}").selectExpr(
+        "token", "node", "n", "CASE WHEN joins THEN before END AS before")
 
 
 def _other_orders(texts: DataFrame, frequent) -> DataFrame:
-    """(node, p1, p2, ...): prefixes under the other orders, 32 bits of each token."""
+    """(node, n, p1, p2, ...): prefixes under the other orders."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
     names = [f"p{k}" for k in range(1, ORDERS)]
 
     def emit(batches):
         for b in batches:
             sets = [token_set(t) for t in b["text"]]
-            yield pd.DataFrame({"node": b["node"]} | {
-                f"p{k}": [prefix(s, shared.value, k).astype(np.uint32).view(np.int32) for s in sets]
-                for k in range(1, ORDERS)})
-    return texts.mapInPandas(emit, "node long, " + ", ".join(f"{p} array<int>" for p in names))
+            yield pd.DataFrame({"node": b["node"], "n": [len(s) for s in sets]} | {
+                f"p{k}": [_signed(prefix(s, shared.value, k)) for s in sets] for k in range(1, ORDERS)})
+    return texts.mapInPandas(emit, "node long, n int, " + ", ".join(f"{p} array<long>" for p in names))
 
 
 def _in_all_orders(pairs: DataFrame, orders: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under every other order."""
-    names = [c for c in orders.columns if c != "node"]
-    left = orders.select(F.col("node").alias("na"), *[F.col(c).alias(f"{c}a") for c in names])
-    right = orders.select(F.col("node").alias("nb"), *[F.col(c).alias(f"{c}b") for c in names])
+    """The pairs (a, b) that share enough prefix tokens under every other order."""
+    names = [f"p{k}" for k in range(1, ORDERS)]
+    left = orders.select(F.col("node").alias("na"), F.col("n").alias("sa"), *[F.col(c).alias(f"{c}a") for c in names])
+    right = orders.select(F.col("node").alias("nb"), F.col("n").alias("sb"), *[F.col(c).alias(f"{c}b") for c in names])
     both = pairs.join(left, pairs["a"] == left["na"]).join(right, pairs["b"] == right["nb"])
     for c in names:
-        both = both.where(F.arrays_overlap(f"{c}a", f"{c}b"))
+        both = both.where(F.expr(f"size(array_intersect({c}a, {c}b)) >= {_common('least(sa, sb)')}"))
     return both.select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links.  Texts of b travel to blocks of at most about BLOCK per a."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    size = size.withColumnRenamed("a", "of")
-    blocked = pairs.join(size, pairs["a"] == size["of"]).select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    members = blocked.join(texts.withColumnRenamed("node", "n"), F.col("b") == F.col("n")).select("a", "block", "b", "text")
-    heads = size.select(F.col("of").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    heads = heads.join(texts.withColumnRenamed("node", "n"), F.col("a") == F.col("n")).select(
-        "a", "block", F.col("text").alias("head"))
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (a, block), each block's head before its members: the linked pairs."""
+    at, head = None, np.empty(0, np.uint64)
+    for batch in batches:
+        hits = []
+        for a, block, b, text in zip(batch["a"], batch["block"], batch["b"], batch["text"]):
+            if b == a:
+                if at != (a, block):
+                    at, head = (a, block), token_set(text)
+            elif linked(head, token_set(text)):
+                hits.append((a, b))
+        yield pd.DataFrame(hits, columns=["a", "b"], dtype="int64")
 
-    def compare(head: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        a = token_set(head["head"].iloc[0]) if len(head) else np.empty(0, np.uint64)
-        hit = [linked(a, token_set(t)) for t in rest["text"]]
-        return rest.loc[np.array(hit, bool), ["a", "b"]].drop_duplicates()
 
-    return (heads.groupBy("a", "block").cogroup(members.groupBy("a", "block"))
-            .applyInPandas(compare, "a long, b long"))
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links.  Texts of b travel to blocks of about BLOCK per a."""
+    texts = texts.select(F.col("node").alias("of"), "text")
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("a", "head")
+    members = pairs.join(size, pairs["a"] == size["head"]).select(
+        "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    heads = size.select(F.col("head").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                        F.col("head").alias("b"))
+    rows = members.unionByName(heads).join(texts, F.col("b") == F.col("of")).select(
+        "a", "block", "b", (F.col("a") != F.col("b")).alias("member"), "text")
+    return (rows.repartition("a", "block").sortWithinPartitions("a", "block", "member")
+            .select("a", "block", "b", "text").mapInPandas(_compare, "a long, b long"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, h, n, component): per row its key, its text's hash, set size, least key of its group."""
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     rows = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
-    frequent = frequent_tokens(rows)
-    sets = scratch.settle(_sets(rows), "sets")
-
-    # a token's nodes stand together after one shuffle; most tokens have one and go
-    at = "PARTITION BY token"
-    buckets = scratch.settle(
-        _prefix_rows(rows, frequent)
-        .selectExpr("token", "node", f"min(node) OVER ({at}) AS least", f"max(node) OVER ({at}) AS most")
-        .where("least < most").select("token", "node", "least").distinct(), "buckets")
+    kind = rows.schema["id"].dataType
+    # keys pass through as text: a nullable number would become a float on the way
+    surveyed = scratch.settle(rows.select(F.struct("id", "h").alias("r"), "text").select(
+        F.to_json(F.struct(F.col("r.id").cast("string").alias("id"), F.col("r.h").cast("string").alias("h"))).alias("row"), "text")
+        .mapInPandas(_survey, "row string, n long, node long"), "survey")
+    keys = F.from_json("row", "id string, h string")
+    sets = surveyed.where("row IS NOT NULL").withColumn("k", keys).select(
+        F.col("k.id").cast(kind).alias("id"), F.col("k.h").cast("long").alias("h"), "n", "node")
+    frequent = _frequent(surveyed.where("row IS NULL").select("node", "n"))
+
+    # a token's nodes stand together after one shuffle; tokens without a pair near in size go
+    buckets = scratch.settle(_buckets(_prefix_rows(rows, frequent)), "buckets")
+    scratch.release()
+    weak = buckets
+    buckets = scratch.settle(_buckets(_strong(weak)), "strong")
+    scratch.drop(weak)
     scratch.release()
 
+    # each node with the one it most often follows
+    nearest = scratch.settle(
+        buckets.where("before IS NOT NULL").groupBy(F.col("before").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"))
+        .groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "nearest")
     # whole texts of the nodes in buckets, one row of documents each
-    named = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"))
+    named = sets.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min(F.struct("id", "h")).alias("first"), F.min("id").alias("id"))
     wanted = buckets.select(F.col("node").alias("wanted")).distinct().join(named, F.col("wanted") == F.col("node")).select(
         "node", F.col("first.id").alias("wid"), F.col("first.h").alias("wh"))
     texts = scratch.settle(
@@ -238,26 +287,26 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     orders = scratch.settle(_other_orders(texts, frequent), "orders")
     scratch.release()
 
-    met = buckets.where("node > least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"))
-    nearest = met.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    first = scratch.settle(_verified(scratch.settle(_in_all_orders(nearest, orders), "nearest"), texts), "links1")
+    first = scratch.settle(_verified(scratch.settle(_in_all_orders(nearest, orders), "pairs"), texts), "links")
     scratch.release()
     so_far = components(scratch, first)
 
-    labelled = buckets.join(so_far.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-        "token", "node", F.coalesce("root", "node").alias("root"))
-    span = labelled.selectExpr("*", f"min(root) OVER ({at}) AS r0", f"max(root) OVER ({at}) AS r1").where("r0 < r1")
-    open_ = scratch.settle(span.select("token", "node", "root"), "open")
-    other = open_.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("root").alias("other"))
-    pairs = (open_.join(other, (F.col("token") == F.col("t")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")))
-             .select(F.col("node").alias("a"), "b").distinct())
-    pairs = pairs.join(nearest, ["a", "b"], "left_anti")
-    second = scratch.settle(_verified(scratch.settle(_in_all_orders(pairs, orders), "open-pairs"), texts), "links2")
+    at = "OVER (PARTITION BY token)"
+    labelled = buckets.join(so_far.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
+        "token", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = scratch.settle(labelled.selectExpr("*", f"min(root) {at} AS r0", f"max(root) {at} AS r1").where("r0 < r1")
+                           .select("token", "node", "n", "root"), "open")
+    other = open_.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other"))
+    apart = (F.col("token") == F.col("t")) & (F.col("root") != F.col("other")) & (
+        (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") < F.col("b")))) & F.expr(_near_in_size("n", "nb"))
+    pairs = (open_.join(other, apart).groupBy(F.col("node").alias("a"), "b", "n").agg(F.count("*").alias("k"))
+             .where(f"k >= {_common('n')}").select("a", "b").join(nearest, ["a", "b"], "left_anti"))
+    second = scratch.settle(_verified(scratch.settle(_in_all_orders(pairs, orders), "open-pairs"), texts), "links")
     scratch.release()
 
     roots = components(scratch, first.unionByName(second))
-    part = named.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-        "node", F.coalesce("root", "node").alias("root"), F.col("first.id").alias("id"))
+    part = named.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "id")
     least = part.groupBy("root").agg(F.min("id").alias("component"))
     part = part.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(
         F.col("node").alias("of"), "component")
