@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 SAMPLE, VOCABULARY, BUCKETS = 6000, 40_000, 1 << 15
 DIMENSIONS, NONZERO, NEIGHBOURS, HIDDEN, EPOCHS, SEED = 128, 8, 2, 32, 40, 7
 THRESHOLD = 0.3
+#: words handled at once while learning
+STRETCH = 20_000
 _WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 CAPITALS, AGAIN = "\x01capitals", "\x01again"
 
@@ -95,16 +97,25 @@ class Model:
 def _context_vectors(sequences: list[np.ndarray], index: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Sums of neighbours' index vectors per row; ``bucket`` maps rows to hash buckets."""
     out = np.zeros((len(bucket), DIMENSIONS), np.float32)
-    step = 100_000
+
+    def add(rows, neighbours):
+        order = np.argsort(rows, kind="stable")
+        row = rows[order]
+        begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        out[row[begin]] += np.add.reduceat(index[bucket[neighbours[order]]], begin, axis=0)
+
+    # a bounded stretch of words at a time
     for near in range(1, NEIGHBOURS + 1):
-        left = np.concatenate([s[:-near] for s in sequences if len(s) > near] or [np.empty(0, np.int64)])
-        right = np.concatenate([s[near:] for s in sequences if len(s) > near] or [np.empty(0, np.int64)])
-        for a, b in ((left, right), (right, left)):
-            for at in range(0, len(a), step):
-                order = np.argsort(a[at: at + step], kind="stable")
-                row = a[at: at + step][order]
-                begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                out[row[begin]] += np.add.reduceat(index[bucket[b[at: at + step][order]]], begin, axis=0)
+        held, size = [], 0
+        for i, s in enumerate(sequences):
+            for at in range(0, len(s) - near, STRETCH):
+                held.append((s[at: at + STRETCH][: len(s) - near - at], s[at + near: at + near + STRETCH]))
+                size += len(held[-1][0])
+            if held and (size >= STRETCH or i == len(sequences) - 1):
+                left, right = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+                add(left, right)
+                add(right, left)
+                held, size = [], 0
     return out
 
 
@@ -115,20 +126,22 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         nothing = np.zeros((0, HIDDEN), np.float32)
         return Model([], nothing, nothing, nothing, 0.0, 1.0, constant)
     index = index_vectors()
-    said = [words_in(t) for t in texts]
+    # texts are split twice, so that their words are never all in memory
     counts: dict[str, int] = {}
-    for words in said:
-        for w in words:
+    for text in texts:
+        for w in words_in(text):
             counts[w] = counts.get(w, 0) + 1
     vocabulary = [w for _, w in sorted((-n, w) for w, n in counts.items() if n > 1)[:VOCABULARY]]
+    del counts
     rows = _Rows(vocabulary)
     bucket = np.concatenate([np.arange(BUCKETS), [_bucket(w) for w in vocabulary]]).astype(np.int64)
-    sequences = [np.fromiter(map(rows.__getitem__, words), np.int64, len(words)) for words in said]
+    sequences = [np.array(list(map(rows.__getitem__, words_in(text))), np.int32) for text in texts]
     context = _context_vectors(sequences, index, bucket)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
     context[:BUCKETS] = 0  # a shared bucket's neighbours say nothing of one word
     vectors = index[bucket] + context
-    x = np.stack([vectors[s].mean(axis=0) if len(s) else np.zeros(DIMENSIONS, np.float32) for s in sequences]).astype(np.float64)
+    x = np.stack([sum((vectors[s[i: i + STRETCH]].sum(axis=0, dtype=np.float64) for i in range(0, len(s), STRETCH)),
+                      np.zeros(DIMENSIONS)) / max(len(s), 1) for s in sequences])
     spread = x.std(axis=0) + 1e-6
     middle = x.mean(axis=0)
     x = (x - middle) / spread
@@ -159,7 +172,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
     temperature = min(np.geomspace(0.25, 8, 61), key=loss) if len(check) else 1.0
     inner = p[0] / spread[:, None]
-    return Model(vocabulary, (vectors @ inner).astype(np.float32), (p[1] - middle @ inner).astype(np.float64),
+    return Model(vocabulary, vectors @ inner.astype(np.float32), (p[1] - middle @ inner).astype(np.float64),
                  p[2], float(p[3][0]), float(temperature))
 
 
