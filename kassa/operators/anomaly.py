@@ -213,6 +213,8 @@ def top_anomalies(scored: DataFrame, n: int = 10, key: str = "row_id") -> DataFr
 def contributions(scored: DataFrame, cols: list[str], key: str = "row_id") -> DataFrame:
     """Per row and feature: original, scaled, reconstructed, squared error, percent
     of the row's total (sums to 100 per row).  Works for every row given, not one index."""
+    # The output columns feature, original_value, scaled_value,
+    # reconstructed_scaled, squared_error and contribution_pct.
     sq = {c: F.pow(F.col(f"{c}_scaled") - F.col(f"{c}_recon"), 2) for c in cols}
     tot = None
     for e in sq.values():
