@@ -38,6 +38,8 @@ from kassa.llm.components import components
 SHINGLE, PERCENT, ORDERS, SHARE = 5, 75, 3, 16
 #: tokens counted together, how often one must come up among them, and the most of them that are kept
 STRETCH, OFTEN, MAX_FREQUENT = 1_000_000, 4, 500_000
+#: rows of one token from which on it is put behind rarer ones
+LARGE = 24
 #: members of one comparison block
 BLOCK = 200
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -150,6 +152,18 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names[by_name], top["n"].to_numpy(np.int64)[by_name]
 
 
+def _refined(prefixes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``frequent`` with the tokens whose bucket would be large, counted exactly over all prefixes."""
+    large = (prefixes.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE)
+             .orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas())
+    counts = pd.Series(frequent[1], index=_signed(frequent[0]))
+    counts = pd.concat([counts, pd.Series(large["n"].to_numpy(np.int64), index=large["token"].to_numpy(np.int64))])
+    counts = counts.groupby(level=0).max().nlargest(MAX_FREQUENT)
+    names = counts.index.to_numpy(np.int64).view(np.uint64)
+    by_name = np.argsort(names)
+    return names[by_name], counts.to_numpy(np.int64)[by_name]
+
+
 def _prefix_rows(rows: DataFrame, frequent) -> DataFrame:
     """(token, node, n) of every row's prefix under the first order."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
@@ -265,6 +279,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.col("k.id").cast(kind).alias("id"), F.col("k.h").cast("long").alias("h"), "n", "node")
     frequent = _frequent(surveyed.where("row IS NULL").select("node", "n"))
 
+    # what short stretches miss shows in the size of its bucket
+    frequent = _refined(_prefix_rows(rows, frequent).select("token"), frequent)
+    scratch.release()
+
     # a token's nodes stand together after one shuffle; tokens without a pair near in size go
     buckets = scratch.settle(_buckets(_prefix_rows(rows, frequent)), "buckets")
     scratch.release()
