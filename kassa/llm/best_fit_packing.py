@@ -4,8 +4,8 @@ Documents become token pieces of at most ``CAPACITY`` tokens; full pieces are se
 The others are packed in rounds.  A round sorts unplaced pieces and open gaps by size, sweeps upwards and
 gives every gap the largest piece below it that no tighter gap has taken, like matching brackets: a
 piece opens, a gap closes.  Pieces of one size that want the same gaps are told apart by rank.  Then
-gaps are updated and the next round begins; when hardly anything fits, the largest unplaced pieces
-open as many new sequences as the unplaced tokens need.
+gaps are updated and the next round begins.  The largest unplaced pieces open new sequences, but never
+more than the unplaced tokens need beyond the room left in open gaps, or the pieces that no gap fits.
 
 The sweep is distributed.  There are at most ``CAPACITY`` sizes, so a small table of counts by
 size gives every piece and gap its depth of open brackets from its rank within its size, and a piece
@@ -13,7 +13,7 @@ matches the next gap at the same depth.  Ranks come from windows over (size, has
 a third of all rows share spreads over the buckets; a depth holds two rows per size at most.
 
 Small pieces would need many rounds, one per gap and round.  So a gap is offered as several slots
-when even the largest unplaced piece fits it more than once.
+when the largest unplaced piece that fits it does so more than once.
 
 Defined results: null texts are empty and have one piece, the end id alone; repeated rows are pieces
 of their own; an empty table gives no rows.
@@ -36,8 +36,6 @@ from kassa.llm.common import Scratch
 CAPACITY, END_ID = 4096, 1
 #: entries remembered per worker, and bytes of text whose new words are tokenised together
 WORDS, TOGETHER = 600_000, 1 << 20
-#: share of unplaced pieces that a round must place before new sequences are opened
-PROGRESS = 0.02
 
 
 #: a full stop or comma between a letter and a blank is a part of its own
@@ -148,22 +146,55 @@ def _ranked(items: DataFrame, by: list[str], buckets: int) -> DataFrame:
         *by, "uid", "slot", "rank")
 
 
-def _seeds(scratch: Scratch, left: DataFrame, wanted: int, buckets: int) -> DataFrame:
-    """The ``wanted`` largest of ``left`` (uid, size)."""
-    # at most CAPACITY rows
-    sizes = left.groupBy("size").count().orderBy(F.desc("size")).collect()
-    whole, part, total = [], None, 0
-    for s in sizes:
-        if total + s["count"] > wanted:
-            part = s["size"]
-            break
-        whole.append(s["size"])
-        total += s["count"]
-    out = left.where(F.col("size") > part) if part is not None else left
-    if part is not None and wanted > total:
+def _counts(items: DataFrame, size) -> dict[int, int]:
+    """Rows by size; at most CAPACITY entries."""
+    return {r["size"]: r["count"] for r in items.groupBy(size.cast("int").alias("size")).count().collect()}
+
+
+def _wanted(pieces: dict[int, int], gaps: dict[int, int]) -> int:
+    """New sequences that no packing of the unplaced pieces can do without, given the open gaps."""
+    largest, smallest = max(gaps, default=0), min(pieces)
+    room = sum(g * n for g, n in gaps.items() if g >= smallest)
+    beyond = {s: n for s, n in pieces.items() if s > largest}
+    return max(-(-(sum(s * n for s, n in pieces.items()) - room) // CAPACITY),
+               -(-sum(s * n for s, n in beyond.items()) // CAPACITY),
+               sum(n for s, n in beyond.items() if s > CAPACITY // 2))
+
+
+def _slots(pieces: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(gap, slots, size of a slot) of the gap sizes that fit a piece.
+
+    A gap holds the largest piece that fits it so many times; no more slots than pieces are left for them.
+    """
+    fits, largest = {}, 0
+    for g in range(1, CAPACITY + 1):
+        largest = g if g in pieces else largest
+        fits[g] = largest
+    offers = sorted((g // (g // fits[g]), g, g // fits[g]) for g in gaps if 0 < g and fits[g])
+    out, open_, below = [], 0, 0
+    for size, g, n in offers:
+        open_ += sum(pieces.get(s, 0) for s in range(below + 1, size + 1))
+        below = max(below, size)
+        n = min(n, -(-open_ // gaps[g]))
+        if n:
+            out.append((g, n, size))
+            open_ -= min(open_, n * gaps[g])
+    return out
+
+
+def _seeds(scratch: Scratch, left: DataFrame, pieces: dict[int, int], wanted: int, buckets: int) -> tuple[DataFrame, dict[int, int]]:
+    """The ``wanted`` largest of ``left`` (uid, size), and their counts by size."""
+    taken, part = {}, None
+    for size in sorted(pieces, reverse=True):
+        if wanted > 0:
+            taken[size] = min(pieces[size], wanted)
+            wanted -= taken[size]
+            part = size if taken[size] < pieces[size] else None
+    out = left.where(F.col("size") >= min(taken))
+    if part is not None:
         tied = _ranked(left.where(F.col("size") == part).withColumn("slot", F.lit(0)), ["size"], buckets)
-        out = out.unionByName(tied.where(F.col("rank") <= wanted - total).select("uid", "size"))
-    return scratch.settle(out, "seeds")
+        out = left.where(F.col("size") > part).unionByName(tied.where(F.col("rank") <= taken[part]).select("uid", "size"))
+    return scratch.settle(out, "seeds"), taken
 
 
 def _match(left: DataFrame, gaps: DataFrame, buckets: int) -> DataFrame:
@@ -191,32 +222,39 @@ def place(scratch: Scratch, pieces: DataFrame) -> DataFrame:
     buckets = max(8, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = [pieces.where(F.col("size") == CAPACITY).select(
         "uid", F.col("uid").alias("seq"), F.lit(0).alias("round"), F.lit(0).alias("slot"), "size")]
-    left, bins, rounds, must_open = pieces.where(F.col("size") < CAPACITY).select("uid", "size"), None, 0, True
+    left, bins, rounds = pieces.where(F.col("size") < CAPACITY).select("uid", "size"), None, 0
+    gap = F.lit(CAPACITY) - F.col("used")
     while True:
         rounds += 1
-        state = left.agg(F.count("*").alias("n"), F.sum("size").alias("tokens"), F.max("size").alias("largest"),
-                         F.count_if(F.col("size") > CAPACITY // 2).alias("large")).first()
-        if not state["n"]:
+        sizes = _counts(left, F.col("size"))
+        if not sizes:
             break
-        if must_open:
-            seeds = _seeds(scratch, left, max(-(-state["tokens"] // CAPACITY), state["large"] if bins is None else 1), buckets)
+        room = {} if bins is None else _counts(bins.where(F.col("used") < CAPACITY), gap)
+        wanted = _wanted(sizes, room)
+        if wanted > 0:
+            seeds, taken = _seeds(scratch, left, sizes, wanted, buckets)
             placed.append(seeds.select("uid", F.col("uid").alias("seq"), F.lit(rounds).alias("round"), F.lit(0).alias("slot"), "size"))
             opened = seeds.select(F.col("uid").alias("seq"), F.col("size").alias("used"))
             bins = opened if bins is None else bins.unionByName(opened)
             left = scratch.settle(left.join(seeds.select(F.col("uid").alias("s")), F.col("uid") == F.col("s"), "left_anti"), "left")
-        gap = F.lit(CAPACITY) - F.col("used")
-        slots = F.greatest(F.lit(1), F.floor(gap / state["largest"]).cast("int"))
-        gaps = bins.where("used < %d" % CAPACITY).withColumn("n", slots).select(
+            for size, n in taken.items():
+                sizes[size] -= n
+                room[CAPACITY - size] = room.get(CAPACITY - size, 0) + n
+            sizes = {s: n for s, n in sizes.items() if n}
+        offers = _slots(sizes, room)
+        if not offers:
+            continue
+        # at most CAPACITY rows
+        offered = scratch.spark.createDataFrame(offers, "gap int, n int, slot_size long")
+        gaps = bins.withColumn("free", gap.cast("int")).join(F.broadcast(offered), F.col("free") == F.col("gap")).select(
             F.col("seq").alias("uid"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"),
-            F.floor(gap / F.col("n")).cast("long").alias("size"))
+            F.col("slot_size").alias("size"))
         met = scratch.settle(_match(left, gaps, buckets), "met")
         hits = met.where(F.col("seq").isNotNull())
         placed.append(hits.select("uid", "seq", F.lit(rounds).alias("round"), "slot", "size"))
         grown = hits.groupBy(F.col("seq").alias("g")).agg(F.sum("size").alias("more"))
         bins = scratch.settle(bins.join(grown, F.col("seq") == F.col("g"), "left").select(
             "seq", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used")), "bins")
-        n_left = state["n"] - (seeds.count() if must_open else 0)
-        must_open = hits.count() < PROGRESS * n_left
         left = met.where(F.col("seq").isNull()).select("uid", "size")
     everything = placed[0]
     for p in placed[1:]:

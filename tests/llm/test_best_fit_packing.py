@@ -53,6 +53,14 @@ def test_equal_and_tiny_sizes(spark):
     assert placed(spark, [4095] * 3 + [1]) == 3
 
 
+def test_tiny_pieces_fill_open_gaps_before_new_sequences(spark):
+    # 10 tokens fit 409 times; the long ones leave room for 109 each
+    assert placed(spark, [10] * 40_000 + [3000] * 5) == -(-(40_000 - 5 * 109) // 409) + 5
+    draw = random.Random(9)
+    sizes = [min(4096, int(draw.lognormvariate(2.5, 1.2)) + 1) for _ in range(20_000)] + [3000] * 9 + [2500] * 4
+    assert placed(spark, sizes) <= first_fit_decreasing(sizes) + 2
+
+
 def test_ids_equal_library(spark):
     library = Tokenizer.from_file(PATH)
     draw = random.Random(2)
