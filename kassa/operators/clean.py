@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kassa.functions.text import normalize_text
+from kassa.operators.sequence import dense_index
 
 # The columns every ledger must have.
 REQUIRED_COLUMNS = ["date", "description", "amount"]
@@ -114,6 +115,11 @@ def order_by_date(df: DataFrame, key: str | None = "transaction_id") -> DataFram
     return df.orderBy(*cols)
 
 
+def date_positions(df: DataFrame, key: str = "transaction_id", name: str = "pos") -> DataFrame:
+    """Every row with its 1-based position by ascending date (undated rows last), ties by key."""
+    return dense_index(df, [F.col("date").asc_nulls_last(), F.col(key).asc_nulls_last()], name)
+
+
 def clean_transactions(df: DataFrame, date_formats: list[str] | None = None,
                        sort: bool = False) -> DataFrame:
     """C11 = C1 -> C2 -> C3/C4/C5 -> C6 -> C7 [-> C8].

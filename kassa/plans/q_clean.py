@@ -1,7 +1,6 @@
 """Sources, cleaning, profiling, filters and scalar functions."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kassa.functions import (amount_columns, calendar_columns, desc_prefix, is_valid_email, report_label,
@@ -56,8 +55,14 @@ def q_c3_dropped(t):
           "SELECT row_number() OVER (ORDER BY date, transaction_id) AS pos, transaction_id FROM ledger "
           "ORDER BY pos LIMIT 1000")
 def q_c8(t):
-    first = C.order_by_date(t.ledger()).limit(1000)   # the first page of the ordered ledger
-    return first.select(F.row_number().over(Window.orderBy("date", "transaction_id")).alias("pos"), "transaction_id")
+    # the first page of the ordered ledger
+    return C.date_positions(t.ledger().select("date", "transaction_id")).where(F.col("pos") <= 1000).select("pos", "transaction_id")
+
+
+@register("C8_order_whole_ledger", "pos long, transaction_id long",
+          "SELECT row_number() OVER (ORDER BY date, transaction_id) AS pos, transaction_id FROM ledger")
+def q_c8_whole(t):
+    return C.date_positions(t.ledger().select("date", "transaction_id")).select("pos", "transaction_id")
 
 
 @register("P12_numeric_columns", "row_id long, amount double, user_id long",

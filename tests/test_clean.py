@@ -58,3 +58,11 @@ def test_rows_without_a_date_stay(spark):
     counts = {r["transaction_id"]: r["transaction_count_7d"] for r in W.count_in_last_days(df, ["user_id"]).collect()}
     assert counts == {1: None, 2: 1, 3: 2, 4: None}
     assert W.rolling_stats(df, ["user_id"]).count() == 4
+
+
+def test_every_row_has_its_position_by_date(spark):
+    rows = [(i, None if i % 7 == 0 else f"2024-01-{1 + i * 5 % 28:02d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "transaction_id long, date string").withColumn("date", F.col("date").cast("timestamp"))
+    got = {r["transaction_id"]: r["pos"] for r in C.date_positions(df.repartition(5)).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))
+    assert got == {i: n for n, (i, _) in enumerate(want, 1)}
