@@ -78,3 +78,19 @@ def test_repeated_rows_and_empty_table(spark):
     rows = spark.createDataFrame(FILES, "path string, text string")
     assert ls.scan(rows).count() == len(FILES)
     assert ls.scan(rows.limit(0)).count() == 0
+
+
+def test_headers_texts_and_tags(spark):
+    gpl = "# This work is licensed\n# under the GNU General\n# Public License, version 3\nx = 1"
+    wrapped = ["".join(ls.GNU_NOTICE).format(what="program", name=n, version="3").replace(" GNU", "\n * GNU").replace(". ", ".\n * ")
+               for n in ("GNU General Public License", "GNU Affero General Public License")]
+    files = {
+        "a.py": (gpl, "GPL-3.0"), "b.c": ("/* " + wrapped[0] + " */\nint x;", "GPL-3.0"),
+        "c.c": ("/* " + wrapped[1] + " */\nint x;", "AGPL-3.0"), "d.rs": ("// SPDX-License-Identifier: MIT OR Apache-2.0\nfn x() {}", "MIT OR Apache-2.0"),
+        "e.html": ("<!-- SPDX-License-Identifier: BSD-2-Clause -->", "BSD-2-Clause"), "f.py": ("# a\n# b\nplain = 1", None),
+        **{f"{n}/LICENSE": (text, n) for n, text in ls.TEXTS.items()}}
+    # plain lines, so that terms differ in how often they occur
+    rows = [(p, t) for p, (t, _) in files.items()] + [(f"p{i}.txt", f"the word {i} of the file and {i % 7} is not to be") for i in range(400)]
+    got = {r["row"]["path"]: r["own"] for r in ls.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: got[p] for p in files} == {p: licence for p, (_, licence) in files.items()}
+    assert not any(v for p, v in got.items() if p not in files)
