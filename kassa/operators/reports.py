@@ -6,13 +6,14 @@ number of categories.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kassa.operators.anomaly import exact_quantile
 from kassa.operators.forecast import horizon_rows, predicted_by_category
 from kassa.operators.predictions import (confidence_histogram, distribution, monthly_category_totals,
                                          predicted_breakdown)
+from kassa.operators.sequence import dense_index
 from kassa.session import materialise
 
 
@@ -40,16 +41,15 @@ def forecast_report(total_fc: DataFrame, category_fc: DataFrame, days: int, top_
                          *[c.alias(k) for k, c in _top_columns(F.col("_top"), top_n).items()])
 
 
-def dashboard_rows(category_fc: DataFrame, total_fc: DataFrame, top_n: int = 100) -> DataFrame:
-    """The ``top_n`` categories by predicted spend: rank, share of all categories' spend, risk flag,
+def dashboard_rows(category_fc: DataFrame, total_fc: DataFrame) -> DataFrame:
+    """Every category by predicted spend: rank, share of all categories' spend, risk flag,
     and the total model's own prediction with its bounds beside each."""
     per = materialise(predicted_by_category(category_fc), "predicted_spend")
     spend = per.agg(F.sum("predicted_spend").alias("s")).first()["s"]
     total = horizon_rows(total_fc).agg(F.sum("yhat").alias("y"), F.sum("yhat_lower").alias("lo"),
                                        F.sum("yhat_upper").alias("up")).first()
-    shown = per.orderBy(F.desc("predicted_spend"), "category").limit(top_n)
-    rank = F.row_number().over(Window.orderBy(F.desc("predicted_spend"), "category"))   # over top_n rows
-    return shown.select("category", "predicted_spend", rank.alias("rank"),
+    ranked = dense_index(per, [F.desc("predicted_spend"), "category"], "rank")
+    return ranked.select("category", "predicted_spend", F.col("rank").cast("int").alias("rank"),
                         (100.0 * F.col("predicted_spend") / F.lit(spend).cast("double")).alias("share_pct"),
                         F.lit(total["y"]).cast("double").alias("total_predicted"),
                         F.lit(total["lo"]).cast("double").alias("total_lower"),

@@ -62,3 +62,14 @@ def test_seasonal_trend_matches_numpy_ridge(spark):
     resid = np.array(y) - fc.yhat.values[:n]
     assert np.sqrt(np.mean(resid ** 2)) < 0.2          # recovers trend + weekly shape
     assert coef.first().beta.__len__() == n_terms()
+
+
+def test_dashboard_ranks_every_category(spark):
+    from kassa.operators.reports import dashboard_rows
+    trained, day = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    spec = "category string, ds date, train_ds_max date, yhat double, yhat_lower double, yhat_upper double"
+    per = spark.createDataFrame([(f"c{i:03d}", day, trained, float(i // 2), 0.0, 0.0) for i in range(250)], spec)
+    total = spark.createDataFrame([("all", day, trained, 7.0, 6.0, 8.0)], spec)
+    got = {r["category"]: (r["rank"], r["is_risk"]) for r in dashboard_rows(per, total).collect()}
+    want = sorted(range(250), key=lambda i: (-(i // 2), i))
+    assert got == {f"c{i:03d}": (n, n == 1) for n, i in enumerate(want, 1)}
