@@ -90,7 +90,8 @@ class Model:
             ids = list(map(rows.__getitem__, words_in(text)))
             if ids:
                 hidden[i] = self.table[ids].mean(axis=0, dtype=np.float64)
-        logit = np.tanh(hidden + self.bias) @ self.out + self.out_bias
+        # summed row by row: a matrix product's order of summing depends on the place in the batch
+        logit = np.ascontiguousarray(np.tanh(hidden + self.bias) * self.out).sum(axis=1) + self.out_bias
         return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -50, 50)))
 
 
