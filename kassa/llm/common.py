@@ -98,6 +98,17 @@ def global_order(scratch: Scratch, df: DataFrame, order: list, tag: str) -> Data
         ranged.withColumns({"_part": F.spark_partition_id(), "_uid": F.monotonically_increasing_id()}), tag)
 
 
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Adds a row's place, from 0, in the order of a ``global_order`` table."""
+    # one row per range partition, so this window holds as many rows as there are partitions
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_uid"))
+    out = ordered.join(parts, ordered["_part"] == parts["_p"])
+    return out.withColumn(name, F.col("_first") + inside - 1).drop("_p", "_first")
+
+
 def with_next(ordered: DataFrame, columns: list[str], offset: int = 1) -> DataFrame:
     """Adds ``_next`` (struct of ``columns``) of the following row of a ``global_order`` table.
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kassa.llm import (
-    best_fit_packing, chat_format, fingerprints, license_scan, line_dedup, ngram_jaccard, piece_codec,
-    quality_classifier, quality_rules, sql, url_filters)
+    best_fit_packing, chat_format, conversation_repair, fingerprints, hard_negatives, license_scan, line_dedup,
+    ngram_jaccard, piece_codec, quality_classifier, quality_rules, source_mixing, sql, url_filters)
 from kassa.llm.common import Scratch, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,12 +82,35 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(documents(spark, sf_dir))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.copies(documents(spark, sf_dir), carry=["doc_id"]).select(
+        "row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repair = conversation_repair.Repair(conversation_repair.damage(rows))
+    return repair.report(rows.select("conv_id")).withColumnRenamed("id", "conv_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(rows, F.col("key") % 100 == 0, "vec_id", moved, "embedding")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_line_dedup, op2_license_scan, op3_chat_formatting, op4_quality_classifier, op5_best_fit_packing, op6_ngram_jaccard, op7_piece_codec, op8_quality_rules, op9_url_filters, op10_fingerprints)}
+    op1_line_dedup, op2_license_scan, op3_chat_formatting, op4_quality_classifier, op5_best_fit_packing,
+    op6_ngram_jaccard, op7_piece_codec, op8_quality_rules, op9_url_filters, op10_fingerprints, op11_source_mixing,
+    op12_conversation_repair, op13_hard_negatives)}
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": sql.CHAT_FORMATTING,
     "op6_ngram_jaccard": sql.NGRAM_JACCARD,
     "op8_quality_rules": sql.QUALITY_RULES,
     "op9_url_filters": sql.URL_FILTERS,
+    "op11_source_mixing": sql.SOURCE_MIXING,
+    "op12_conversation_repair": sql.CONVERSATION_REPAIR,
+    "op13_hard_negatives": sql.HARD_NEGATIVES,
 }

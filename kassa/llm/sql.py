@@ -104,3 +104,136 @@ hits AS (
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict
 FROM c LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (rid)
 """
+
+SOURCE_MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+w AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS BIGINT) AS weight FROM p),
+a AS (SELECT sum(source_size) AS words, sum(weight) AS weights FROM w),
+-- the sources that stop at three times their size are those that fill up first
+b AS (
+  SELECT source, 3 * source_size AS lim, weight,
+         coalesce(sum(3 * source_size) OVER o, 0) AS lim_before, coalesce(sum(weight) OVER o, 0) AS weight_before
+  FROM w WINDOW o AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT b.*, (words - lim_before) * weight > lim * (weights - weight_before) AS is_full FROM b, a),
+z AS (SELECT words - coalesce(sum(lim) FILTER (is_full), 0) AS words_left,
+             weights - coalesce(sum(weight) FILTER (is_full), 0) AS weights_left
+      FROM c, a GROUP BY words, weights),
+t AS (
+  SELECT w.source, place, w.source_size,
+         CASE WHEN is_full THEN CAST(lim AS DOUBLE)
+              ELSE CAST(words_left AS DOUBLE) * w.weight / CAST(weights_left AS DOUBLE) END AS target
+  FROM w JOIN c ON w.source IS NOT DISTINCT FROM c.source, z),
+u AS (
+  SELECT *, CASE WHEN source_size > 0 THEN
+              least(CAST(floor(target / source_size * 4294967296.0) AS BIGINT), 12884901888) ELSE 0 END AS step,
+         CAST('0x' || substr(md5('mix:' || place), 1, 8) AS BIGINT) AS start
+  FROM t),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id NULLS FIRST) AS k FROM d)
+SELECT doc_id, size, u.source_size, target,
+       CAST(size * (((k * step + start) >> 32) - (((k - 1) * step + start) >> 32)) AS BIGINT) AS taken
+FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source
+"""
+
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS mark
+  FROM conversations),
+crc AS (
+  SELECT *, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(mark, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+        lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))),
+      4294967295::BIGINT) % 20 AS fault
+  FROM raw),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS again
+  FROM crc WHERE fault != 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i FROM hurt),
+faulty AS (
+  SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS ini,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'fine' END AS fault,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS ini_before,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM placed),
+counted AS (
+  SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id),
+-- from the last row to the first: per state (0 nothing, 1 system, 2 user, 3 assistant) the cheapest rest, then the least
+rest AS (
+  SELECT conv_id, max(i) + 1 AS i,
+         {'c': 0::BIGINT, 'a': '', 'r': ''} AS s0, {'c': 4::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s1,
+         {'c': 2::BIGINT, 'a': 'I', 'r': chr(10) || 'assistant:'} AS s2, {'c': 0::BIGINT, 'a': '', 'r': ''} AS s3
+  FROM faulty GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i,
+         list_min([n0, {'c': n2.c + 2, 'a': 'I' || n2.a, 'r': chr(10) || 'user:' || n2.r},
+                   {'c': n3.c + 4, 'a': 'II' || n3.a, 'r': chr(10) || 'user:' || chr(10) || 'assistant:' || n3.r}]),
+         list_min([n1, {'c': n2.c + 2, 'a': 'I' || n2.a, 'r': chr(10) || 'user:' || n2.r},
+                   {'c': n3.c + 4, 'a': 'II' || n3.a, 'r': chr(10) || 'user:' || chr(10) || 'assistant:' || n3.r}]),
+         list_min([n2, {'c': n3.c + 2, 'a': 'I' || n3.a, 'r': chr(10) || 'assistant:' || n3.r}]),
+         list_min([n3, {'c': n2.c + 2, 'a': 'I' || n2.a, 'r': chr(10) || 'user:' || n2.r}])
+  FROM (
+    SELECT f.conv_id, f.i,
+           list_min([{'c': s0.c + 3, 'a': 'D' || s0.a, 'r': s0.r},
+                     {'c': s1.c + late + CASE WHEN ini = 's' THEN 0 ELSE 1000000000 END, 'a': 'K' || s1.a, 'r': line || s1.r},
+                     {'c': s2.c + late + CASE WHEN ini = 'u' THEN 0 ELSE 1000000000 END, 'a': 'K' || s2.a, 'r': line || s2.r},
+                     {'c': s2.c + late + 2, 'a': 'R' || s2.a, 'r': chr(10) || 'user:' || text || s2.r}]) AS n0,
+           list_min([{'c': s1.c + 3, 'a': 'D' || s1.a, 'r': s1.r},
+                     {'c': s2.c + late + CASE WHEN ini = 'u' THEN 0 ELSE 1000000000 END, 'a': 'K' || s2.a, 'r': line || s2.r},
+                     {'c': s2.c + late + 2, 'a': 'R' || s2.a, 'r': chr(10) || 'user:' || text || s2.r}]) AS n1,
+           list_min([{'c': s2.c + 3, 'a': 'D' || s2.a, 'r': s2.r},
+                     {'c': s3.c + late + CASE WHEN ini = 'a' THEN 0 ELSE 1000000000 END, 'a': 'K' || s3.a, 'r': line || s3.r},
+                     {'c': s3.c + late + 2, 'a': 'R' || s3.a, 'r': chr(10) || 'assistant:' || text || s3.r}]) AS n2,
+           list_min([{'c': s3.c + 3, 'a': 'D' || s3.a, 'r': s3.r},
+                     {'c': s2.c + late + CASE WHEN ini = 'u' THEN 0 ELSE 1000000000 END, 'a': 'K' || s2.a, 'r': line || s2.r},
+                     {'c': s2.c + late + 2, 'a': 'R' || s2.a, 'r': chr(10) || 'user:' || text || s2.r}]) AS n3
+    FROM rest JOIN (
+      SELECT *, chr(10) || role || ':' || text AS line,
+             CASE fault WHEN 'blank' THEN 1000000000 WHEN 'duplicate' THEN 1000000000 WHEN 'truncated' THEN 1 ELSE 0 END AS late
+      FROM faulty) f ON f.conv_id IS NOT DISTINCT FROM rest.conv_id AND f.i = rest.i - 1))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(rest.s0.c, 0) AS BIGINT) AS cost,
+       coalesce(rest.s0.a, '') AS audit, sha256(substr(coalesce(rest.s0.r, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN rest ON rest.conv_id IS NOT DISTINCT FROM o.conv_id AND rest.i = 1
+"""
+
+HARD_NEGATIVES = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rid != b.rid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same)
+  WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id NULLS LAST) AS k
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS "rank", negative_id, positive_score, negative_score
+FROM n WHERE k <= 10
+"""
