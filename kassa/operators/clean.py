@@ -1,6 +1,8 @@
 """Cleaning, validation and profiling."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +43,14 @@ def schema_faults(schema: T.StructType, required=REQUIRED_COLUMNS) -> list[tuple
 
 
 def column_report(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
-    """C2 as rows: column, fault (null when the column is fine)."""
+    """C2 as rows: column, fault (null when the column is fine), n_values (values it has, 0 with a fault)."""
     faults = dict(schema_faults(df.schema, required))
-    return df.sparkSession.createDataFrame([(c, faults.get(c)) for c in required], "column string, fault string")
+    fine = [c for c in required if c not in faults]
+    counts = df.agg(F.count(F.lit(1)), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(fine)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(faults.get(c)).cast("string").alias("fault"),
+                              (F.col(f"n{fine.index(c)}") if c in fine else F.lit(0)).cast("long").alias("n_values"))
+                     for c in required])
+    return counts.select(F.inline(rows))
 
 
 def require_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
@@ -54,19 +61,37 @@ def require_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
     return df
 
 
+# The shape of a layout's letters; a layout with any other letter is tried on every value.
+_SHAPES = {"yyyy": r"\d{4}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}", "MMM": r"\p{L}{3,4}",
+           "MMMM": r"\p{L}+", "HH": r"\d{2}", "H": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+_ISO_SHAPE = r"^\s*[+-]?\d{4,7}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?\s*$"
+
+
+def layout_shape(fmt: str) -> str | None:
+    """A pattern that every text of a date layout matches, from its letters; None if it has others."""
+    out = ""
+    for letters, _, other in re.findall(r"(([A-Za-z])\2*)|([^A-Za-z])", fmt):
+        if letters and letters not in _SHAPES:
+            return None
+        out += _SHAPES[letters] if letters else re.escape(other)
+    return f"^{out}$"
+
+
 def parse_timestamp(x: Column, formats: list[str] | None = None, source_type: T.DataType | None = None) -> Column:
     """string/timestamp -> timestamp_ntz, unparseable -> null.
 
-    ISO layouts first, then ``formats`` in order (``DATE_FORMATS`` by default).
+    ISO layouts first, then ``formats`` in order (``DATE_FORMATS`` by default).  A layout is only parsed
+    where the text has its shape, so a value costs one parse, whatever the number of layouts.
     Values that already are timestamps or dates are cast directly.
     """
     if isinstance(source_type, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return x.cast("timestamp_ntz")
     s = x.cast("string")
-    cands = [s.try_cast("timestamp_ntz")]
+    cands = [F.when(s.rlike(_ISO_SHAPE), s.try_cast("timestamp_ntz"))]
     trimmed = F.btrim(s)
     for fmt in DATE_FORMATS if formats is None else formats:
-        cands.append(F.try_to_timestamp(trimmed, F.lit(fmt)).cast("timestamp_ntz"))
+        parsed, shape = F.try_to_timestamp(trimmed, F.lit(fmt)).cast("timestamp_ntz"), layout_shape(fmt)
+        cands.append(parsed if shape is None else F.when(trimmed.rlike(shape), parsed))
     return F.coalesce(*cands)
 
 

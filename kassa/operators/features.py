@@ -5,9 +5,10 @@ reference's two different definitions (SURVEY Q2).  Windows are per ``keys``
 (default ``user_id``) ordered by (date, transaction_id); a one-key input gives the
 reference's whole-file result.
 
-Plan shape (checked with explain): a range exchange and one on (key, part, day) for the
-ordered sequence, one on (key, chunk) for the row-count windows; monthly statistics join
-the sequence's histogram; the per-category / per-prefix statistics are aggregated first and
+Plan shape (checked with explain): after cleaning, whole rows are exchanged once, for the join with
+their features by row number.  The features come from a narrow frame (keys, time, id, amount): a
+range exchange and one on (key, part) that the ordered sequence, the row-count windows and the
+monthly statistics share.  Per-category / per-prefix statistics are aggregated first and
 joined (AQE turns that join into a broadcast when the measured side is small).
 """
 from __future__ import annotations
@@ -73,24 +74,30 @@ def row_features(df: DataFrame, mode: str = "training") -> DataFrame:
     return df.withColumns(cols)
 
 
-def monthly_stats(df: DataFrame, keys: list[str], mode: str = "training") -> DataFrame:
-    """G2-G4 per (keys, year_month): one aggregate, joined back."""
+def monthly_aggregates(mode: str = "training") -> dict:
+    """Plain aggregates of one month's amounts (in a group or over a window); see ``monthly_derived``."""
     a = F.col("amount")
-    inc = F.coalesce(F.sum(F.when(a > 0, a)), F.lit(0.0))
-    exp = F.coalesce(F.sum(F.when(a < 0, a)), F.lit(0.0))
-    std = F.stddev_samp(a)
-    g = (df.withColumn("year_month", year_month(F.col("date")))
-         .groupBy(*keys, "year_month")
-         .agg(F.sum(a).alias("monthly_total"), F.avg(a).alias("monthly_mean"),
-              (std if mode == "training" else F.coalesce(std, F.lit(0.0))).alias("monthly_std"),
-              F.count(a).alias("monthly_count"), F.sum(F.abs(a)).alias("monthly_abs_sum"),
-              F.avg(F.abs(a)).alias("monthly_abs_mean"), inc.alias("monthly_income"),
-              (F.abs(exp) if mode == "training" else exp).alias("monthly_expense")))
+    return {"monthly_total": F.sum(a), "monthly_mean": F.avg(a), "monthly_std": F.stddev_samp(a),
+            "monthly_count": F.count(a), "monthly_abs_sum": F.sum(F.abs(a)), "monthly_abs_mean": F.avg(F.abs(a)),
+            "monthly_income": F.sum(F.when(a > 0, a).otherwise(0.0)),
+            # positive for training, signed for serving
+            "monthly_expense": F.sum(F.when(a < 0, -a if mode == "training" else a).otherwise(0.0))}
+
+
+def monthly_derived(mode: str = "training") -> dict:
+    """What follows from ``monthly_aggregates``: G4, and the serving variant's std of a single row."""
+    income, expense = F.col("monthly_income"), F.col("monthly_expense")
     if mode == "training":
-        ratio = F.col("monthly_income") / (F.col("monthly_expense") + 1)
-    else:
-        ratio = F.abs(F.col("monthly_income")) / (F.abs(F.col("monthly_expense")) + 1)
-    return g.withColumn("income_expense_ratio", ratio)
+        return {"income_expense_ratio": income / (expense + 1)}
+    return {"monthly_std": F.coalesce("monthly_std", F.lit(0.0)),
+            "income_expense_ratio": F.abs(income) / (F.abs(expense) + 1)}
+
+
+def monthly_stats(df: DataFrame, keys: list[str], mode: str = "training") -> DataFrame:
+    """G2-G4 per (keys, year_month): one aggregate, joined back."""
+    g = (df.withColumn("year_month", year_month(F.col("date"))).groupBy(*keys, "year_month")
+         .agg(*[e.alias(c) for c, e in monthly_aggregates(mode).items()]))
+    return g.withColumns(monthly_derived(mode))
 
 
 def category_stats(df: DataFrame, col: str = "category") -> DataFrame:
@@ -109,25 +116,24 @@ def prefix_stats(df: DataFrame) -> DataFrame:
             .agg(F.avg(a).alias("cat_mean"), F.stddev_samp(a).alias("cat_std"), F.count(a).alias("cat_count")))
 
 
-def rolling_features(df: DataFrame, keys: list[str], value: str, chunk_rows: int) -> DataFrame:
-    """W1-W4 / W11 over sequence output: 7- and 30-row mean and sample std (n=1 -> 0)."""
-    chunks = seq.with_halo_chunks(df, halo=29, chunk_rows=chunk_rows)
-    w = seq.chunk_window(keys)
+# Rows that a 30-row frame looks back.
+ROLLING_HALO = 29
+
+
+def rolling_frames(value: str):
+    """W1-W4 / W11 as frames of ``sequence``: 7- and 30-row mean and sample std (n=1 -> 0)."""
     v = F.col(value)
-    w7, w30 = w.rowsBetween(-6, 0), w.rowsBetween(-29, 0)
-    out = chunks.withColumns({
-        "rolling_7d_mean": F.avg(v).over(w7),
-        "rolling_7d_std": F.coalesce(F.stddev_samp(v).over(w7), F.lit(0.0)),
-        "rolling_30d_mean": F.avg(v).over(w30),
-        "rolling_30d_std": F.coalesce(F.stddev_samp(v).over(w30), F.lit(0.0)),
-    })
-    return seq.drop_halo(out)
+    return {
+        "rolling_7d_mean": lambda w: F.avg(v).over(w.rowsBetween(-6, 0)),
+        "rolling_7d_std": lambda w: F.coalesce(F.stddev_samp(v).over(w.rowsBetween(-6, 0)), F.lit(0.0)),
+        "rolling_30d_mean": lambda w: F.avg(v).over(w.rowsBetween(-ROLLING_HALO, 0)),
+        "rolling_30d_std": lambda w: F.coalesce(F.stddev_samp(v).over(w.rowsBetween(-ROLLING_HALO, 0)), F.lit(0.0)),
+    }
 
 
 def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "training",
                    categories: list[str] | None = None, feature_set: str = "full",
-                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, materialise_input: bool = True,
-                   monthly: bool = True) -> DataFrame:
+                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, monthly: bool = True) -> DataFrame:
     """E1 (``mode="training"``) / E2 (``mode="serving"``).
 
     Input: cleaned ledger with transaction_id, date, description, amount[, category][, keys].
@@ -137,27 +143,27 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
     keys = ["user_id"] if keys is None else list(keys)
     training = mode == "training"
     has_cat = "category" in df.columns
-    # The input feeds three branches (ordered sequence, monthly and per-category
-    # statistics).  Written once, they share one scan and cleaning shuffle, and nothing
-    # stays in executor memory afterwards.
-    base = materialise(df, "features_input") if materialise_input else df
-
-    # ordered sequence: position, previous timestamp, 7-day count (training) / day rank (serving)
-    # monthly statistics ride on the sequence's per-(key, day) histogram join, so the
-    # rows are not shuffled a second time by (key, year_month)
-    # (``monthly=False`` leaves them out for consumers that do not read them)
-    attach = (monthly_stats(base, keys, mode), {"year_month": year_month(F.col("_day"))}) if monthly else None
-    s = seq.sequence(base, keys, lookback_days=7 if training else None, count_name="transaction_count_7d",
-                     attach=attach)
+    # The input feeds the ordered sequence, the join below and the per-category statistics.
+    # Written once, they share one scan and cleaning shuffle, and a row's number stays the same.
+    base = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "features_input")
+
+    # Ordered sequence over keys, time, id and amount only: position, previous timestamp, 7-day
+    # count (training) / day rank (serving), rolling and monthly statistics.  The rest of a
+    # row waits for one join by its number.
+    # (``monthly=False`` leaves the monthly ones out for consumers that do not read them)
+    a = F.col("amount")
+    narrow = base.select(*dict.fromkeys([*keys, "date", "transaction_id"]), "_row", "amount",
+                         (F.abs(a) if training else a).alias("_value"))
+    s = seq.sequence(narrow, keys, lookback_days=7 if training else None, count_name="transaction_count_7d",
+                     frames=rolling_frames("_value"), halo=ROLLING_HALO,
+                     groups=(year_month(F.col("date")), monthly_aggregates(mode)) if monthly else None,
+                     chunk_rows=chunk_rows)
     s = s.withColumn("days_since_last",
                      F.coalesce(whole_days_between(F.col("date"), F.col(seq.PREV_TS)), F.lit(0)).cast("double"))
     if not training:
         s = s.withColumn("transaction_count_7d", F.col(seq.DAY_RANK))
-    s = row_features(s, mode)
-    value = "amount_abs" if training else "amount"
-    s = rolling_features(s, keys, value, chunk_rows).drop(seq.RANK, seq.DAY_RANK, seq.PREV_TS)
-
-    out = s
+    s = s.withColumns(monthly_derived(mode) if monthly else {}).drop(*keys, "date", "transaction_id", "amount", "_value", seq.RANK, seq.DAY_RANK, seq.PREV_TS)
+    out = row_features(base.join(s, "_row").drop("_row"), mode)
 
     if training:
         if has_cat:
@@ -202,3 +208,12 @@ def added_columns(before: DataFrame, after: DataFrame) -> list[str]:
     """Columns new after an operator (plan-time, no job)."""
     old = set(before.columns)
     return [c for c in after.columns if c not in old]
+
+
+def added_profile(before: DataFrame, after: DataFrame) -> DataFrame:
+    """X2 as rows: every added column (``name``) and how many values it has (``n_values``); one aggregate."""
+    names = added_columns(before, after)
+    counts = after.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(names)])
+    rows = [F.struct(F.lit(c).alias("name"), F.col(f"n{i}").alias("n_values")) for i, c in enumerate(names)]
+    empty = F.array().cast("array<struct<name:string,n_values:bigint>>")
+    return counts.select(F.inline(F.array(*rows) if rows else empty))

@@ -4,29 +4,36 @@ The reference computes its rolling features over one sorted file.  Here they are
 key (``user_id``), and a single key may hold a large share of all rows, so a plain
 ``Window.partitionBy(key)`` would put that key into one task.  Instead:
 
-1. **Range parts.**  Rows are range-partitioned by (key, time, tiebreak) and written, so
-   each has the number of a part that follows the order; a key with half of all rows, on
-   one day or not, spreads over half of the parts.  Rows are windowed by ``(key, part,
-   day)`` only.  A histogram of those (map-side combined) gives, through a window over
-   parts and days, how many rows and which last timestamp precede each.  Position within
-   the key = rows before + position within.  The histogram holds one row per key, part and
-   calendar day that occur together, so its per-key window is bounded by parts plus days.
-2. **Look-back counts.**  The "rows in (t - L, t]" count is a running sum over the
+1. **Range parts.**  Rows are range-partitioned by (key, time, tiebreak), sorted, numbered and
+   written; a part is a stretch of at most ``chunk_rows`` consecutive rows of one partition.  A
+   key with half of all rows, on one day or not, spreads over half of the parts.  All windows
+   run inside ``(key, part)``, so they share one exchange and one sort.
+2. **Carries.**  Only a key that reaches over a part's border needs anything from elsewhere, and
+   a part has two borders.  For those keys, (key, part, day) counts give what precedes each
+   part: rows, rows of the same day, the running sum of 3.  That table has at most two rows
+   per part and is broadcast.
+3. **Look-back counts.**  The "rows in (t - L, t]" count is a running sum over the
    key's sequence in which every row adds +1 at ``t`` and a probe subtracts 1 at
    ``t + L`` (probes sort before rows with the same time, so a row exactly L old is
-   out).  The running sum is split the same way, so no range join is needed.
-3. **Chunks with halo.**  Row-count windows (last n rows) run on chunks of
-   ``chunk_rows`` consecutive positions; the last ``halo`` rows of each chunk are
-   copied into the next chunk as read-only context.  Every window partition is then
-   bounded by ``chunk_rows + halo`` rows and results are exact.
+   out).  Sums carry over like counts, so no range join is needed.
+4. **Border rows.**  Row-count windows (last n rows) need up to n - 1 rows from before a part.
+   The last rows of each such key in each part, at most ``halo`` of them, are passed to the next part as
+   read-only context: a small table that joins the rows before their exchange, not a
+   second shuffle of all rows.
+5. **Groups.**  Aggregates per key and a column of the time (its month) are windows inside
+   the part too; for keys that reach over a border they come from an aggregate over those keys.
 
 No unit of work grows with the rows of a key or of a day.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from kassa.session import ensure_checkpoint_dir, materialise
 
@@ -35,18 +42,14 @@ DEFAULT_CHUNK_ROWS = 1 << 20
 RANK = "_rank"          # 1-based position in (ts, tiebreak) order within the key
 DAY_RANK = "_day_rank"  # 1-based position within (key, calendar day)
 PREV_TS = "_prev_ts"    # timestamp of the previous row of the key (null for the first)
-CHUNK = "_chunk"
-HALO = "_halo"
 
 
 def _group_columns(df: DataFrame, keys: list[str]) -> dict[str, Column]:
     """Null-safe stand-ins for the key columns: a nullable key becomes a non-null value
-    plus an is-null flag.  Windows, the histogram aggregate and the join back all use
-    these with plain equality, so the join keeps the (key, part, day) hash partitioning the
-    window already produced (``eqNullSafe`` join keys are ``coalesce`` expressions,
-    which no earlier exchange matches, and would re-shuffle the full row side).
+    plus an is-null flag, so that windows and joins use plain equality.  Without keys all rows
+    are one group.
     """
-    out: dict[str, Column] = {}
+    out: dict[str, Column] = {} if keys else {"_g0": F.lit(0)}
     for i, f in enumerate(df.schema[k] for k in keys):
         c = F.col(f"`{f.name}`")
         if not f.nullable:
@@ -60,118 +63,179 @@ def _group_columns(df: DataFrame, keys: list[str]) -> dict[str, Column]:
     return out
 
 
+def _parts(df: DataFrame, gcols: dict[str, Column], keys: list[str], ts: str, tiebreak: str,
+           lookback_days: int | None, chunk_rows: int) -> DataFrame:
+    """Rows (kind 1) and probes (kind 0), written in order with ``_mid`` (place) and ``_part``."""
+    # one pass over the input: every row is emitted as itself and, for the look-back
+    # count, once more as a probe that carries only the key columns
+    kinds = F.array(F.lit(1), F.lit(0)) if lookback_days is not None else F.array(F.lit(1))
+    gen = df.withColumns(gcols).withColumn("_kind", F.explode(kinds))
+    is_row = F.col("_kind") == 1
+    t = F.col(ts)
+    if lookback_days is not None:
+        t = F.when(is_row, t).otherwise(t + F.make_dt_interval(days=F.lit(lookback_days)))
+    u = gen.select(
+        *[F.col(f"`{f.name}`") if f.name in keys else F.when(is_row, F.col(f"`{f.name}`")).alias(f.name)
+          for f in df.schema.fields],
+        *[F.col(c) for c in gcols if c not in df.columns],
+        t.alias("_t"), "_kind",
+        F.when(F.col(ts).isNull(), F.lit(0)).when(is_row, F.lit(1)).otherwise(F.lit(-1)).alias("_w"))
+    # undated rows stand before all others, on a day of their own
+    u = u.withColumn("_slot", F.coalesce(F.to_date("_t"), F.lit("0001-01-01").cast("date")))
+    # probes sort before rows at equal time
+    order = [*gcols, "_t", "_kind", tiebreak]
+    ordered = u.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
+    # the id is a partition's number and a place in it; written, so that both stay when a task runs again
+    pid, place = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    part = F.shiftleft(pid, 33) + F.floor(place / chunk_rows)
+    return materialise(ordered.withColumn("_part", part.cast("long")), "sequence")
+
+
+def _reaching(u: DataFrame, g: list[str]) -> DataFrame:
+    """Keys with rows in more than one part: first or last key of at least two (at most one per part)."""
+    ends = u.groupBy("_part").agg(F.min(F.struct(*g)).alias("lo"), F.max(F.struct(*g)).alias("hi"))
+    ends = ends.select("_part", F.explode(F.array("lo", "hi")).alias("k"))
+    keys = ends.groupBy("k").agg(F.min("_part").alias("a"), F.max("_part").alias("b")).where("a < b")
+    return materialise(keys.select("k.*"), "reaching_keys")
+
+
+def _carries(reaching: DataFrame, g: list[str]) -> DataFrame:
+    """Per (key, part): what precedes the part.  ``reaching`` holds the rows of keys in several parts."""
+    hist = (reaching.groupBy(*g, "_part", "_slot").agg(F.sum("_kind").alias("_n"), F.sum("_w").alias("_ws")))
+    before = Window.partitionBy(*g).orderBy("_part", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(*g, "_slot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.partitionBy(*g, "_part").orderBy("_slot")
+    hist = hist.select(*g, "_part", F.col("_slot").alias("_first_slot"),
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
+                       F.coalesce(F.sum("_ws").over(before), F.lit(0)).alias("_w_before"),
+                       F.coalesce(F.sum("_n").over(same), F.lit(0)).alias("_n_same_day"),
+                       F.row_number().over(first).alias("_i"))
+    return hist.where("_i = 1").drop("_i")
+
+
+def _border_rows(reaching: DataFrame, g: list[str], halo: int) -> DataFrame:
+    """For every part that continues a key, the key's last ``halo`` rows before it, with that part's number."""
+    rows = reaching.where("_kind = 1")
+    last = Window.partitionBy(*g, "_part").orderBy(F.col("_mid").desc())
+    tail = rows.withColumn("_i", F.row_number().over(last)).where(F.col("_i") <= halo)
+    # of each part's last rows, the last ones up to a part's end are the key's last ones there
+    along = Window.partitionBy(*g).orderBy("_mid")
+    held = F.collect_list(F.struct(*rows.columns)).over(along.rowsBetween(1 - halo, 0))
+    ends = tail.withColumn("_held", held).where("_i = 1").withColumn("_next", F.lead("_part").over(along))
+    out = ends.where("_next IS NOT NULL").select("_next", F.explode("_held").alias("_r")).select("_next", "_r.*")
+    return out.withColumn("_part", F.col("_next")).drop("_next")
+
+
 def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "transaction_id",
              lookback_days: int | None = None, count_name: str = "count_lookback",
-             attach: tuple[DataFrame, dict[str, Column]] | None = None) -> DataFrame:
+             attach: tuple[DataFrame, dict[str, Column]] | None = None,
+             frames: dict[str, Callable[[WindowSpec], Column]] | None = None, halo: int = 0,
+             groups: tuple[Column, dict[str, Column]] | None = None,
+             chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add RANK, DAY_RANK, PREV_TS and, if ``lookback_days``, ``count_name``.
 
     ``count_name`` = number of rows j of the key with position <= i and
     ts_j > ts_i - lookback (pandas ``rolling('7D').count()`` on a sorted index).
-    Call this on a narrow frame: probes carry every column as null.
+    Call this on a narrow frame: every column travels through the sort.
+
+    ``frames``: further columns, each a function of the key's window in order, which may look
+    back up to ``halo`` rows.  ``groups = (by, columns)``: aggregates per key and ``by``, an expression
+    over ``ts``.
 
     Rows without a timestamp come first in their key's order, have no look-back count
     (null) and count in nobody else's.
 
     ``attach = (table, derived)``: a table keyed by ``keys`` plus the columns named in
     ``derived`` (expressions over the day column ``_day``, e.g. its month), left-joined
-    to every row.  It is joined to the per-(key, part, day) histogram, which the rows join
-    anyway without being shuffled, so attaching costs a join of two small tables
-    instead of a shuffle of all rows.
+    to every row.
     """
-    keys = list(keys)
+    keys, frames = list(keys), frames or {}
+    if halo >= chunk_rows:
+        raise ValueError("halo must be smaller than chunk_rows")
     gcols = _group_columns(df, keys)
     g = list(gcols)
-    # one pass over the input: every row is emitted as itself (kind 1) and, for the
-    # look-back count, once more as a probe (kind 0) carrying only the key columns
-    kinds = F.array(F.lit(1), F.lit(0)) if lookback_days is not None else F.array(F.lit(1))
-    gen = df.withColumns(gcols).withColumn("_kind", F.explode(kinds))
-    is_row = F.col("_kind") == 1
-    t = F.col(ts)
-    if lookback_days is not None:
-        t = F.when(is_row, t).otherwise(t + F.make_dt_interval(days=F.lit(lookback_days)))
-    u = gen.select(
-        *[F.col(f"`{f.name}`") if f.name in keys else F.when(is_row, F.col(f"`{f.name}`")).alias(f.name)
-          for f in df.schema.fields],
-        *[F.col(c) for c in g if c not in df.columns],
-        t.alias("_t"), "_kind",
-        F.when(F.col(ts).isNull(), F.lit(0)).when(is_row, F.lit(1)).otherwise(F.lit(-1)).alias("_w"))
-    u = u.withColumn("_day", F.to_date("_t"))
-    # undated rows stand before all others: a day of their own that joins by plain equality
-    u = u.withColumn("_slot", F.coalesce("_day", F.lit("0001-01-01").cast("date")))
-
-    # written, so that a row's part stays what it was when a task runs again
-    order = [*g, "_t", "_kind", tiebreak]
-    u = materialise(u.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sequence")
-
-    # probes (kind 0) sort before rows (kind 1) at equal time
-    w_day = Window.partitionBy(*g, "_part", "_slot").orderBy("_t", "_kind", tiebreak)
-    run = w_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w_day.rowsBetween(Window.unboundedPreceding, -1)
-    windowed = u.select(
+    u = _parts(df, gcols, keys, ts, tiebreak, lookback_days, chunk_rows)
+    reaching_keys = _reaching(u, g)
+    across = not reaching_keys.isEmpty()
+    u = u.withColumn("_own", F.lit(True))
+    carry: list[str] = []
+    if across:
+        # at most one key per part
+        reaching = u.join(F.broadcast(reaching_keys), g, "left_semi")
+        carries = _carries(reaching, g)
+        if halo:
+            u = u.unionByName(_border_rows(reaching, g, halo).withColumns(
+                {"_own": F.lit(False), "_w": F.lit(0).cast(u.schema["_w"].dataType)}))
+
+    w = Window.partitionBy(*g, "_part").orderBy("_slot", "_mid")
+    w_day = Window.partitionBy(*g, "_part", "_slot").orderBy("_mid")
+    run = (Window.unboundedPreceding, Window.currentRow)
+    counted = F.when(F.col("_own"), F.col("_kind")).otherwise(0)
+    rows = u.select(
         "*",
-        F.sum("_kind").over(run).alias("_in_rank"),
-        F.sum("_w").over(run).alias("_in_w"),
-        F.last(F.when(F.col("_kind") == 1, F.col("_t")), ignorenulls=True).over(before).alias("_in_prev"),
-    )
-
-    hk = {f"_hk{i}": F.col(f"`{k}`") for i, k in enumerate(keys)} if attach is not None else {}
-    # the key values ride along (they are functions of the stand-ins) for ``attach``
-    hist = (u.withColumns(hk).groupBy(*g, *hk, "_part", "_slot")
-            .agg(F.max("_day").alias("_day"), F.sum("_kind").alias("_n"), F.sum("_w").alias("_ws"),
-                 F.max(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_last")))
-    w_hist = Window.partitionBy(*g).orderBy("_part", "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    w_same = Window.partitionBy(*g, "_slot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(*g, *hk, "_part", "_slot", "_day",
-                       F.coalesce(F.sum("_n").over(w_same), F.lit(0)).alias("_n_same_day"),
-                       F.coalesce(F.sum("_n").over(w_hist), F.lit(0)).alias("_n_before"),
-                       F.coalesce(F.sum("_ws").over(w_hist), F.lit(0)).alias("_w_before"),
-                       F.last("_last", ignorenulls=True).over(w_hist).alias("_prev_day_last"))
-    attached: list[str] = []
-    if attach is not None:
-        table, derived = attach
-        attached = [c for c in table.columns if c not in keys and c not in derived]
-        hd = hist.withColumns({f"_hd_{c}": e for c, e in derived.items()})
-        cond = None
-        for i, k in enumerate(keys):
-            e = hd[f"_hk{i}"].eqNullSafe(table[k])
-            cond = e if cond is None else cond & e
-        for c in derived:
-            e = hd[f"_hd_{c}"].eqNullSafe(table[c])
-            cond = e if cond is None else cond & e
-        hist = hd.join(table, cond, "left").select(*[hd[c] for c in hist.columns if c not in hk],
-                                                  *[table[c] for c in attached])
-
-    rows = windowed.filter(F.col("_kind") == 1)
-    out = rows.drop("_day").join(hist, on=[*g, "_part", "_slot"], how="inner")
+        F.sum(counted).over(w.rowsBetween(*run)).alias("_in_rank"),
+        F.sum("_w").over(w.rowsBetween(*run)).alias("_in_w"),
+        F.last(F.when(F.col("_kind") == 1, F.col("_t")), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)).alias("_in_prev"),
+        F.sum(counted).over(w_day.rowsBetween(*run)).alias("_in_day"),
+    ).where("_kind = 1")
+    # the same partitions in the same order, without the probes
+    rows = rows.withColumns({name: frame(w) for name, frame in frames.items()}).where("_own")
+    if across:
+        # at most two rows per part
+        rows = rows.join(F.broadcast(carries), [*g, "_part"], "left")
+        carry = ["_n_before", "_w_before", "_n_same_day", "_first_slot"]
+        if not halo:
+            last = _previous_times(reaching, g)
+            rows = rows.join(F.broadcast(last), [*g, "_part"], "left")
+            rows = rows.withColumn("_in_prev", F.coalesce("_in_prev", "_before_t")).drop("_before_t")
+
+    def carried(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)) if carry else F.lit(0)
+
+    same_day = F.when(F.col("_slot") == F.col("_first_slot"), carried("_n_same_day")).otherwise(0) if carry else F.lit(0)
     extra = {
-        RANK: (F.col("_n_before") + F.col("_in_rank")).cast("long"),
-        DAY_RANK: (F.col("_n_same_day") + F.col("_in_rank")).cast("long"),
-        PREV_TS: F.coalesce(F.col("_in_prev"), F.col("_prev_day_last")),
+        RANK: (carried("_n_before") + F.col("_in_rank")).cast("long"),
+        DAY_RANK: (same_day + F.col("_in_day")).cast("long"),
+        PREV_TS: F.col("_in_prev"),
     }
     if lookback_days is not None:
-        extra[count_name] = F.when(F.col(ts).isNotNull(), F.col("_w_before") + F.col("_in_w")).cast("long")
-    return out.withColumns(extra).select(*df.columns, *extra.keys(), *attached)
-
-
-def with_halo_chunks(df: DataFrame, halo: int, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Assign CHUNK from RANK and copy each chunk's last ``halo`` rows into the next one."""
-    if halo >= chunk_rows:
-        raise ValueError("halo must be smaller than chunk_rows")
-    pos = F.col(RANK) - 1
-    copies = F.when(pos % chunk_rows >= chunk_rows - halo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return (df.withColumn("_copy", F.explode(copies))
-              .withColumn(CHUNK, F.floor(pos / chunk_rows).cast("long") + F.col("_copy"))
-              .withColumn(HALO, F.col("_copy") == 1)
-              .drop("_copy"))
+        extra[count_name] = F.when(F.col(ts).isNotNull(), carried("_w_before") + F.col("_in_w")).cast("long")
+    added: list[str] = []
+    if groups is not None:
+        by, aggregates = groups
+        added = list(aggregates)
+        rows = rows.withColumn("_by", by)
+        inside = Window.partitionBy(*g, "_part", "_by")
+        rows = rows.withColumns({c: e.over(inside) for c, e in aggregates.items()})
+        if across:
+            whole = reaching.where("_kind = 1").withColumn("_by", by).groupBy(*g, "_by").agg(
+                F.lit(True).alias("_across"), *[e.alias(f"_all_{c}") for c, e in aggregates.items()])
+            # written: the planner sees how few keys these are
+            whole = materialise(whole.withColumn("_no_by", F.col("_by").isNull()).withColumn("_by", _never_null(whole, "_by")), "groups")
+            rows = rows.withColumn("_no_by", F.col("_by").isNull()).withColumn("_by", _never_null(rows, "_by"))
+            rows = rows.join(whole, [*g, "_by", "_no_by"], "left")
+            rows = rows.withColumns({c: F.when(F.col("_across"), F.col(f"_all_{c}")).otherwise(F.col(c)) for c in aggregates})
+    out = rows.withColumns(extra).select(*df.columns, *extra, *frames, *added)
+    if attach is None:
+        return out
+    table, derived = attach
+    out = out.withColumn("_day", F.to_date(ts)).withColumns({f"_hd_{c}": e for c, e in derived.items()})
+    same = [out[k].eqNullSafe(table[k]) for k in keys] + [out[f"_hd_{c}"].eqNullSafe(table[c]) for c in derived]
+    attached = [c for c in table.columns if c not in keys and c not in derived]
+    return out.join(table, reduce(lambda a, b: a & b, same), "left").select(
+        *[out[c] for c in [*df.columns, *extra, *frames, *added]], *[table[c] for c in attached])
 
 
-def chunk_window(keys: list[str]):
-    """Window spec for row-count frames over ``with_halo_chunks`` output."""
-    return Window.partitionBy(*keys, CHUNK).orderBy(RANK)
+def _never_null(df: DataFrame, c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def drop_halo(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col(HALO)).drop(HALO, CHUNK)
+def _previous_times(reaching: DataFrame, g: list[str]) -> DataFrame:
+    """Per (key, part) the last time before the part (``_before_t``)."""
+    last = reaching.groupBy(*g, "_part").agg(F.max(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_last"))
+    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select(*g, "_part", F.max("_last").over(before).alias("_before_t"))
 
 
 def dense_index(df: DataFrame, order: list, name: str = "_idx") -> DataFrame:

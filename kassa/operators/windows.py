@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from kassa.functions.calendar import whole_days_between
 from kassa.operators import sequence as seq
-from kassa.operators.features import monthly_stats, rolling_features
+from kassa.operators.features import ROLLING_HALO, monthly_stats, rolling_frames
 
 
 def rolling_stats(df: DataFrame, keys: list[str], value: str = "amount_abs",
                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W1-W4 (value = amount_abs) / W11 (value = amount): 7/30-row mean and sample std."""
-    s = seq.sequence(df, keys)
-    return rolling_features(s, keys, value, chunk_rows).drop(seq.RANK, seq.DAY_RANK, seq.PREV_TS)
+    s = seq.sequence(df, keys, frames=rolling_frames(value), halo=ROLLING_HALO, chunk_rows=chunk_rows)
+    return s.drop(seq.RANK, seq.DAY_RANK, seq.PREV_TS)
 
 
 def days_since_last(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,9 @@ from kassa.plans.common import CATEGORIZED_SQL, LEDGER_SPEC, categorized_fixed,
 from kassa.plans.registry import register
 from kassa.session import scratch_path
 from kassa.sources.files import indexed_metrics, load_transactions, read_table
+from kassa.sources.sinks import write_table
 from kassa.sources.testdata import LEDGER_CATEGORIES, METRIC_FEATURES
+from kassa.sources.typed_csv import read_csv
 
 WS = S.WS
 DIRTY_SPEC = "transaction_id string, user_id string, date timestamp, description string, amount double, category string"
@@ -28,6 +30,12 @@ SELECT DISTINCT * FROM ({COERCE_DIRTY_SQL}) d
 WHERE date IS NOT NULL AND description IS NOT NULL AND amount IS NOT NULL"""
 
 
+BASIC_FEATURES_SPEC = LEDGER_SPEC + ", month long, day_of_week long, is_weekend long, amount_abs double, is_income long"
+BASIC_FEATURES_SQL = """
+SELECT *, month(date) AS month, isodow(date) - 1 AS day_of_week, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+       abs(amount) AS amount_abs, CASE WHEN amount > 0 THEN 1 ELSE 0 END AS is_income FROM ledger_intraday"""
+
+
 @register("C11_clean_transactions", DIRTY_SPEC, CLEAN_DIRTY_SQL)
 def q_c11(t):
     return C.clean_transactions(t.ledger_dirty())
@@ -38,8 +46,9 @@ def q_c1_c5(t):
     return C.coerce(C.require_columns(C.normalize_column_names(t.ledger_dirty())))
 
 
-@register("C2_missing_columns", "column string, fault string",
-          "SELECT * FROM (VALUES ('date', 'absent'), ('description', NULL), ('amount', 'absent')) v(\"column\", fault)")
+@register("C2_missing_columns", "column string, fault string, n_values long",
+          "SELECT \"column\", fault, CASE WHEN fault IS NULL THEN (SELECT count(description) FROM ledger) ELSE 0 END AS n_values "
+          "FROM (VALUES ('date', 'absent'), ('description', NULL), ('amount', 'absent')) v(\"column\", fault)")
 def q_c2(t):
     return C.column_report(t.ledger().select("description", F.col("amount").alias("sum")))
 
@@ -51,7 +60,7 @@ def q_c3_dropped(t):
     return C.dropped_counts(t.ledger_dirty())
 
 
-@register("C8_order_by_date", "pos long, transaction_id long",
+@register("C8_first_1000_by_date", "pos long, transaction_id long",
           "SELECT row_number() OVER (ORDER BY date, transaction_id) AS pos, transaction_id FROM ledger "
           "ORDER BY pos LIMIT 1000")
 def q_c8(t):
@@ -85,6 +94,26 @@ def q_s2(t):
     return C.normalize_upload_types(t.ledger().drop("description"))
 
 
+@register("S4_featured_scan_csv", BASIC_FEATURES_SPEC, BASIC_FEATURES_SQL)
+def q_s4_csv(t):
+    """Features saved as CSV and read again with the types their values have."""
+    path = scratch_path(t.spark, "s4_features_csv")
+    write_table(basic_features(t.ledger_intraday()), path, "csv")
+    return read_table(t.spark, path, "csv")
+
+
+@register("S4_csv_column_types", "column string, dtype string, non_null long, nulls long",
+          "SELECT * FROM (" + " UNION ALL ".join(
+              f"SELECT '{c}' AS \"column\", '{d}' AS dtype, count({c}) AS non_null, count(*) - count({c}) AS nulls FROM ledger_undated"
+              for c, d in (("transaction_id", "bigint"), ("user_id", "bigint"), ("date", "timestamp_ntz"),
+                           ("description", "string"), ("amount", "double"), ("category", "string"))) + ") p")
+def q_s4_types(t):
+    """The types that a CSV ledger's values decide, with the profile of what was read."""
+    path = scratch_path(t.spark, "s4_ledger_csv")
+    write_table(t.ledger_undated(), path, "csv")
+    return C.column_profile(read_csv(t.spark, path))
+
+
 @register("S4_S6_table_scan_round_trip", LEDGER_SPEC, "SELECT * FROM ledger")
 def q_s6(t):
     path = scratch_path(t.spark, "s6_ledger_parquet")

@@ -40,9 +40,16 @@ def q_s3(t):
 def q_s7(t):
     path = scratch_path(t.spark, "s7_ledger_csv")
     sinks.write_table(t.ledger(), path, "csv")
-    back = read_table(t.spark, path, "csv")
-    return back.select(F.col("transaction_id").cast("long"), F.col("user_id").cast("long"), "date",
-                       "description", F.col("amount").cast("double"), "category")
+    return read_table(t.spark, path, "csv")
+
+
+@register("S3_latest_snapshot_csv", LEDGER_SPEC, "SELECT * FROM ledger WHERE amount < 0")
+def q_s3_csv(t):
+    base = scratch_path(t.spark, "s3_csv_snapshots")
+    sinks.write_table(t.ledger().repartition(3), f"{base}/categorized_transactions_old", "csv")
+    set_times(t.spark, f"{base}/categorized_transactions_old", 1_000_000_000_000)
+    sinks.write_table(t.ledger().where(F.col("amount") < 0).repartition(4), f"{base}/categorized_transactions_new", "csv")
+    return latest_snapshot(t.spark, f"{base}/categorized_transactions_*")
 
 
 @register("S8_review_split_sink", "part string, " + PRED_SPEC,

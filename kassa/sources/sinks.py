@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from kassa.operators.anomaly import top_anomalies
 from kassa.operators.filters import drop_prefix
+from kassa.sources.typed_csv import FORMAT
+
+# times with all their digits; null and the empty text are both an empty field, as in pandas
+CSV_FORMAT = FORMAT | {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "emptyValue": ""}
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -15,7 +19,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Clean / featured / predicted tables (CSV gets a header)."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**CSV_FORMAT)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

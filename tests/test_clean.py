@@ -66,3 +66,14 @@ def test_every_row_has_its_position_by_date(spark):
     got = {r["transaction_id"]: r["pos"] for r in C.date_positions(df.repartition(5)).collect()}
     want = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))
     assert got == {i: n for n, (i, _) in enumerate(want, 1)}
+
+
+def test_layout_shapes():
+    assert C.layout_shape("MM/dd/yyyy") == r"^\d{2}/\d{2}/\d{4}$" and C.layout_shape("EEE d") is None
+    assert all(C.layout_shape(f) for f in C.DATE_FORMATS)
+
+
+def test_layouts_of_one_shape_are_tried_in_order(spark):
+    df = spark.createDataFrame([("25/12/2024",), ("01/02/2024",), ("1/2/2024",)], "a string")
+    got = [r[0] for r in df.select(C.parse_timestamp(F.col("a"), ["MM/dd/yyyy", "d/M/yyyy"])).collect()]
+    assert got == [dt.datetime(2024, 12, 25), dt.datetime(2024, 1, 2), dt.datetime(2024, 2, 1)]

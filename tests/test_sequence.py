@@ -129,3 +129,46 @@ def test_one_day_of_one_key_spreads_over_tasks(spark):
     ranks = out.where("user_id = 1").agg(F.min(seq.RANK), F.max(seq.RANK), F.count_distinct(seq.RANK),
                                          F.max(seq.DAY_RANK)).first()
     assert tuple(ranks) == (1, 20_040, 20_040, 20_040)
+
+
+def _hot_ledger(spark, n=1500):
+    rng = np.random.default_rng(11)
+    t = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 90 * 24, n), unit="h")
+    users = rng.choice([1, 2, 3, 4], size=n, p=[0.7, 0.2, 0.07, 0.03])
+    rows = [(i, None if u == 4 else int(u), None if i % 90 == 7 else ts_.to_pydatetime(), f"word {i % 5}", float(a), "ab"[i % 2])
+            for i, (u, ts_, a) in enumerate(zip(users, t, rng.normal(0, 50, n).round(2)))]
+    rows += [(5, 1, ts("2024-01-20"), "twice", -1.0, "a"), (5, 1, ts("2024-01-20"), "again", -2.0, "a")]
+    return spark.createDataFrame(rows, "transaction_id long, user_id long, date timestamp_ntz, description string, "
+                                       "amount double, category string")
+
+
+def test_small_parts_give_the_same_features(spark):
+    """Keys and days that reach over many parts: carries, border rows and monthly groups against one part."""
+    df = _hot_ledger(spark)
+    for build, kw in ((build_all_features, {"categories": ["a", "b"]}), (engineer_features, {})):
+        whole = build(df, **kw).toPandas()
+        split = build(df, chunk_rows=31, **kw).toPandas()[whole.columns]
+        order = ["transaction_id", "description"]
+        pd.testing.assert_frame_equal(whole.sort_values(order, ignore_index=True), split.sort_values(order, ignore_index=True),
+                                      rtol=1e-9, atol=1e-9)
+
+
+def test_previous_time_without_border_rows(spark):
+    df = _hot_ledger(spark)
+    a, b = (seq.sequence(df, ["user_id"], lookback_days=7, count_name="n", chunk_rows=c).toPandas() for c in (1 << 20, 10))
+    order = ["transaction_id", "description"]
+    pd.testing.assert_frame_equal(a.sort_values(order, ignore_index=True), b.sort_values(order, ignore_index=True))
+
+
+def test_whole_rows_are_exchanged_once(spark):
+    """After its input is written, E1 moves ``description`` through one exchange: the join with its features."""
+    df = _hot_ledger(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = build_all_features(df, categories=["a", "b"], feature_set="no_label")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    wide = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x and "description" in "".join(lines[i + 1: i + 4])]
+    assert len(wide) == 1
+    assert sum("Exchange hashpartitioning" in x for x in lines) == 3  # rows, features, windows of the features
