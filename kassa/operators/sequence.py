@@ -9,7 +9,8 @@ key (``user_id``), and a single key may hold a large share of all rows, so a pla
    key with half of all rows, on one day or not, spreads over half of the parts.  All windows
    run inside ``(key, part)``, so they share one exchange and one sort.
 2. **Carries.**  Only a key that reaches over a part's border needs anything from elsewhere, and
-   a part has two borders.  For those keys, (key, part, day) counts give what precedes each
+   a part has two borders.  If all of the key's rows fit one part they are counted to its first one;
+   for longer keys, (key, part, day) counts give what precedes each
    part: rows, rows of the same day, the running sum of 3.  That table has at most two rows
    per part and is broadcast.
 3. **Look-back counts.**  The "rows in (t - L, t]" count is a running sum over the
@@ -92,11 +93,13 @@ def _parts(df: DataFrame, gcols: dict[str, Column], keys: list[str], ts: str, ti
 
 
 def _reaching(u: DataFrame, g: list[str]) -> DataFrame:
-    """Keys with rows in more than one part: first or last key of at least two (at most one per part)."""
+    """Keys with rows in more than one part (first or last key of at least two, so at most one per
+    part), with their number of rows and their first part."""
     ends = u.groupBy("_part").agg(F.min(F.struct(*g)).alias("lo"), F.max(F.struct(*g)).alias("hi"))
     ends = ends.select("_part", F.explode(F.array("lo", "hi")).alias("k"))
-    keys = ends.groupBy("k").agg(F.min("_part").alias("a"), F.max("_part").alias("b")).where("a < b")
-    return materialise(keys.select("k.*"), "reaching_keys")
+    keys = ends.groupBy("k").agg(F.min("_part").alias("a"), F.max("_part").alias("b")).where("a < b").select("k.*")
+    counts = u.join(F.broadcast(keys), g).groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"), F.min("_part").alias("_home"))
+    return materialise(counts, "reaching_keys")
 
 
 def _carries(reaching: DataFrame, g: list[str]) -> DataFrame:
@@ -156,12 +159,16 @@ def sequence(df: DataFrame, keys: list[str], ts: str = "date", tiebreak: str = "
     g = list(gcols)
     u = _parts(df, gcols, keys, ts, tiebreak, lookback_days, chunk_rows)
     reaching_keys = _reaching(u, g)
-    across = not reaching_keys.isEmpty()
+    longest = reaching_keys.agg(F.max("_rows")).first()[0] or 0
     u = u.withColumn("_own", F.lit(True))
+    if longest:
+        # a key that fits one part goes to one (at most one key per part: a bounded broadcast)
+        fitting = F.broadcast(reaching_keys.where(F.col("_rows") <= chunk_rows).drop("_rows"))
+        u = u.join(fitting, g, "left").withColumn("_part", F.coalesce("_home", "_part")).drop("_home")
     carry: list[str] = []
+    across = longest > chunk_rows
     if across:
-        # at most one key per part
-        reaching = u.join(F.broadcast(reaching_keys), g, "left_semi")
+        reaching = u.join(F.broadcast(reaching_keys.where(F.col("_rows") > chunk_rows)), g, "left_semi")
         carries = _carries(reaching, g)
         if halo:
             u = u.unionByName(_border_rows(reaching, g, halo).withColumns(
