@@ -1,12 +1,15 @@
 """The reference's dense autoencoder (d-32-16-k-16-32-d, ReLU, linear output, MSE,
-Adam, mini-batches of 64, learning rate 0.001) trained data-parallel on Spark.
-
-Each epoch is one job: the current weights and Adam moments (a few thousand numbers) ship
-with the task closure, every partition makes mini-batch steps over its own rows, and the
-partitions' weights and moments are averaged by their row counts (periodic averaging).
-Partitions return one array each; arrays are summed in two levels, so the driver sees at
-most ``FAN_IN`` of them.  Averaging differs from one sequential pass, so results are compared
-on quality, not weights.  Validation = rows above the 80th percentile of the key (the
+Adam, learning rate 0.001) trained synchronously on Spark: one Adam step per mini-batch of the whole data.
+
+A row's mini-batch and its block in it are hashes of its key.  A mini-batch has ``batch_rows`` rows, or more on
+large data: an epoch has at most ``STEPS`` steps, so its number of jobs does not grow.  A block has
+about ``BLOCK_ROWS`` rows, sorted by key, packed as one array.  A step is one job: the weights (a few thousand
+numbers) are broadcast, every block yields its gradient sum, blocks are summed in the order of their
+numbers, in two levels (``FAN_IN`` sums reach the driver at most), and the driver makes the Adam step.
+
+Neither the number of partitions nor that of cores changes what is summed with what, or in which order, so
+the weights are the same on every cluster, to the last bit.  Packed blocks are cached and come from a
+written table, from which lost ones are read again.  Validation = rows above the 80th percentile of the key (the
 reference holds out the last 20%); early stopping with patience keeps the best weights.
 """
 from __future__ import annotations
@@ -15,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kassa.operators.anomaly import Scaler, exact_quantile, mean_squared
+from kassa.session import materialise
 
 
 def layer_sizes(d: int, k: int | None = None) -> list[int]:
@@ -85,84 +90,128 @@ class AutoencoderModel:
         return unflatten(self.weights, self.sizes)
 
 
-#: arrays that reach the driver, and partitions of the training table per core
-FAN_IN, PER_CORE = 64, 4
+#: most steps (jobs) of an epoch, rows of a packed block, and sums that reach the driver
+STEPS, BLOCK_ROWS, FAN_IN = 64, 1 << 14, 64
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-7
+VALIDATION = -1
 
 
-def _epoch_job(scaled: DataFrame, zcols: list[str], state: np.ndarray, step: float, sizes: list[int], lr: float,
-               batch_rows: int, seed: int) -> np.ndarray:
-    """Row-weighted sums of [weights, moments, train sse, train rows, validation sse, validation rows, steps]."""
-    n_par = len(state) // 3
+def _packed(df: DataFrame, scaler: Scaler, key: str, cut: float, steps: int, blocks: int, seed: int) -> DataFrame:
+    """(batch, block, z): the scaled rows of a block as one array, in the order of their keys; the validation
+    rows are batch ``VALIDATION``."""
+    draw = F.xxhash64(F.col(key), F.lit(seed))
+    batch = F.when(F.col(key) > F.lit(cut), VALIDATION).otherwise(F.pmod(draw, F.lit(steps))).cast("int")
+    block = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(blocks)).cast("int")
+    z = F.array(*[c.cast("double") for c in scaler.columns_scaled().values()])
+    rows = df.select(batch.alias("batch"), block.alias("block"), F.col(key).alias("key"), z.alias("z"))
+    rows = rows.repartition("batch", "block").sortWithinPartitions("batch", "block", "key", "z")
 
-    def part(batches):
-        w, m, v = (x.copy() for x in np.split(state, 3))
-        start, t = unflatten(state[:n_par], sizes), step
-        draw = np.random.default_rng(seed)
-        tr_sse = va_sse = 0.0
-        tr_n = va_n = 0
-        for pdf in batches:
-            val = pdf["_val"].to_numpy(dtype=bool)
-            held, x = pdf.loc[val, zcols].to_numpy(dtype=float), pdf.loc[~val, zcols].to_numpy(dtype=float)
-            if len(held):
-                out, _ = forward(held, start)
-                va_sse += float(np.sum((out - held) ** 2)); va_n += len(held)
-            x = x[draw.permutation(len(x))]
-            for at in range(0, len(x), batch_rows):
-                rows = x[at: at + batch_rows]
-                sse, grads = grad_sums(rows, unflatten(w, sizes))
-                g = flatten(grads) / rows.size
-                t += 1
-                m = BETA1 * m + (1 - BETA1) * g
-                v = BETA2 * v + (1 - BETA2) * g * g
-                w = w - lr * (m / (1 - BETA1 ** t)) / (np.sqrt(v / (1 - BETA2 ** t)) + EPSILON)
-                tr_sse += sse; tr_n += len(rows)
-        yield pd.DataFrame({"v": [np.concatenate([tr_n * np.concatenate([w, m, v]), [tr_sse, tr_n, va_sse, va_n, tr_n * t]])]})
+    def pack(batches):
+        at, held = None, []
 
-    def add(batches):
-        total = np.zeros(3 * n_par + 5)
-        for pdf in batches:
-            for v in pdf["v"]:
-                total += v
-        yield pd.DataFrame({"v": [total]})
+        def packed():
+            return pd.DataFrame({"batch": [at[0]], "block": [at[1]], "z": [np.concatenate(held).tobytes()]})
 
-    kind = "v array<double>"
-    sums = scaled.mapInPandas(part, kind).repartition(FAN_IN).mapInPandas(add, kind)
-    return np.sum([np.array(r["v"]) for r in sums.collect()], axis=0)
+        for pdf in batches:
+            for place, rows_ in pdf.groupby(["batch", "block"], sort=True)["z"]:
+                if place != at:
+                    if held:
+                        yield packed()
+                    at, held = place, []
+                held.append(np.stack(rows_.to_numpy()))
+        if held:
+            yield packed()
+
+    return materialise(rows.select("batch", "block", "z").mapInPandas(pack, "batch int, block int, z binary"), "packed")
+
+
+class _Batch:
+    """One mini-batch (or the validation rows) as a cached set of packed blocks."""
+
+    def __init__(self, packed: DataFrame, batch: int, blocks: int, d: int):
+        # gradients of FAN_IN groups of blocks; with as few blocks every group is one
+        self.blocks, self.group = blocks, -(-blocks // FAN_IN)
+        rows = packed.where(F.col("batch") == batch).select("block", "z").rdd
+        self.rdd = rows.map(lambda r: (r["block"], np.frombuffer(r["z"]).reshape(-1, d)))
+        self.rdd = self.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sums(self, of) -> list | None:
+        """The sum of ``of(block)`` (a list of arrays) over all blocks, always added in the same order."""
+        group = self.group
+        done = self.rdd.map(lambda b: (b[0], of(b[1])))
+        if group > 1:
+            def add(items):
+                return _total(v for _, v in sorted(items, key=lambda x: x[0]))
+            done = done.map(lambda b: (b[0] // group, b)).groupByKey(FAN_IN).mapValues(add)
+        return _total(v for _, v in sorted(done.collect(), key=lambda x: x[0]))
+
+
+def _total(values):
+    out = None
+    for v in values:
+        out = list(v) if out is None else [a + b for a, b in zip(out, v)]
+    return out
 
 
-def fit_autoencoder(df: DataFrame, scaler: Scaler, key: str = "row_id", k: int | None = None, epochs: int = 50,
+def fit_autoencoder(df: DataFrame, scaler: Scaler, key: str = "row_id", k: int | None = None, epochs: int = 100,
                     lr: float = 0.001, batch_rows: int = 64, patience: int = 10, validation: float = 0.2,
                     seed: int = 42) -> AutoencoderModel:
-    cols = scaler.columns
-    d = len(cols)
+    sc = df.sparkSession.sparkContext
+    d = len(scaler.columns)
     sizes = layer_sizes(d, k)
     cut = exact_quantile(df, key, 1.0 - validation)
-    zc = [f"{c}_scaled" for c in cols]
-    scaled = df.withColumns(scaler.columns_scaled()).select(*zc, (F.col(key) > F.lit(cut)).alias("_val"))
-    scaled = scaled.coalesce(PER_CORE * df.sparkSession.sparkContext.defaultParallelism).persist()
+    n = df.count()
+    steps = int(min(STEPS, max(1, -(-n * (1.0 - validation) // batch_rows))))
+    blocks = int(max(1, -(-n // (steps * BLOCK_ROWS))))
+    packed = _packed(df, scaler, key, cut, steps, blocks, seed)
+    batches = [_Batch(packed, i, blocks, d) for i in range(steps)]
+    held = _Batch(packed, VALIDATION, blocks, d)
     w = flatten(init_params(sizes, seed))
-    state, step = np.concatenate([w, np.zeros_like(w), np.zeros_like(w)]), 0.0
+    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
     best, best_w, wait, history = np.inf, w.copy(), 0, []
+    draw = np.random.default_rng(seed)
     try:
-        for ep in range(1, epochs + 1):
-            before = state[: w.size]
-            acc = _epoch_job(scaled, zc, state, step, sizes, lr, batch_rows, seed + ep)
-            tr_sse, tr_n, va_sse, va_n, steps = acc[3 * w.size:]
+        for epoch in range(1, epochs + 1):
+            tr_sse = tr_n = 0.0
+            for i in draw.permutation(steps):
+                shared = sc.broadcast(w)
+
+                def gradient(x, shared=shared):
+                    sse, grads = grad_sums(x, unflatten(shared.value, sizes))
+                    return [flatten(grads), sse, len(x)]
+
+                total = batches[i].sums(gradient)
+                shared.unpersist()
+                if total is None:
+                    continue
+                g, sse, rows = total
+                t += 1
+                g = g / (rows * d)
+                m = BETA1 * m + (1 - BETA1) * g
+                v = BETA2 * v + (1 - BETA2) * g * g
+                w = w - lr * (m / (1 - BETA1 ** t)) / (np.sqrt(v / (1 - BETA2 ** t)) + EPSILON)
+                tr_sse, tr_n = tr_sse + sse, tr_n + rows
             if not tr_n:
                 break
-            state, step = acc[: 3 * w.size] / tr_n, steps / tr_n
+            weights = w
+
+            def error(x, weights=weights):
+                out, _ = forward(x, unflatten(weights, sizes))
+                return [float(np.sum((out - x) ** 2)), len(x)]
+
+            total = held.sums(error)
             tr_loss = tr_sse / (tr_n * d)
-            va_loss = va_sse / (va_n * d) if va_n else tr_loss   # of the weights the epoch began with
-            history.append((ep, float(tr_loss), float(va_loss)))
+            va_loss = total[0] / (total[1] * d) if total else tr_loss
+            history.append((epoch, float(tr_loss), float(va_loss)))
             if va_loss < best - 1e-12:
-                best, best_w, wait = va_loss, before.copy(), 0
+                best, best_w, wait = va_loss, w.copy(), 0
             else:
                 wait += 1
                 if wait >= patience:
                     break
     finally:
-        scaled.unpersist()
+        for b in [*batches, held]:
+            b.rdd.unpersist()
     return AutoencoderModel(scaler, sizes, best_w, history)
 
 

@@ -73,3 +73,41 @@ def test_autoencoder_trains(spark):
     assert m.history[-1][1] < m.history[0][1]
     s = AE.score(m, df)
     assert s.count() == 400 and s.agg(F.min("reconstruction_error")).first()[0] >= 0
+
+
+def _plane(spark, n=500, d=5):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(n, 2))
+    x = np.hstack([z, z @ rng.normal(size=(2, d - 2))]) + 0.05 * rng.normal(size=(n, d))
+    cols = [f"feature_{i}" for i in range(d)]
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, " + ", ".join(f"{c} double" for c in cols)), cols
+
+
+def test_training_does_not_depend_on_partitions(spark, monkeypatch):
+    df, cols = _plane(spark)
+    scaler = A.fit_scaler(df, cols)
+    monkeypatch.setattr(AE, "BLOCK_ROWS", 16)  # several blocks to a batch
+    one, many = (AE.fit_autoencoder(df.repartition(n), scaler, epochs=3, batch_rows=100) for n in (2, 16))
+    assert np.array_equal(one.weights, many.weights) and one.history == many.history
+    monkeypatch.setattr(AE, "FAN_IN", 2)  # sums in two levels
+    two = AE.fit_autoencoder(df, scaler, epochs=3, batch_rows=100)
+    assert np.allclose(one.weights, two.weights, rtol=0, atol=1e-9)
+
+
+def test_steps_are_those_of_the_whole_batches(spark):
+    """The first epoch against plain numpy on the same batches."""
+    df, cols = _plane(spark, 300)
+    scaler = A.fit_scaler(df, cols)
+    got = AE.fit_autoencoder(df, scaler, epochs=1, batch_rows=60)
+    steps = 4
+    cut = A.exact_quantile(df, "row_id", 0.8)
+    z = F.array(*scaler.columns_scaled().values())
+    rows = df.select("row_id", z.alias("z"), F.pmod(F.xxhash64("row_id", F.lit(42)), F.lit(steps)).alias("b")).orderBy("row_id").collect()
+    w = AE.flatten(AE.init_params(AE.layer_sizes(5), 42))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t, i in enumerate(np.random.default_rng(42).permutation(steps), 1):
+        x = np.array([r["z"] for r in rows if r["b"] == i and r["row_id"] <= cut])
+        g = AE.flatten(AE.grad_sums(x, AE.unflatten(w, AE.layer_sizes(5)))[1]) / x.size
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.001 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-7)
+    assert np.allclose(got.weights, w, rtol=0, atol=1e-9)
