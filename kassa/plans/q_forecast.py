@@ -260,3 +260,40 @@ def q_m23(t):
         F.bool_and((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered"))
     res = normal_residual(daily, coef).select("series_key", (F.col("residual") < 1e-6).alias("solved"))
     return fc.join(res, F.col("category") == F.col("series_key"))
+
+
+PLANTED_SQL = f"""
+SELECT series_key, ds, 100 + 40 * u + 200 * greatest(u - 0.4, 0) + (day * 7919 % 101 - 50) / 50.0 AS y
+FROM (SELECT *, date_diff('day', first, ds) / greatest(date_diff('day', first, last), 1) AS u, date_diff('day', DATE '1970-01-01', ds) AS day
+      FROM (SELECT series_key, CAST(ds AS DATE) AS ds, CAST(min(ds) OVER w AS DATE) AS first, CAST(max(ds) OVER w AS DATE) AS last
+            FROM ({CAT_DAILY}) d WINDOW w AS (PARTITION BY series_key)) x) z"""
+
+
+def planted_break(daily):
+    """Series on the ledger's days whose slope rises from 40 to 240 at two fifths of their time."""
+    spans = daily.groupBy("series_key").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
+    day = F.datediff("ds", F.lit("1970-01-01"))
+    u = F.datediff("ds", "first") / F.greatest(F.datediff("last", "first"), F.lit(1))
+    y = 100 + 40 * u + 200 * F.greatest(u - 0.4, F.lit(0.0)) + (day * 7919 % 101 - 50) / 50.0
+    return daily.select("series_key", "ds").join(spans, "series_key").select("series_key", "ds", y.alias("y"))
+
+
+@register("M23_trend_changes", "category string, n_days long, total double, found_there boolean, size_right boolean, quiet_elsewhere boolean", f"""
+SELECT series_key AS category, count(*) AS n_days, sum(y) AS total, true AS found_there, true AS size_right, true AS quiet_elsewhere
+FROM ({PLANTED_SQL}) p GROUP BY 1 HAVING count(*) >= 30""", digits=6)
+def q_m23_changes(t):
+    """Slope changes found in series with a planted break: one near two fifths of the time, of about the planted
+    size (200 over the whole time), and no more than a fifth of that anywhere else."""
+    from kassa.operators.seasonal import fit_seasonal, trend_changes
+    daily = planted_break(cat_daily(t))
+    coef = materialise(fit_seasonal(daily), "planted")
+    near = F.abs(F.col("place") - 0.4) <= 0.08
+    size = F.col("slope_change") * F.col("_span")
+    changes = trend_changes(coef).join(coef.select("series_key", "_span"), "series_key").groupBy("series_key").agg(
+        F.coalesce(F.sum(F.when(near, size)), F.lit(0.0)).alias("there"),
+        F.coalesce(F.sum(F.when(~near, F.abs(size))), F.lit(0.0)).alias("elsewhere"))
+    sums = daily.groupBy("series_key").agg(F.count(F.lit(1)).alias("n_days"), F.sum("y").alias("total"))
+    return coef.select("series_key").join(sums, "series_key").join(changes, "series_key", "left").select(
+        F.col("series_key").alias("category"), "n_days", "total", F.coalesce(F.col("there") > 0, F.lit(False)).alias("found_there"),
+        F.coalesce(F.col("there").between(160, 240), F.lit(False)).alias("size_right"),
+        F.coalesce(F.col("elsewhere") < 40, F.lit(False)).alias("quiet_elsewhere"))

@@ -73,3 +73,64 @@ def test_dashboard_ranks_every_category(spark):
     got = {r["category"]: (r["rank"], r["is_risk"]) for r in dashboard_rows(per, total).collect()}
     want = sorted(range(250), key=lambda i: (-(i // 2), i))
     assert got == {f"c{i:03d}": (n, n == 1) for n, i in enumerate(want, 1)}
+
+
+def _daily(spark, values, first="2023-01-01", name="s"):
+    base = dt.date.fromisoformat(first)
+    return spark.createDataFrame([(name, base + dt.timedelta(days=i), float(v)) for i, v in enumerate(values)],
+                                 "series_key string, ds date, y double")
+
+
+def test_cross_products_are_sums_over_rows(spark):
+    import numpy as np
+    from kassa.operators import seasonal as S
+    rng = np.random.default_rng(1)
+    daily = _daily(spark, rng.normal(5, 2, 300)).unionByName(_daily(spark, rng.normal(1, 2, 40), "1971-03-01", "t")).unionByName(
+        _daily(spark, [9.0] * 40, "2024-06-01", "t"))
+    spans = daily.groupBy("series_key").agg(F.min(S.days_since_epoch(F.col("ds"))).alias("_day0"), F.lit(400.0).alias("_span"), F.lit(2.0).alias("_scale"))
+    d = S._with_design(daily, spans)
+    got = {r["series_key"]: np.array(r["sums"]) for r in S.cross_products(d.repartition(7)).collect()}
+    for name in ("s", "t"):
+        z = np.array([[*r["_x"], r["y"] / 2] for r in d.where(F.col("series_key") == name).collect()])
+        assert np.allclose(got[name], (z.T @ z).ravel(), rtol=1e-9, atol=1e-6)
+
+
+def test_descent_finds_the_minimum():
+    import numpy as np
+    from kassa.operators.seasonal import descend
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        a = np.cumsum(rng.normal(size=(60, 8)), axis=1)
+        m, c = a.T @ a, a.T @ rng.normal(size=60)
+        for penalty in (0.0, 0.1, 3.0, 1e6):
+            x = descend(m, c, penalty)
+            g = c - m @ x
+            assert (np.abs(g[x != 0] - penalty * np.sign(x[x != 0])) < 1e-6).all() and (np.abs(g) <= penalty + 1e-6).all()
+
+
+def test_planted_changes_are_found_and_intervals_widen(spark):
+    import numpy as np
+    from kassa.operators.seasonal import fit_seasonal, forecast_seasonal, normal_residual, trend_changes
+    rng = np.random.default_rng(3)
+    t = np.arange(1500)  # several years, so that a year's curve cannot stand in for the break
+    daily = _daily(spark, 50 + 0.1 * t + 1.0 * np.maximum(t - 600, 0) + 5 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 15, 1500))
+    coef = fit_seasonal(daily).cache()
+    assert normal_residual(daily, coef).first()["residual"] < 1e-6
+    changes = trend_changes(coef).collect()
+    near = [c["slope_change"] for c in changes if abs(c["place"] - 0.4) < 0.08]
+    assert abs(sum(near) - 1.0) < 0.1 and sum(abs(c["slope_change"]) for c in changes) - sum(near) < 0.2
+    fc = forecast_seasonal(daily, coef, 60).orderBy("ds").toPandas()
+    width = (fc.yhat_upper - fc.yhat_lower).to_numpy()
+    assert width[-1] > 2 * width[0] and abs(fc.yhat.iloc[-1] - (50 + 155.9 + 959)) < 60
+    again = forecast_seasonal(daily.repartition(5), coef, 60).orderBy("ds").toPandas()
+    assert np.allclose(again.yhat_upper, fc.yhat_upper, rtol=1e-12)
+
+
+def test_time_of_day_has_its_own_terms(spark):
+    import numpy as np
+    from kassa.operators.seasonal import fit_seasonal, forecast_seasonal
+    base = dt.datetime(2024, 1, 1)
+    rows = [("s", base + dt.timedelta(hours=6 * i), 10.0 + (4.0 if i % 4 == 2 else 0.0)) for i in range(480)]
+    daily = spark.createDataFrame(rows, "series_key string, ds timestamp, y double")
+    fc = forecast_seasonal(daily, fit_seasonal(daily), 4).orderBy("ds").toPandas()
+    assert np.abs(fc.yhat.to_numpy()[:480] - np.array([r[2] for r in rows])).max() < 0.1
