@@ -44,10 +44,13 @@ def split_by_owner(batch: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
 def append(table: DataFrame, accepted: DataFrame) -> DataFrame:
     """U2, second half: accepted rows (seq, user_id, date, description, amount, category) get ids
     max(id) + 1, 2, ... in ``seq`` order."""
-    top = _max_id(table, "transaction_id")
-    numbered = dense_index(accepted, ["seq"], "_pos")
-    new = numbered.withColumn("transaction_id", F.lit(top) + F.col("_pos")).select(*TX_COLUMNS)
-    return table.select(*TX_COLUMNS).unionByName(new)
+    return table.select(*TX_COLUMNS).unionByName(numbered_rows(table, accepted))
+
+
+def numbered_rows(table: DataFrame, accepted: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """The accepted rows alone, with the ids after ``table``'s largest."""
+    top = _max_id(table, key)
+    return dense_index(accepted, ["seq"], "_pos").withColumn(key, F.lit(top) + F.col("_pos")).select(*TX_COLUMNS)
 
 
 def latest_per_id(batch: DataFrame, key: str = "transaction_id", seq: str = "seq",

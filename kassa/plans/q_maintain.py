@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from kassa.operators import maintain as U
 from kassa.plans.common import LEDGER_SPEC
 from kassa.plans.registry import register
+from kassa.session import materialise, scratch_path
+from kassa.sources.range_table import RangeTable
 
 
 def append_batch(t):
@@ -146,3 +148,95 @@ def q_u5r(t):
 @register("U1_list_user_transactions", LEDGER_SPEC, "SELECT * FROM ledger WHERE user_id = 1000")
 def q_u1(t):
     return U.list_transactions(t.ledger(), 1000)
+
+
+# ---- change batches committed to a table laid out by id ranges -------------------------
+WIDTH = 2048
+AFTER_APPEND = f"""
+SELECT * FROM ledger UNION ALL
+SELECT (SELECT max(transaction_id) FROM ledger) + row_number() OVER (ORDER BY seq) AS transaction_id,
+       user_id, date, description, amount, category FROM ({APPEND_BATCH_SQL}) b WHERE user_id IN (SELECT id FROM users)"""
+# changes of the upper half of the ids only
+LATE = "o_orderkey * 2 > (SELECT max(o_orderkey) FROM orders)"
+LATE_UPDATES = f"SELECT * FROM ({UPDATE_BATCH_SQL}) b WHERE transaction_id IN (SELECT o_orderkey FROM orders WHERE {LATE})"
+LATE_DELETES = f"SELECT o_orderkey AS transaction_id FROM orders WHERE o_orderkey % 4 = 0 AND {LATE}"
+AFTER_ALL = f"""
+WITH b AS ({LATE_UPDATES}),
+u AS (SELECT transaction_id, arg_max(description, seq) AS nd, arg_max(amount, seq) AS na, arg_max(category, seq) AS nc
+      FROM b GROUP BY 1),
+a AS ({AFTER_APPEND})
+SELECT a.transaction_id, user_id, date, coalesce(nd, description) AS description,
+       CASE WHEN u.transaction_id IS NOT NULL THEN na ELSE amount END AS amount, coalesce(nc, category) AS category
+FROM a LEFT JOIN u ON a.transaction_id = u.transaction_id
+WHERE a.transaction_id NOT IN ({LATE_DELETES})"""
+
+
+def stored(t, name):
+    return RangeTable(t.spark, scratch_path(t.spark, name), width=WIDTH).create(t.ledger())
+
+
+def late_changes(t):
+    late = t.raw("orders").join(t.raw("orders").agg(F.max("o_orderkey").alias("_top")), F.col("o_orderkey") * 2 > F.col("_top"))
+    ids = late.select(F.col("o_orderkey").alias("transaction_id"))
+    updates = update_batch(t).join(ids, "transaction_id", "left_semi")
+    return updates, ids.where(F.col("transaction_id") % 4 == 0)
+
+
+def committed(t, name):
+    table = stored(t, name)
+    before = materialise(table.files(), "files")
+    accepted, _ = U.split_by_owner(append_batch(t), t.users())
+    table.append(accepted)
+    updates, deletes = late_changes(t)
+    table.update(updates)
+    table.delete(deletes)
+    return table, before
+
+
+@register("U2_U4_committed_table", LEDGER_SPEC, AFTER_ALL)
+def q_commit(t):
+    """The stored table after an append, an update and a delete batch."""
+    return committed(t, "committed")[0].read()
+
+
+@register("U2_U4_untouched_files", "id_range long, n_rows long, unchanged boolean", f"""
+WITH r AS (SELECT transaction_id, floor(transaction_id / {WIDTH})::BIGINT AS id_range FROM ({AFTER_ALL}) x),
+touched AS (
+  SELECT floor(transaction_id / {WIDTH})::BIGINT AS id_range FROM (
+    SELECT transaction_id FROM ({LATE_UPDATES}) u UNION ALL SELECT * FROM ({LATE_DELETES}) d
+    UNION ALL SELECT transaction_id FROM ({AFTER_APPEND}) a WHERE transaction_id > (SELECT max(transaction_id) FROM ledger)) z)
+SELECT id_range, count(*) AS n_rows, id_range NOT IN (SELECT id_range FROM touched) AS unchanged FROM r GROUP BY id_range""")
+def q_untouched(t):
+    """Per range its rows, and whether the files from before the three batches are still the ones there."""
+    table, before = committed(t, "untouched")
+    old = before.withColumnsRenamed({"file": "old_file", "modified": "old_time"})
+    now = table.files()
+    same = now.join(old.drop("id_range"), (F.col("file") == F.col("old_file")) & (F.col("modified") == F.col("old_time")), "left")
+    same = same.groupBy("id_range").agg(F.bool_and(F.col("old_file").isNotNull()).alias("unchanged"))
+    counts = t.spark.read.parquet(table.path).groupBy("id_range").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(same, "id_range")
+
+
+@register("U5_committed_users", "id long, email string", f"""
+WITH b AS ({USER_BATCH_SQL}),
+f AS (SELECT email, min(seq) AS seq FROM b GROUP BY email),
+ok AS (SELECT * FROM f WHERE {VALID} AND email NOT IN (SELECT email FROM users))
+SELECT id, email FROM users UNION ALL
+SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS id, email FROM ok""")
+def q_commit_users(t):
+    users = t.users().select("id", "email")
+    table = RangeTable(t.spark, scratch_path(t.spark, "users"), "id", WIDTH, ("email",)).create(users)
+    acceptable, _ = U.split_candidates(table.read(), user_batch(t))
+    table.add(U.register_users(table.read(), acceptable).select("id", "email"))
+    return table.read()
+
+
+@register("P6_U1_stored_lookup", LEDGER_SPEC, "SELECT * FROM ledger WHERE transaction_id = (SELECT min(transaction_id) FROM ledger WHERE user_id >= 50)")
+def q_stored_lookup(t):
+    ident = t.ledger().where("user_id >= 50").agg(F.min("transaction_id")).first()[0]
+    return stored(t, "lookup").get(ident)
+
+
+@register("P5_U1_stored_user", LEDGER_SPEC, "SELECT * FROM ledger WHERE user_id = 100")
+def q_stored_user(t):
+    return stored(t, "by_user").find("user_id", 100)
