@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,34 @@ def test_steps_are_those_of_the_whole_batches(spark):
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.001 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-7)
     assert np.allclose(got.weights, w, rtol=0, atol=1e-9)
+
+
+def _jobs(spark, run):
+    """Spark jobs that ``run`` starts (without adaptive execution, which makes a job of every stage)."""
+    import uuid
+    group = uuid.uuid4().hex
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        out = run()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_quantile_takes_three_jobs(spark):
+    rng = np.random.default_rng(12)
+    n = 150_000
+    columns = {"normal": rng.normal(size=n), "ties": rng.integers(0, 5, n).astype(float),
+               "half": np.where(rng.random(n) < 0.5, 1.0, rng.exponential(size=n)), "wide": np.exp(rng.normal(0, 100, n)),
+               "infinite": np.where(rng.random(n) < 0.3, np.inf, -rng.random(n))}
+    for name, v in columns.items():
+        df = spark.createDataFrame(pd.DataFrame({"x": v}))
+        s = np.sort(v)
+        for p in (0.31, 0.5, 0.95):
+            got, jobs = _jobs(spark, lambda: A.exact_quantile(df, "x", p))
+            r = int(np.floor((n - 1) * p))
+            want = s[r] if s[r] == s[min(r + 1, n - 1)] or (n - 1) * p == r else s[r] + ((n - 1) * p - r) * (s[r + 1] - s[r])
+            assert got == want or got == pytest.approx(want, rel=1e-12), (name, p)
+            assert jobs <= 3, (name, p, jobs)
