@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kassa.functions.amounts import amount_columns
 from kassa.functions.calendar import calendar_columns, whole_days_between, year_month
 from kassa.functions.text import desc_prefix, word_count
+from kassa.operators import labels
 from kassa.operators import sequence as seq
 from kassa.session import materialise
 
@@ -133,12 +134,13 @@ def rolling_frames(value: str):
 
 def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "training",
                    categories: list[str] | None = None, feature_set: str = "full",
-                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, monthly: bool = True) -> DataFrame:
+                   chunk_rows: int = seq.DEFAULT_CHUNK_ROWS, monthly: bool = True, sparse_labels: bool = False) -> DataFrame:
     """E1 (``mode="training"``) / E2 (``mode="serving"``).
 
     Input: cleaned ledger with transaction_id, date, description, amount[, category][, keys].
     Output: input columns + features.  ``feature_set="no_label"`` leaves out the
-    label-derived cat_* statistics (SURVEY Q3).
+    label-derived cat_* statistics (SURVEY Q3).  ``sparse_labels`` gives the one-hot labels as one sparse
+    vector ``label_vector`` over a dictionary table instead of a column each, for any number of labels.
     """
     keys = ["user_id"] if keys is None else list(keys)
     training = mode == "training"
@@ -167,8 +169,10 @@ def build_features(df: DataFrame, keys: list[str] | None = None, mode: str = "tr
 
     if training:
         if has_cat:
-            values = categories if categories is not None else category_values(base)
-            out = one_hot(out, values)
+            if sparse_labels:
+                out = labels.one_hot_vector(out, labels.label_dictionary(base))
+            else:
+                out = one_hot(out, categories if categories is not None else category_values(base))
             if feature_set == "full":
                 # written first: the planner sees the true size of one row per category
                 # and leaves the ledger where it is whenever that is small

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kassa.functions.calendar import whole_days_between
 from kassa.operators import sequence as seq
-from kassa.operators.features import ROLLING_HALO, monthly_stats, rolling_frames
+from kassa.operators.features import ROLLING_HALO, monthly_aggregates, monthly_derived, monthly_stats, rolling_frames
 
 
 def rolling_stats(df: DataFrame, keys: list[str], value: str = "amount_abs",
@@ -45,6 +45,13 @@ def monthly_transform(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("year_month", F.date_format("date", "yyyy-MM")).join(m, [*keys, "year_month"], "left")
 
 
+def monthly_inside_buckets(df: DataFrame, keys: list[str]) -> DataFrame:
+    """W8/J2 on a table bucketed by a key of ``keys``: windows per (keys, month), without an exchange."""
+    w = Window.partitionBy(*keys, "year_month")
+    rows = df.withColumn("year_month", F.date_format("date", "yyyy-MM"))
+    return rows.withColumns({c: e.over(w) for c, e in monthly_aggregates().items()}).withColumns(monthly_derived())
+
+
 def last_k(daily: DataFrame, series: list[str], k: int, order: str = "ds") -> DataFrame:
     """The last k rows of each series (by ``order``)."""
     w = Window.partitionBy(*series).orderBy(F.col(order).desc())

@@ -10,6 +10,8 @@ from kassa.operators import windows as W
 from kassa.plans import sqlfrag as S
 from kassa.plans.common import LEDGER_SPEC, clean_ledger
 from kassa.plans.registry import register
+from kassa.session import scratch_path
+from kassa.sources.bucketed import new_name, save_bucketed
 
 # Totals over the whole ledger (~1e6) carry ~1e-9 of summation-order noise between
 # engines; their exact values have 5 decimals, so 6 places compare them exactly.
@@ -224,3 +226,27 @@ def q_j6(t):
     acc, rej = J.referential_split(t.ledger(), users)
     return (acc.select("transaction_id", "user_id", F.lit(True).alias("accepted"))
             .unionByName(rej.select("transaction_id", "user_id", F.lit(False).alias("accepted"))))
+
+
+# ---- tables bucketed by user ---------------------------------------------------------
+def _bucketed(t, buckets=8):
+    rows = save_bucketed(t.ledger(), new_name("ledger"), "user_id", buckets, scratch_path(t.spark, "ledger_by_user"))
+    users = save_bucketed(t.users(), new_name("users"), "id", buckets, scratch_path(t.spark, "users_by_id"))
+    return rows, users
+
+
+@register("J4_bucketed_owner_join", LEDGER_SPEC + ", email string",
+          "SELECT l.*, email FROM ledger l JOIN users u ON l.user_id = u.id")
+def q_j4_bucketed(t):
+    """The owner join on tables bucketed by user: no exchange."""
+    rows, users = _bucketed(t)
+    return J.with_owner(rows, users)
+
+
+@register("J2_W8_bucketed_monthly", "transaction_id long, monthly_total double, monthly_count long, monthly_income double", """
+SELECT transaction_id, sum(amount) OVER w AS monthly_total, count(amount) OVER w AS monthly_count,
+       coalesce(sum(amount) FILTER (WHERE amount > 0) OVER w, 0) AS monthly_income
+FROM ledger WINDOW w AS (PARTITION BY user_id, strftime(date, '%Y-%m'))""")
+def q_j2_bucketed(t):
+    """Monthly statistics per user on a bucketed ledger: windows inside the buckets, no exchange."""
+    return W.monthly_inside_buckets(_bucketed(t)[0], ["user_id"])
