@@ -10,9 +10,14 @@ Two sets with Jaccard >= t share at least m tokens among the first n - ceil(t n)
    Orders put rarer tokens first: tokens that come up often inside some stretch of the input have
    their summed counts as first sort key (broadcast, at most ``MAX_FREQUENT`` numbers), so a passage
    shared by very many documents is in few prefixes.  Any order is exact; this one keeps buckets small.
-3. Each node is compared with one other: the one it most often follows in its buckets, by size.
-   Near copies in large groups link up here, at one comparison per node.
-4. Then all pairs of nodes that share m buckets and are not yet connected are compared.
+3. Rounds: in its buckets, by size, every node follows some node of another component; it is compared with
+   the one it follows most often.  Links join components; rounds go on while a tenth of them link.
+   Most near copies in large groups link up here, at one comparison per node and round.
+4. Then all pairs of nodes not yet connected are compared that share a token of their shortest
+   prefixes (m = 1) whose places leave room for the overlap the two sizes need.  Buckets of at most
+   ``HOT`` nodes are joined.  Nodes of larger buckets form clusters (connected by such buckets) and size classes, a
+   factor of 4/3 each; a class is dealt into blocks, and a cell of two blocks of one class or of
+   neighbouring ones is compared inside a task, which hands on links only.
 
 Pairs of steps 3 and 4 are verified on whole texts only after they also share m prefix tokens under
 each of the other orders.  A connected component of the links is a group.  Every link is found: a
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +46,8 @@ SHINGLE, PERCENT, ORDERS, SHARE = 5, 75, 3, 16
 STRETCH, OFTEN, MAX_FREQUENT = 1_000_000, 4, 500_000
 #: rows of one token from which on it is put behind rarer ones
 LARGE = 24
-#: members of one comparison block
-BLOCK = 200
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: members of one comparison block; the largest bucket whose pairs are joined
+BLOCK, HOT = 128, 32
 _MASK = (1 << 64) - 1
 
 
@@ -53,33 +58,88 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a fixed number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
+def _odd_powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2^64."""
+    out = np.full(n, base & _MASK, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+#: a number for every byte, the same for a letter and its small form; blanks; powers for a byte's place in its word
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTES[65:91] = _BYTES[97:123]
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_PLACE = _odd_powers(0x5851F42D4C957F2D, 256)
+_WEIGHTS = np.array([0x9E3779B97F4A7C15 ** (i + 1) & _MASK | 1 for i in range(SHINGLE)], np.uint64)
+#: bytes hashed at once (or one text)
+_AT_ONCE = 1 << 20
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of every word."""
+    global _PLACE
+    inside = ~_BLANK[data]
+    before = np.empty_like(inside)
+    before[:1], before[1:] = False, inside[:-1]
+    begin = np.flatnonzero(inside & ~before)
+    if not len(begin):
+        return begin, np.empty(0, np.uint64)
+    at = np.flatnonzero(inside)
+    first = np.searchsorted(at, begin)
+    size = np.diff(np.append(first, len(at)))
+    if size.max() > len(_PLACE):
+        _PLACE = _odd_powers(int(_PLACE[1]), int(size.max()))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    return begin, np.add.reduceat(_BYTES[data[at]] * _PLACE[place], first)
+
+
+def _sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Token sets of the texts data[offsets[i]: offsets[i + 1]]; every text is followed by a blank."""
+    begin, h = _word_hashes(data)
+    first = np.searchsorted(begin, offsets)
+    shingles = np.full(max(len(h) - SHINGLE + 1, 0), SHINGLE, np.uint64)
+    for i in range(SHINGLE):
+        shingles += h[i: i + len(shingles)] * _WEIGHTS[i]
+    shingles = _mix(shingles)
+    out = []
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        n = hi - lo
+        if n >= SHINGLE:
+            s = np.sort(shingles[lo: hi - SHINGLE + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s)
+        elif n:
+            out.append(_mix(np.array([int(sum(int(a) * int(b) for a, b in zip(h[lo:hi], _WEIGHTS)) + n) & _MASK], np.uint64)))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def token_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct 64-bit tokens of every text of a string column."""
+    out: list[np.ndarray] = []
+    held, size = [], 0
 
-_HASHES = _WordHashes()
+    def flush():
+        parts, ends = [], [0]
+        for t in held:
+            parts += [t, b" "]
+            ends.append(ends[-1] + len(t) + 1)
+        out.extend(_sets_of(np.frombuffer(b"".join(parts), np.uint8), np.array(ends)))
+
+    for text in texts.cast(pa.binary()).to_pylist():
+        held.append(text or b"")
+        size += len(held[-1])
+        if size >= _AT_ONCE:
+            flush()
+            held, size = [], 0
+    if held:
+        flush()
+    return out
 
 
 def token_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit tokens of a text."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(words))
-    n = len(words) - width + 1
-    out = h[:n] + np.uint64(width)
-    for i in range(1, width):  # an odd weight per place
-        out += h[i: i + n] * np.uint64(0x9E3779B97F4A7C15 ** (i + 1) & _MASK)
-    return np.unique(_mix(out))
+    return token_sets(pa.array([text], pa.string()))[0]
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -98,17 +158,42 @@ def prefix_length(n: int) -> int:
     return min(n, n - -(-PERCENT * n // 100) + common(n))
 
 
-def prefix(tokens: np.ndarray, frequent: tuple, order: int) -> np.ndarray:
+class Frequent:
+    """Counts of tokens that come up often; others count as 0."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        by_name = np.argsort(names)
+        self.names, self.counts = names[by_name], counts[by_name]
+        self.seen = np.zeros(1 << 22, bool)  # which low bits occur: most tokens need no search
+        self.seen[self._low(names)] = True
+
+    def _low(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens & np.uint64(len(self.seen) - 1)).astype(np.int64)
+
+    def count(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), np.int64)
+        maybe = np.flatnonzero(self.seen[self._low(tokens)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.names, tokens[maybe]), len(self.names) - 1)
+            hit = self.names[at] == tokens[maybe]
+            out[maybe[hit]] = self.counts[at[hit]]
+        return out
+
+
+def prefix(tokens: np.ndarray, frequent: Frequent, order: int, count: np.ndarray | None = None) -> np.ndarray:
     """The first tokens of a set under one of the global orders: rarer first, then by the order's hash."""
+    size = prefix_length(len(tokens))
     key = tokens if order == 0 else _mix(tokens ^ np.uint64(0xD1B54A32D192ED03 * order & _MASK))
-    names, counts = frequent
-    first = np.argsort(key)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
-        count = np.where(names[at] == tokens, counts[at], 0)
-        if count.any():
-            first = np.lexsort((key, count))
-    return tokens[first[: prefix_length(len(tokens))]]
+    count = frequent.count(tokens) if count is None else count
+    rare = np.flatnonzero(count == 0)
+    if order:
+        few = rare if len(rare) <= size else rare[np.argpartition(key[rare], size - 1)[:size]]
+        rare = few[np.argsort(key[few])]
+    if len(rare) >= size:
+        return tokens[rare[:size]]
+    rest = np.flatnonzero(count)
+    rest = rest[np.lexsort((key[rest], count[rest]))]
+    return tokens[np.concatenate([rare, rest])[:size]]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -120,19 +205,22 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.astype(np.uint64).view(np.int64)
 
 
-def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row its set's size and class; besides, counts of tokens that come up often in a stretch."""
     held, size = [], 0
 
     def counted():
         names, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= OFTEN
-        return pd.DataFrame({"row": None, "n": counts[often], "node": _signed(names[often])})
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(int(often.sum()), pa.string()), pa.array(counts[often], pa.int64()), pa.array(_signed(names[often]))],
+            ["row", "n", "node"])
 
     for batch in batches:
-        sets = [token_set(t) for t in batch["text"]]
-        yield pd.DataFrame({"row": batch["row"], "n": [len(s) for s in sets],
-                            "node": pd.array([signature(s) if len(s) else None for s in sets], dtype="Int64")})
+        sets = token_sets(batch.column("text"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], ["row", "n", "node"])
         for s in sets:
             held.append(s)
             size += len(s)
@@ -143,45 +231,41 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield counted()
 
 
-def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted tokens, counts) of (node, n): at most MAX_FREQUENT, the most frequent."""
+def _frequent(counted: DataFrame) -> Frequent:
+    """Of (node, n) at most MAX_FREQUENT tokens, the most frequent."""
     top = (counted.groupBy("node").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "node").limit(MAX_FREQUENT).toPandas())
-    names = top["node"].to_numpy(np.int64).view(np.uint64)
-    by_name = np.argsort(names)
-    return names[by_name], top["n"].to_numpy(np.int64)[by_name]
+    return Frequent(top["node"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
 
 
-def _refined(prefixes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _refined(prefixes: DataFrame, frequent: Frequent) -> Frequent:
     """``frequent`` with the tokens whose bucket would be large, counted exactly over all prefixes."""
     large = (prefixes.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE)
              .orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas())
-    counts = pd.Series(frequent[1], index=_signed(frequent[0]))
+    counts = pd.Series(frequent.counts, index=_signed(frequent.names))
     counts = pd.concat([counts, pd.Series(large["n"].to_numpy(np.int64), index=large["token"].to_numpy(np.int64))])
     counts = counts.groupby(level=0).max().nlargest(MAX_FREQUENT)
-    names = counts.index.to_numpy(np.int64).view(np.uint64)
-    by_name = np.argsort(names)
-    return names[by_name], counts.to_numpy(np.int64)[by_name]
+    return Frequent(counts.index.to_numpy(np.int64).view(np.uint64), counts.to_numpy(np.int64))
 
 
-def _prefix_rows(rows: DataFrame, frequent) -> DataFrame:
-    """(token, node, n) of every row's prefix under the first order."""
+def _prefix_rows(rows: DataFrame, frequent: Frequent) -> DataFrame:
+    """(token, node, n, place) of every row's prefix under the first order."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
         for b in batches:
             tokens, nodes, sizes = [np.empty(0, np.uint64)], [], []
-            for text in b["text"]:
-                s = token_set(text)
+            for s in token_sets(b.column("text")):
                 if len(s):
                     tokens.append(prefix(s, shared.value, 0))
                     nodes.append(signature(s))
                     sizes.append(len(s))
-            times = [len(t) for t in tokens[1:]]
-            yield pd.DataFrame({"token": _signed(np.concatenate(tokens)),
-                                "node": np.repeat(np.array(nodes, np.int64), times),
-                                "n": np.repeat(np.array(sizes, np.int32), times)})
-    return rows.select("text").mapInPandas(emit, "token long, node long, n int")
+            times = np.array([len(t) for t in tokens[1:]], np.int64)
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_pydict({
+                "token": _signed(np.concatenate(tokens)), "node": np.repeat(np.array(nodes, np.int64), times),
+                "n": np.repeat(np.array(sizes, np.int32), times), "place": place.astype(np.int32)})
+    return rows.select("text").mapInArrow(emit, "token long, node long, n int, place int")
 
 
 def _near_in_size(small: str, large: str) -> str:
@@ -197,20 +281,149 @@ def _strong(buckets: DataFrame) -> DataFrame:
     partner = f"(n * {PERCENT} div 100)"
     enough = buckets.groupBy("node", "n").agg(F.count("*").alias("k")).where(f"k >= {_common(partner)}").select(
         F.col("node").alias("strong"))
-    return buckets.join(enough, F.col("node") == F.col("strong"), "left_semi").select("token", "node", "n")
+    return buckets.join(enough, F.col("node") == F.col("strong"), "left_semi").select("token", "node", "n", "place")
 
 
 def _buckets(prefixes: DataFrame) -> DataFrame:
-    """(token, node, n, before): rows whose token has another node near in size; before: the next smaller.
+    """(token, node, n, place): rows whose token has another node near in size.
 
     Of all sizes the neighbour's is the nearest, so looking at both neighbours finds every such row.
     """
     order = "OVER (PARTITION BY token ORDER BY n, node)"
-    once = prefixes.selectExpr("token", "node", "n", f"lag(node) {order} AS same").where("same IS NULL OR same <> node")
-    both = once.selectExpr("token", "node", "n", f"lag(node) {order} AS before", f"lag(n) {order} AS n0", f"lead(n) {order} AS n1")
-    near = both.withColumn("joins", F.expr(f"coalesce({_near_in_size('n0', 'n')}, false)"))
-    return near.where(f"joins OR {_near_in_size('n', 'n1')}").selectExpr(
-        "token", "node", "n", "CASE WHEN joins THEN before END AS before")
+    once = prefixes.selectExpr("token", "node", "n", "place", f"lag(node) {order} AS same").where("same IS NULL OR same <> node")
+    both = once.selectExpr("token", "node", "n", "place", f"lag(n) {order} AS n0", f"lead(n) {order} AS n1")
+    near = both.where(f"coalesce({_near_in_size('n0', 'n')}, false) OR {_near_in_size('n', 'n1')}")
+    return near.select("token", "node", "n", "place")
+
+
+def _open(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(token, node, n, place, root): the buckets that hold several components."""
+    if roots is None:
+        return buckets.withColumn("root", F.col("node"))
+    at = "OVER (PARTITION BY token)"
+    labelled = buckets.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
+        "token", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+    return labelled.selectExpr("*", f"min(root) {at} AS r0", f"max(root) {at} AS r1").where("r0 < r1").select(
+        "token", "node", "n", "place", "root")
+
+
+def _nearest(open_: DataFrame, compared: DataFrame | None) -> DataFrame:
+    """(a, b): each node b with the node of another component near in size that it most often follows."""
+    order = "OVER (PARTITION BY token ORDER BY n, node)"
+    before = open_.selectExpr("token", "node", "n", "root", f"lag(root) {order} AS r0",
+                              f"lag(struct(n, node)) {order} AS p")
+    # inside a run of one component, what stood before the run
+    run = "OVER (PARTITION BY token ORDER BY n, node ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    follows = before.selectExpr("node", "n", f"last(CASE WHEN r0 <> root THEN p END, true) {run} AS p")
+    pairs = follows.where(f"p IS NOT NULL AND {_near_in_size('p.n', 'n')}").groupBy(
+        F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"))
+    if compared is not None:
+        pairs = pairs.join(compared, ["a", "b"], "left_anti")
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
+
+
+def _unconnected(open_: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components that share a bucket whose places leave room."""
+    other = open_.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"),
+                         F.col("place").alias("pb"), F.col("root").alias("other"))
+    apart = (F.col("token") == F.col("t")) & (F.col("root") != F.col("other")) & (
+        (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") < F.col("b")))) & F.expr(_near_in_size("n", "nb"))
+    # overlap needed: PERCENT (n + nb) / (100 + PERCENT); a pair's first common token has all of it behind it
+    room = F.expr(f"{100 + PERCENT} * least(n - place, nb - pb) >= {PERCENT} * (n + nb)")
+    return open_.join(other, apart & room).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _shared(tokens: list[np.ndarray]) -> np.ndarray:
+    """How many tokens every two of the sets have in common."""
+    out = np.zeros((len(tokens), len(tokens)), np.float32)
+    of = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    names, column = np.unique(np.concatenate(tokens), return_inverse=True)
+    common_ = np.flatnonzero(np.bincount(column, minlength=len(names)) > 1)
+    place = np.full(len(names), -1)
+    place[common_] = np.arange(len(common_))
+    of, column = of[place[column] >= 0], place[column][place[column] >= 0]
+    for at in range(0, len(common_), 4096):
+        some = (column >= at) & (column < at + 4096)
+        m = np.zeros((len(tokens), min(4096, len(common_) - at)), np.float32)
+        m[of[some], column[some] - at] = 1
+        out += m @ m.T
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell: the links between different components in every cell."""
+    cell, held = None, []
+
+    def links():
+        roots, sets = np.array([h[1] for h in held]), [h[2] for h in held]
+        n = np.array([len(x) for x in sets])
+        need = np.array([common(x) for x in n])
+        pairs = (roots[:, None] != roots) & (100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n))
+        counts = [frequent.count(x) for x in sets]
+        for order in range(ORDERS):
+            if pairs.any():
+                both = _shared([prefix(x, frequent, order, c) for x, c in zip(sets, counts)])
+                pairs &= both >= np.minimum(need[:, None], need)
+        of, found = {r: r for r in roots.tolist()}, []
+
+        def component(r):
+            while of[r] != r:
+                of[r] = r = of[of[r]]
+            return r
+
+        for i, j in zip(*np.nonzero(np.triu(pairs, 1))):
+            a, b = component(held[i][1]), component(held[j][1])
+            if a != b and linked(sets[i], sets[j]):
+                of[a] = b
+                found.append((held[i][0], held[j][0]))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "root")))
+        for (c, node, root), tokens in zip(rows, token_sets(batch.column("text"))):
+            if c != cell:
+                if len(held) > 1:
+                    yield links()
+                cell, held = c, []
+            held.append((node, root, tokens))
+    if len(held) > 1:
+        yield links()
+
+
+def _linked_in_cells(scratch: Scratch, hot: DataFrame, texts: DataFrame, frequent: Frequent) -> DataFrame:
+    """The links between different components among nodes that share large buckets."""
+    # every node of a bucket with its least one: buckets that share nodes are one cluster
+    least = hot.groupBy("token").agg(F.min("node").alias("least"))
+    clusters = components(scratch, hot.join(least, "token").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
+    nodes = hot.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"))
+    nodes = nodes.join(clusters.select(F.col("node").alias("m"), F.col("root").alias("cluster")), F.col("node") == F.col("m")).select(
+        "node", "root", "cluster", size_class.alias("c"))
+    blocks = nodes.groupBy("cluster", "c").agg(F.ceil(F.count("*") / BLOCK).alias("own"))
+    before = blocks.select(F.col("cluster").alias("k0"), (F.col("c") + 1).alias("c0"), F.col("own").alias("below"))
+    after = blocks.select(F.col("cluster").alias("k1"), (F.col("c") - 1).alias("c1"), F.col("own").alias("above"))
+    blocks = (blocks.join(before, (F.col("cluster") == F.col("k0")) & (F.col("c") == F.col("c0")), "left")
+              .join(after, (F.col("cluster") == F.col("k1")) & (F.col("c") == F.col("c1")), "left")
+              .select(F.col("cluster").alias("k"), F.col("c").alias("cc"), "own", F.coalesce("below", F.lit(0)).alias("below"),
+                      F.coalesce("above", F.lit(0)).alias("above")))
+    block = F.pmod(F.xxhash64("node"), F.col("own"))
+
+    def numbers(n):
+        return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+
+    # a cell: cluster, class of its first block, that block, whether the second is of the next class, and its number
+    own = F.transform(numbers(F.col("own")), lambda j: F.struct(
+        F.col("c").alias("c"), F.least(block, j).alias("i"), F.lit(0).alias("next"), F.greatest(block, j).alias("j")))
+    above = F.transform(numbers(F.col("above")), lambda j: F.struct(F.col("c").alias("c"), block.alias("i"), F.lit(1).alias("next"), j.alias("j")))
+    below = F.transform(numbers(F.col("below")), lambda i: F.struct(
+        (F.col("c") - 1).alias("c"), i.alias("i"), F.lit(1).alias("next"), block.alias("j")))
+    dealt = nodes.join(blocks, (F.col("cluster") == F.col("k")) & (F.col("c") == F.col("cc"))).select(
+        "node", "root", "cluster", F.explode(F.concat(own, above, below)).alias("cell"))
+    dealt = dealt.select("node", "root", F.concat_ws(":", "cluster", "cell.c", "cell.i", "cell.next", "cell.j").alias("cell"))
+    shared = hot.sparkSession.sparkContext.broadcast(frequent)
+    rows = dealt.join(texts.select(F.col("node").alias("of"), "text"), F.col("node") == F.col("of")).select("cell", "node", "root", "text")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(
+        lambda batches: _cells(batches, shared.value), "a long, b long")
 
 
 def _other_orders(texts: DataFrame, frequent) -> DataFrame:
@@ -220,10 +433,12 @@ def _other_orders(texts: DataFrame, frequent) -> DataFrame:
 
     def emit(batches):
         for b in batches:
-            sets = [token_set(t) for t in b["text"]]
-            yield pd.DataFrame({"node": b["node"], "n": [len(s) for s in sets]} | {
-                f"p{k}": [_signed(prefix(s, shared.value, k)) for s in sets] for k in range(1, ORDERS)})
-    return texts.mapInPandas(emit, "node long, n int, " + ", ".join(f"{p} array<long>" for p in names))
+            sets = token_sets(b.column("text"))
+            counts = [shared.value.count(s) for s in sets]
+            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "n": pa.array([len(s) for s in sets], pa.int32())} | {
+                f"p{k}": pa.array([_signed(prefix(s, shared.value, k, c)) for s, c in zip(sets, counts)], pa.list_(pa.int64()))
+                for k in range(1, ORDERS)})
+    return texts.mapInArrow(emit, "node long, n int, " + ", ".join(f"{p} array<long>" for p in names))
 
 
 def _in_all_orders(pairs: DataFrame, orders: DataFrame) -> DataFrame:
@@ -237,18 +452,20 @@ def _in_all_orders(pairs: DataFrame, orders: DataFrame) -> DataFrame:
     return both.select("a", "b")
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, block), each block's head before its members: the linked pairs."""
     at, head = None, np.empty(0, np.uint64)
     for batch in batches:
-        hits = []
-        for a, block, b, text in zip(batch["a"], batch["block"], batch["b"], batch["text"]):
+        hits_a, hits_b = [], []
+        places = zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b")))
+        for (a, block, b), tokens in zip(places, token_sets(batch.column("text"))):
             if b == a:
                 if at != (a, block):
-                    at, head = (a, block), token_set(text)
-            elif linked(head, token_set(text)):
-                hits.append((a, b))
-        yield pd.DataFrame(hits, columns=["a", "b"], dtype="int64")
+                    at, head = (a, block), tokens
+            elif linked(head, tokens):
+                hits_a.append(a)
+                hits_b.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(hits_a, pa.int64()), pa.array(hits_b, pa.int64())], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -262,7 +479,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = members.unionByName(heads).join(texts, F.col("b") == F.col("of")).select(
         "a", "block", "b", (F.col("a") != F.col("b")).alias("member"), "text")
     return (rows.repartition("a", "block").sortWithinPartitions("a", "block", "member")
-            .select("a", "block", "b", "text").mapInPandas(_compare, "a long, b long"))
+            .select("a", "block", "b", "text").mapInArrow(_compare, "a long, b long"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,7 +490,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # keys pass through as text: a nullable number would become a float on the way
     surveyed = scratch.settle(rows.select(F.struct("id", "h").alias("r"), "text").select(
         F.to_json(F.struct(F.col("r.id").cast("string").alias("id"), F.col("r.h").cast("string").alias("h"))).alias("row"), "text")
-        .mapInPandas(_survey, "row string, n long, node long"), "survey")
+        .mapInArrow(_survey, "row string, n long, node long"), "survey")
     keys = F.from_json("row", "id string, h string")
     sets = surveyed.where("row IS NOT NULL").withColumn("k", keys).select(
         F.col("k.id").cast(kind).alias("id"), F.col("k.h").cast("long").alias("h"), "n", "node")
@@ -291,10 +508,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     scratch.drop(weak)
     scratch.release()
 
-    # each node with the one it most often follows
-    nearest = scratch.settle(
-        buckets.where("before IS NOT NULL").groupBy(F.col("before").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"))
-        .groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b"), "nearest")
     # whole texts of the nodes in buckets, one row of documents each
     named = sets.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct("id", "h")).alias("first"), F.min("id").alias("id"))
@@ -305,24 +518,31 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     orders = scratch.settle(_other_orders(texts, frequent), "orders")
     scratch.release()
 
-    first = scratch.settle(_verified(scratch.settle(_in_all_orders(nearest, orders), "pairs"), texts), "links")
-    scratch.release()
-    so_far = components(scratch, first)
-
-    at = "OVER (PARTITION BY token)"
-    labelled = buckets.join(so_far.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
-        "token", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_ = scratch.settle(labelled.selectExpr("*", f"min(root) {at} AS r0", f"max(root) {at} AS r1").where("r0 < r1")
-                           .select("token", "node", "n", "root"), "open")
-    other = open_.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other"))
-    apart = (F.col("token") == F.col("t")) & (F.col("root") != F.col("other")) & (
-        (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") < F.col("b")))) & F.expr(_near_in_size("n", "nb"))
-    pairs = (open_.join(other, apart).groupBy(F.col("node").alias("a"), "b", "n").agg(F.count("*").alias("k"))
-             .where(f"k >= {_common('n')}").select("a", "b").join(nearest, ["a", "b"], "left_anti"))
-    second = scratch.settle(_verified(scratch.settle(_in_all_orders(pairs, orders), "open-pairs"), texts), "links")
+    links = compared = roots = None
+    open_ = _open(buckets, None)
+    while True:
+        nearest = scratch.settle(_nearest(open_, compared), "nearest")
+        found = scratch.settle(_verified(scratch.settle(_in_all_orders(nearest, orders), "pairs"), texts), "links")
+        scratch.release()
+        links = found if links is None else links.unionByName(found)
+        compared = nearest if compared is None else compared.unionByName(nearest)
+        n_found = found.count()
+        if n_found:
+            roots = components(scratch, links)
+        # a pair that links shares a token of the shortest prefixes
+        open_ = scratch.settle(_open(buckets, roots), "open")
+        if 10 * n_found <= nearest.count():
+            break
+    shortest = open_.where(f"100 * (n - place) >= {PERCENT} * n").withColumn(
+        "k", F.expr("count(*) OVER (PARTITION BY token)")).where("k > 1")
+    shortest = scratch.settle(shortest, "shortest")
+    pairs = _unconnected(shortest.where(F.col("k") <= HOT)).join(compared, ["a", "b"], "left_anti")
+    found = scratch.settle(_verified(scratch.settle(_in_all_orders(pairs, orders), "open-pairs"), texts), "links")
+    in_cells = scratch.settle(_linked_in_cells(scratch, shortest.where(F.col("k") > HOT), texts, frequent), "cell-links")
+    found = found.unionByName(in_cells)
     scratch.release()
 
-    roots = components(scratch, first.unionByName(second))
+    roots = components(scratch, links.unionByName(found))
     part = named.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
         "node", F.coalesce("root", "node").alias("root"), "id")
     least = part.groupBy("root").agg(F.min("id").alias("component"))

@@ -52,14 +52,32 @@ def test_null_keys_repeated_rows_and_empty_table(spark):
 
 def test_prefixes_meet_under_every_order():
     draw = np.random.default_rng(1)
-    frequent = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    frequent = ngram_jaccard.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))
     for _ in range(300):
         a = np.unique(draw.integers(0, 1 << 63, draw.integers(1, 60), dtype=np.uint64))
         b = np.unique(np.concatenate([draw.permutation(a)[: max(1, int(len(a) * draw.uniform(0.6, 1)))],
                                       draw.integers(0, 1 << 63, draw.integers(0, 8), dtype=np.uint64)]))
         if ngram_jaccard.linked(a, b):
             names = np.sort(draw.permutation(a)[: len(a) // 2])
-            for f in (frequent, (names, draw.integers(1, 9, len(names)))):
+            for f in (frequent, ngram_jaccard.Frequent(names, draw.integers(1, 9, len(names)))):
                 for order in range(ngram_jaccard.ORDERS):
                     both = np.intersect1d(ngram_jaccard.prefix(a, f, order), ngram_jaccard.prefix(b, f, order))
                     assert len(both) >= ngram_jaccard.common(min(len(a), len(b)))
+
+
+def test_tokens_are_those_of_plain_shingles():
+    """Equal shingles, and only those, have equal tokens, in whatever text and place they stand."""
+    import pyarrow as pa
+    from llm_helpers import shingles
+    draw = random.Random(4)
+    words = ["a", "A", "b", "ab", "AB", "ba", "Ä", "ä", "é", "long" * 90, "中文", "x\x00y", "\x1cz", "word."]
+    texts = [" ".join(draw.choices(words, k=draw.choice([0, 1, 2, 4, 5, 6, 30]))) for _ in range(400)]
+    texts += [None, "", "  \t\n", "one", " one\x0btwo ", "a\rb\x0cc d e", "w " * 100_000]
+    sets = ngram_jaccard.token_sets(pa.array(texts))
+    meaning = {}
+    for text, got in zip(texts, sets):
+        plain = shingles(text)
+        assert len(got) == len(plain) and (np.diff(got.astype(object)) > 0).all()
+        meaning.setdefault(frozenset(plain), set()).add(got.tobytes())
+        assert ngram_jaccard.token_set(text).tobytes() == got.tobytes()
+    assert all(len(v) == 1 for v in meaning.values()) and len({x for v in meaning.values() for x in v}) == len(meaning)
