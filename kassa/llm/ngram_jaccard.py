@@ -11,7 +11,7 @@ Two sets with Jaccard >= t share at least m tokens among the first n - ceil(t n)
    their summed counts as first sort key (broadcast, at most ``MAX_FREQUENT`` numbers), so a passage
    shared by very many documents is in few prefixes.  Any order is exact; this one keeps buckets small.
 3. Rounds: in its buckets, by size, every node follows some node of another component; it is compared with
-   the one it follows most often.  Links join components; rounds go on while a tenth of them link.
+   the one it follows most often.  Links join components; rounds go on while a fifth of them link.
    Most near copies in large groups link up here, at one comparison per node and round.
 4. Then all pairs of nodes not yet connected are compared that share a token of their shortest
    prefixes (m = 1) whose places leave room for the overlap the two sizes need.  Buckets of at most
@@ -47,7 +47,7 @@ STRETCH, OFTEN, MAX_FREQUENT = 1_000_000, 4, 500_000
 #: rows of one token from which on it is put behind rarer ones
 LARGE = 24
 #: members of one comparison block; the largest bucket whose pairs are joined
-BLOCK, HOT = 128, 32
+BLOCK, HOT = 256, 32
 _MASK = (1 << 64) - 1
 
 
@@ -249,7 +249,10 @@ def _refined(prefixes: DataFrame, frequent: Frequent) -> Frequent:
 
 
 def _prefix_rows(rows: DataFrame, frequent: Frequent) -> DataFrame:
-    """(token, node, n, place) of every row's prefix under the first order."""
+    """(token, node, n, place) of every row's prefix under the first order.
+
+    ``place`` is in units of n / 256, rounded down, and travels in one number with n.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
@@ -262,10 +265,11 @@ def _prefix_rows(rows: DataFrame, frequent: Frequent) -> DataFrame:
                     sizes.append(len(s))
             times = np.array([len(t) for t in tokens[1:]], np.int64)
             place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            n = np.repeat(np.array(sizes, np.int64), times)
             yield pa.RecordBatch.from_pydict({
                 "token": _signed(np.concatenate(tokens)), "node": np.repeat(np.array(nodes, np.int64), times),
-                "n": np.repeat(np.array(sizes, np.int32), times), "place": place.astype(np.int32)})
-    return rows.select("text").mapInArrow(emit, "token long, node long, n int, place int")
+                "size": n * 256 + place * 256 // np.maximum(n, 1)})
+    return rows.select("text").mapInArrow(emit, "token long, node long, size long")
 
 
 def _near_in_size(small: str, large: str) -> str:
@@ -278,30 +282,29 @@ def _common(n: str) -> str:
 
 def _strong(buckets: DataFrame) -> DataFrame:
     """The rows of nodes that share enough with all others together, the smallest possible partner in mind."""
-    partner = f"(n * {PERCENT} div 100)"
-    enough = buckets.groupBy("node", "n").agg(F.count("*").alias("k")).where(f"k >= {_common(partner)}").select(
-        F.col("node").alias("strong"))
-    return buckets.join(enough, F.col("node") == F.col("strong"), "left_semi").select("token", "node", "n", "place")
+    n = "(size div 256)"
+    enough = buckets.groupBy("node", F.expr(n).alias("n")).agg(F.count("*").alias("k")).where(
+        f"k >= {_common(f'(n * {PERCENT} div 100)')}").select(F.col("node").alias("strong"))
+    return buckets.join(enough, F.col("node") == F.col("strong"), "left_semi").select("token", "node", "size")
 
 
 def _buckets(prefixes: DataFrame) -> DataFrame:
-    """(token, node, n, place): rows whose token has another node near in size.
+    """(token, node, size): rows whose token has another node near in size.
 
     Of all sizes the neighbour's is the nearest, so looking at both neighbours finds every such row.
     """
-    order = "OVER (PARTITION BY token ORDER BY n, node)"
-    once = prefixes.selectExpr("token", "node", "n", "place", f"lag(node) {order} AS same").where("same IS NULL OR same <> node")
-    both = once.selectExpr("token", "node", "n", "place", f"lag(n) {order} AS n0", f"lead(n) {order} AS n1")
+    order = "OVER (PARTITION BY token ORDER BY size div 256, node)"
+    once = prefixes.selectExpr("token", "node", "size", f"lag(node) {order} AS same").where("same IS NULL OR same <> node")
+    both = once.selectExpr("token", "node", "size", "size div 256 AS n", f"lag(size div 256) {order} AS n0", f"lead(size div 256) {order} AS n1")
     near = both.where(f"coalesce({_near_in_size('n0', 'n')}, false) OR {_near_in_size('n', 'n1')}")
-    return near.select("token", "node", "n", "place")
+    return near.select("token", "node", "size")
 
 
 def _open(buckets: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(token, node, n, place, root): the buckets that hold several components."""
-    if roots is None:
-        return buckets.withColumn("root", F.col("node"))
     at = "OVER (PARTITION BY token)"
-    labelled = buckets.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
+    labelled = buckets if roots is None else buckets.drop("root").join(
+        roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
         "token", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     return labelled.selectExpr("*", f"min(root) {at} AS r0", f"max(root) {at} AS r1").where("r0 < r1").select(
         "token", "node", "n", "place", "root")
@@ -329,7 +332,7 @@ def _unconnected(open_: DataFrame) -> DataFrame:
     apart = (F.col("token") == F.col("t")) & (F.col("root") != F.col("other")) & (
         (F.col("n") < F.col("nb")) | ((F.col("n") == F.col("nb")) & (F.col("node") < F.col("b")))) & F.expr(_near_in_size("n", "nb"))
     # overlap needed: PERCENT (n + nb) / (100 + PERCENT); a pair's first common token has all of it behind it
-    room = F.expr(f"{100 + PERCENT} * least(n - place, nb - pb) >= {PERCENT} * (n + nb)")
+    room = F.expr(f"{100 + PERCENT} * least(n * (256 - place), nb * (256 - pb)) >= {256 * PERCENT} * (n + nb)")
     return open_.join(other, apart & room).select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -519,7 +522,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     scratch.release()
 
     links = compared = roots = None
-    open_ = _open(buckets, None)
+    open_ = buckets.select("token", "node", F.expr("size div 256").alias("n"), F.expr("size % 256").cast("int").alias("place"),
+                           F.col("node").alias("root"))
+    first = open_
     while True:
         nearest = scratch.settle(_nearest(open_, compared), "nearest")
         found = scratch.settle(_verified(scratch.settle(_in_all_orders(nearest, orders), "pairs"), texts), "links")
@@ -529,13 +534,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         n_found = found.count()
         if n_found:
             roots = components(scratch, links)
-        # a pair that links shares a token of the shortest prefixes
-        open_ = scratch.settle(_open(buckets, roots), "open")
-        if 10 * n_found <= nearest.count():
+        # what is connected stays connected, so the next table comes from this one
+        before, open_ = open_, scratch.settle(_open(open_, roots), "open")
+        scratch.drop(buckets if before is first else before)
+        scratch.release()
+        if 5 * n_found <= nearest.count():
             break
-    shortest = open_.where(f"100 * (n - place) >= {PERCENT} * n").withColumn(
+    shortest = open_.where(f"100 * (256 - place) >= {256 * PERCENT}").withColumn(
         "k", F.expr("count(*) OVER (PARTITION BY token)")).where("k > 1")
     shortest = scratch.settle(shortest, "shortest")
+    scratch.drop(open_)
+    scratch.release()
     pairs = _unconnected(shortest.where(F.col("k") <= HOT)).join(compared, ["a", "b"], "left_anti")
     found = scratch.settle(_verified(scratch.settle(_in_all_orders(pairs, orders), "open-pairs"), texts), "links")
     in_cells = scratch.settle(_linked_in_cells(scratch, shortest.where(F.col("k") > HOT), texts, frequent), "cell-links")

@@ -81,3 +81,20 @@ def test_tokens_are_those_of_plain_shingles():
         meaning.setdefault(frozenset(plain), set()).add(got.tobytes())
         assert ngram_jaccard.token_set(text).tobytes() == got.tobytes()
     assert all(len(v) == 1 for v in meaning.values()) and len({x for v in meaning.values() for x in v}) == len(meaning)
+
+
+def test_large_buckets_of_loose_copies(spark):
+    """Copies so far apart that only some of them link, in buckets too large to join."""
+    draw = random.Random(21)
+    texts = []
+    for size, edits, n in ((100, 9, 130), (60, 5, 90), (140, 12, 60)):
+        base = [f"b{size}x{i}" for i in range(size)]
+        for k in range(n):
+            words = list(base[: size - draw.randrange(10)])
+            for e in range(draw.randint(0, edits) // 3 + draw.choice([0, 0, 1])):
+                words[draw.randrange(len(words))] = f"own{size}x{k}x{e}"
+            texts.append(" ".join(words))
+    want = jaccard_groups(dict(enumerate(texts)))
+    assert 3 < len({c for _, c in want.values()}) < len(texts) - 20
+    got = {r["id"]: (r["n"], r["component"]) for r in ngram_jaccard.groups(docs_of(spark, texts)).collect()}
+    assert got == want
