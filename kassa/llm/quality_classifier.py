@@ -6,8 +6,8 @@ index vectors there; a word's vector is the two normalised parts side by side in
 mean of its words' vectors.  A two-layer network (numpy, Adam) turns that into a score; a
 temperature fitted on rows the network has not seen calibrates it to a probability.
 
-Learning sees at most ``SAMPLE`` labelled rows (those with the least key hashes), so it is bounded
-on the driver; the model that travels to the tasks is at most ``VOCABULARY`` words plus ``BUCKETS`` hashed
+Learning sees at most ``SAMPLE`` labelled rows of the given documents (those with the least key hashes) and
+``SAMPLE_BYTES`` of text, and runs in a task; the model that travels to the tasks is at most ``VOCABULARY`` words plus ``BUCKETS`` hashed
 rows.  Scoring runs over whole texts and needs nothing but the text.
 
 Because the first layer is linear in the mean, each word's share of every hidden unit is computed once;
@@ -16,22 +16,27 @@ a text's hidden layer is the mean of its words' rows.
 Defined results: null and empty texts have no words and score as the zero vector; a word is a run of
 letters and digits or of other visible characters, in lower case, and one in capitals only counts as a
 capitals mark too, one equal to the word before it as a repetition mark; labels other than 0 and 1 are ignored, several labels of a document are averaged;
-without both classes among the labels every score is the mean label (0.5 without any).
+without both classes among the labels every score is the mean label (0.5 without any); repeated rows are scored
+each, and each counts if it is learned from; an empty table has no rows; the caller's columns travel in the
+struct ``row``, whatever their names.
 """
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: most labelled rows that are learned from, most words with a context vector, hashed rows for all others
 SAMPLE, VOCABULARY, BUCKETS = 6000, 40_000, 1 << 15
+#: most bytes of text that are learned from
+SAMPLE_BYTES = 32 << 20
 DIMENSIONS, NONZERO, NEIGHBOURS, HIDDEN, EPOCHS, SEED = 128, 8, 2, 32, 40, 7
 THRESHOLD = 0.3
 #: words handled at once while learning
@@ -182,15 +187,34 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(t, y): the texts that are learned from, in the order of their keys' hashes: of the documents with a label
+    the first ``SAMPLE`` whose texts have at most ``SAMPLE_BYTES`` together (none of more than a sixteenth of that)."""
     known = labels.where(labels[label].isin(0, 1) & ~held_out(labels[key])).groupBy(labels[key].alias("lk")).agg(
         (F.avg(labels[label]) >= 0.5).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("lk"), "lk").limit(SAMPLE)
-    rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
-    # at most SAMPLE rows on the broadcast side, and collected
-    rows = (rows.join(F.broadcast(chosen), F.col("k") == F.col("lk"))
-            .orderBy(F.xxhash64("k"), "k", F.xxhash64("t")).limit(SAMPLE).select("t", "y").collect())
-    return fit([r["t"] for r in rows], np.array([r["y"] for r in rows], np.int64))
+    size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long")
+    sizes = docs.select(docs[key].alias("k"), size.alias("size")).where(F.col("size") <= SAMPLE_BYTES // 16)
+    order = [F.xxhash64("lk"), F.col("lk"), F.col("size")]
+    chosen = sizes.join(known, F.col("k") == F.col("lk")).orderBy(*order).limit(SAMPLE)
+    # at most SAMPLE rows in this window, and on the broadcast side below
+    total = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("total", total).where(F.col("total") <= SAMPLE_BYTES).select("lk", "y").distinct()
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t"), size.alias("size")).where(F.col("size") <= SAMPLE_BYTES // 16)
+    rows = rows.join(F.broadcast(chosen), F.col("k") == F.col("lk")).withColumn("mark", F.xxhash64("t"))
+    return rows.orderBy(F.xxhash64("k"), "k", "mark").limit(SAMPLE).select("t", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """The model, learned from the bounded sample in one task; only the model comes to the driver."""
+    def learn(batches):
+        texts, y = [], []
+        for b in batches:
+            texts += b["t"].tolist()
+            y += b["y"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, np.array(y, np.int64)))]})
+
+    learned = sample(docs, labels, key, text, label).coalesce(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(learned[0]["model"]) if learned else fit([], np.zeros(0, np.int64))
 
 
 def scorer(docs: DataFrame, model: Model):
