@@ -7,7 +7,8 @@ template is a sum over the terms they share, so it is a join on terms and a sum;
 ``THRESHOLD`` or above is the unit's licence, and a file's own licence is its best unit's.
 
 A file without a licence of its own inherits from the nearest ancestor directory that has a licence
-file with one: every directory is joined with its ancestors by path and the deepest match wins.
+file: every directory is joined with its ancestors by path and the deepest match wins.  If no licence file there
+is recognised, the licence is ``UNKNOWN``: what holds further up need not hold below it.
 
 To reach the threshold a unit has to share one of a template's needed terms: the rest, taken from the
 most frequent terms on, is too light even if all of it matched.  Only units that share such a term
@@ -15,7 +16,9 @@ are weighed; none above the threshold is lost.
 
 Defined results: null and empty texts have no licence of their own; a null path has no directory and
 inherits nothing; equal cosines go to the first template; several licence files in one directory:
-the best cosine, then a fixed choice by path; repeated rows are judged each, by the same rules.
+the best cosine, then a fixed choice by path; an empty licence file is one that is not recognised; repeated
+rows are judged each, by the same rules; an empty table has no rows; the caller's columns travel in the struct
+``row``, whatever their names.
 """
 from __future__ import annotations
 
@@ -32,6 +35,8 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 SALTS = 8
 #: not a licence: holds where nothing else does, as licence texts often say it too
 RESERVED = "all-rights-reserved"
+#: the licence of a directory whose licence files say none that is known
+UNKNOWN = "unknown"
 
 #: Licences and the sentences that state them.
 TEMPLATES = [
@@ -187,7 +192,8 @@ def own_licences(scratch: Scratch, files: DataFrame, templates: list[tuple[str,
 
 def inherited(scratch: Scratch, files: DataFrame) -> DataFrame:
     """(directory, licence, from_directory) of directories with a licence file in themselves or above."""
-    named = files.where(file_name(F.col("path")).rlike(LICENCE_FILE) & F.col("own").isNotNull())
+    named = files.where(file_name(F.col("path")).rlike(LICENCE_FILE)).withColumns(
+        {"own": F.coalesce("own", F.lit(UNKNOWN)), "score": F.coalesce("score", F.lit(-1.0))})
     stated = scratch.settle(named.groupBy(directory(F.col("path")).alias("at")).agg(
         F.max_by("own", F.struct("score", F.expr("-xxhash64(path)"))).alias("licence")), "stated")
     all_dirs = files.select(directory(F.col("path")).alias("dir")).where(F.col("dir").isNotNull()).distinct()

@@ -24,13 +24,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus has no paths, so documents are laid out as source/lang/block/doc_id.txt, with every
-    twentieth as the LICENSE file of its block and every five hundredth as that of its source."""
-    id, folder = F.col("doc_id"), F.concat_ws("/", "source", "lang")
-    block = F.concat(F.lit("b"), F.floor(F.coalesce(id, F.lit(0)) / 100).cast("string"))
-    path = (F.when(id % 500 == 0, F.concat_ws("/", "source", F.concat(F.lit("LICENSE.d"), id)))
-            .when(id % 20 == 0, F.concat_ws("/", folder, block, F.concat(F.lit("LICENSE.d"), id)))
-            .otherwise(F.concat_ws("/", folder, block, F.concat(id, F.lit(".txt")))))
+    """The corpus has no paths, so documents are laid out as thousand/hundred/doc_id.txt; those that speak of a
+    licence are the licence files of their hundred, every tenth of these that of its thousand."""
+    id = F.coalesce(F.col("doc_id"), F.lit(0))
+    folder = F.concat(F.lit("t"), F.floor(id / 1000).cast("string"))
+    block = F.concat_ws("/", folder, F.concat(F.lit("h"), F.floor(id / 100).cast("string")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    speaks = F.coalesce(F.lower("text").rlike("licen[cs]e"), F.lit(False))
+    path = (F.when(speaks & (F.pmod(id, F.lit(10)) == 0), F.concat(folder, F.lit("/LICENSE.d"), name))
+            .when(speaks, F.concat(block, F.lit("/LICENSE.d"), name))
+            .otherwise(F.concat(block, F.lit("/"), name, F.lit(".txt"))))
     files = documents(spark, sf_dir).select("doc_id", path.alias("path"), "text")
     return license_scan.scan(files).select("row.doc_id", "row.path", "own", "score", "licence", "from_directory")
 

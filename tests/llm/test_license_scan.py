@@ -66,9 +66,11 @@ def test_own_and_inherited(spark):
             assert got[f]["score"] == pytest.approx(want[f][1], abs=2e-9)
     licence = {p: (r["licence"], r["from_directory"]) for (p, _), r in got.items()}
     assert licence["LICENSE"] == ("MIT", None)
-    assert licence["a/x.py"] == ("Apache-2.0", "a") and licence["a/b/c/z.py"] == ("Apache-2.0", "a")
+    assert licence["a/x.py"] == ("Apache-2.0", "a")
+    # a licence file that is not recognised ends what its directory would inherit
+    assert licence["a/b/c/z.py"] == ("unknown", "a/b")
     assert licence["a/b/c/y.py"] == ("CC-BY-NC-4.0", None)
-    assert licence["a/b/COPYING"] == ("Apache-2.0", "a")
+    assert licence["a/b/COPYING"] == ("unknown", "a/b")
     assert licence["ab/w.py"] == ("MIT", "") and licence["top.py"] == ("MIT", "")
     assert licence[None] == ("all-rights-reserved", None)
     assert licence["q/r/s/t.py"] == ("GPL-3.0", "q/r")
@@ -94,3 +96,15 @@ def test_headers_texts_and_tags(spark):
     got = {r["row"]["path"]: r["own"] for r in ls.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert {p: got[p] for p in files} == {p: licence for p, (_, licence) in files.items()}
     assert not any(v for p, v in got.items() if p not in files)
+
+
+def test_ties_and_several_licence_files(spark):
+    """Equal cosines go to the first template; of two licence files the better one counts, an unknown one last."""
+    twice = [("B", "some words of a kind"), ("A", "some words of a kind"), ("C", "wholly other terms")]
+    files = [("x/LICENSE", "some words of a kind"), ("x/LICENSE.other", "nothing that is known"), ("x/f", "plain"),
+             ("y/COPYING", "wholly other terms and more"), ("y/LICENSE", "wholly other terms"), ("y/z/f", "plain"), ("w/LICENSE", ""), ("w/f", "plain")]
+    files += [(f"p/{i}.txt", f"line {i} is {i % 5}") for i in range(60)]
+    got = {r["row"]["path"]: (r["licence"], r["from_directory"]) for r in ls.scan(
+        spark.createDataFrame(files, "path string, text string"), templates=twice).collect()}
+    assert got["x/LICENSE"] == ("B", None) and got["x/f"] == ("B", "x") and got["x/LICENSE.other"] == ("B", "x")
+    assert got["y/z/f"] == ("C", "y") and got["w/f"] == ("unknown", "w") and got["p/1.txt"] == (None, None)
