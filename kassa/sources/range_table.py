@@ -15,6 +15,8 @@ overwritten Parquet folder.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ class RangeTable:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         names = [f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory()]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{RANGE}="))
+        return sorted(int(n[len(RANGE) + 1:]) for n in names if re.fullmatch(rf"{RANGE}=-?\d+", n))
 
     def _remove(self, i: int) -> None:
         jvm = self.spark.sparkContext._jvm
