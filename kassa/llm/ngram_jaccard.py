@@ -47,7 +47,7 @@ STRETCH, OFTEN, MAX_FREQUENT = 1_000_000, 4, 500_000
 #: rows of one token from which on it is put behind rarer ones
 LARGE = 24
 #: members of one comparison block; the largest bucket whose pairs are joined
-BLOCK, HOT = 256, 32
+BLOCK, HOT = 256, 16
 _MASK = (1 << 64) - 1
 
 
