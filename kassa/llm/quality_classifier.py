@@ -25,6 +25,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kassa.llm.common import give_back_memory
+
 #: most labelled rows that are learned from, most words with a context vector, hashed rows for all others
 SAMPLE, VOCABULARY, BUCKETS = 6000, 40_000, 1 << 15
 #: most bytes of text that are learned from
@@ -211,7 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for b in batches:
             texts += b["t"].tolist()
             y += b["y"].tolist()
-        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, np.array(y, np.int64)))]})
+        model = pickle.dumps(fit(texts, np.array(y, np.int64)))
+        texts.clear()
+        give_back_memory()
+        yield pd.DataFrame({"model": [model]})
 
     learned = sample(docs, labels, key, text, label).coalesce(1).mapInPandas(learn, "model binary").collect()
     return pickle.loads(learned[0]["model"]) if learned else fit([], np.zeros(0, np.int64))
@@ -222,10 +228,12 @@ def scorer(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         rows = m.__dict__.get("_rows") or m.__dict__.setdefault("_rows", _Rows(m.vocabulary))
-        return pd.Series(m.scores(texts.tolist(), rows), dtype="float64")
+        for texts in batches:
+            yield pd.Series(m.scores(texts.tolist(), rows), dtype="float64")
+        give_back_memory()
     return score
 
 
