@@ -75,13 +75,23 @@ def give_back_memory() -> None:
     """In a task: returns freed memory to the system, so that a worker that waits for its next task is small."""
     import ctypes
 
+    import pyarrow
+
     gc.collect()
+    pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps its own counsel
         pass
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces of at most ``rows`` rows, so that what is made of one piece stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kassa.llm.common import Scratch
+from kassa.llm.common import Scratch, give_back_memory, slices
 from kassa.llm.components import components
 
 SHINGLE, PERCENT, ORDERS, SHARE = 5, 75, 3, 16
@@ -216,7 +216,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.nulls(int(often.sum()), pa.string()), pa.array(counts[often], pa.int64()), pa.array(_signed(names[often]))],
             ["row", "n", "node"])
 
-    for batch in batches:
+    for batch in slices(batches):
         sets = token_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
@@ -229,6 +229,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield counted()
+        held = []
+    give_back_memory()
 
 
 def _frequent(counted: DataFrame) -> Frequent:
@@ -256,7 +258,7 @@ def _prefix_rows(rows: DataFrame, frequent: Frequent) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
-        for b in batches:
+        for b in slices(batches):
             tokens, nodes, sizes = [np.empty(0, np.uint64)], [], []
             for s in token_sets(b.column("text")):
                 if len(s):
@@ -269,6 +271,7 @@ def _prefix_rows(rows: DataFrame, frequent: Frequent) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "token": _signed(np.concatenate(tokens)), "node": np.repeat(np.array(nodes, np.int64), times),
                 "size": n * 256 + place * 256 // np.maximum(n, 1)})
+        give_back_memory()
     return rows.select("text").mapInArrow(emit, "token long, node long, size long")
 
 
@@ -381,7 +384,7 @@ def _cells(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa
                 found.append((held[i][0], held[j][0]))
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    for batch in batches:
+    for batch in slices(batches):
         rows = zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "root")))
         for (c, node, root), tokens in zip(rows, token_sets(batch.column("text"))):
             if c != cell:
@@ -391,6 +394,8 @@ def _cells(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[pa
             held.append((node, root, tokens))
     if len(held) > 1:
         yield links()
+    held = []
+    give_back_memory()
 
 
 def _linked_in_cells(scratch: Scratch, hot: DataFrame, texts: DataFrame, frequent: Frequent) -> DataFrame:
@@ -435,7 +440,7 @@ def _other_orders(texts: DataFrame, frequent) -> DataFrame:
     names = [f"p{k}" for k in range(1, ORDERS)]
 
     def emit(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = token_sets(b.column("text"))
             counts = [shared.value.count(s) for s in sets]
             yield pa.RecordBatch.from_pydict({"node": b.column("node"), "n": pa.array([len(s) for s in sets], pa.int32())} | {
@@ -458,7 +463,7 @@ def _in_all_orders(pairs: DataFrame, orders: DataFrame) -> DataFrame:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, block), each block's head before its members: the linked pairs."""
     at, head = None, np.empty(0, np.uint64)
-    for batch in batches:
+    for batch in slices(batches):
         hits_a, hits_b = [], []
         places = zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b")))
         for (a, block, b), tokens in zip(places, token_sets(batch.column("text"))):
