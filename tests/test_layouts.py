@@ -75,3 +75,33 @@ def test_features_with_sparse_labels(spark):
     a = columns.select("transaction_id", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v"))
     b = sparse.select("transaction_id", vector_to_array("label_vector").alias("v"))
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_many_labels_are_read_back_without_their_zeros(spark):
+    """A dense copy of each of these vectors would be 2^31 - 1 numbers long."""
+    df = spark.range(200).select("id", (F.col("id") - 100).cast("double").alias("x"), F.lit(2).alias("_index"))
+    size = (1 << 31) - 2
+    vector = df.withColumn("label_vector", L._vector(L.one_hot_entry(size, "_index"), size))
+    out = L.assemble(vector, ["x"], ["label_vector"])
+    got = out.select("id", L.vector_entries("features").alias("e")).collect()
+    assert out.schema["label_vector"].metadata == {"ml_attr": {"num_attrs": size}}
+    for r in got:
+        own = [(0, r["id"] - 100.0)] if r["id"] != 100 else []
+        assert r["e"]["size"] == size + 1 and [tuple(e) for e in r["e"]["entries"]] == own + [(3, 1.0)]
+
+
+def test_label_vectors_carry_no_attribute_per_label(spark):
+    df = labelled(spark)
+    out = L.assemble(L.one_hot_vector(df, L.label_dictionary(df)).withColumn("x", F.lit(1.0)), ["x"], ["label_vector"])
+    assert all(len(str(out.schema[c].metadata)) < 100 for c in ("label_vector", "features"))
+
+
+def test_entries_of_dense_vectors_and_errors(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([0.0, 3.0]), 1.0), (Vectors.dense([]), 2.0)], ["v", "x"])
+    got = [(r[0]["size"], [tuple(e) for e in r[0]["entries"]]) for r in df.select(L.vector_entries("v")).collect()]
+    assert got == [(2, [(1, 3.0)]), (0, [])]
+    whole = [r[0].toArray().tolist() for r in L.assemble(df, ["x"], ["v"]).select("features").collect()]
+    assert whole == [[1.0, 0.0, 3.0], [2.0]]
+    with pytest.raises(Exception, match="not a number"):
+        L.assemble(df.withColumn("x", F.lit(float("nan"))), ["x"], ["v"]).collect()
