@@ -171,8 +171,8 @@ FROM a LEFT JOIN u ON a.transaction_id = u.transaction_id
 WHERE a.transaction_id NOT IN ({LATE_DELETES})"""
 
 
-def stored(t, name):
-    return RangeTable(t.spark, scratch_path(t.spark, name), width=WIDTH).create(t.ledger())
+def stored(t, name, width=WIDTH):
+    return RangeTable(t.spark, scratch_path(t.spark, name), width=width).create(t.ledger())
 
 
 def late_changes(t):
@@ -182,8 +182,8 @@ def late_changes(t):
     return updates, ids.where(F.col("transaction_id") % 4 == 0)
 
 
-def committed(t, name):
-    table = stored(t, name)
+def committed(t, name, width=WIDTH):
+    table = stored(t, name, width)
     before = materialise(table.files(), "files")
     accepted, _ = U.split_by_owner(append_batch(t), t.users())
     table.append(accepted)
@@ -196,7 +196,8 @@ def committed(t, name):
 @register("U2_U4_committed_table", LEDGER_SPEC, AFTER_ALL)
 def q_commit(t):
     """The stored table after an append, an update and a delete batch."""
-    return committed(t, "committed")[0].read()
+    width = RangeTable.width_for(t.raw("orders").select("o_orderkey"), WIDTH)
+    return committed(t, "committed", width)[0].read()
 
 
 @register("U2_U4_untouched_files", "id_range long, n_rows long, unchanged boolean", f"""

@@ -36,6 +36,14 @@ class RangeTable:
                              f"parquet.bloom.filter.expected.ndv#{c}": str(min(width, 100_000))}
 
     # -- layout -----------------------------------------------------------------------
+    @staticmethod
+    def width_for(ids: DataFrame, least: int, ranges: int = 128, most: int = 1 << 20) -> int:
+        """A width for a table with these ids (one column): about ``ranges`` partitions, so that their number does
+        not grow with the table until they hold ``most`` ids each, but no width below ``least``."""
+        c = F.col(ids.columns[0])
+        low, high = ids.agg(F.min(c), F.max(c)).first()
+        return least if low is None else max(least, min(most, -(-(high - low + 1) // ranges)))
+
     def _range(self, c) -> F.Column:
         return F.floor(c / F.lit(self.width)).cast("long")
 

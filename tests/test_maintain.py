@@ -102,3 +102,12 @@ def test_empty_batches_change_nothing(spark, tmp_path):
     t = stored(spark, tmp_path / "t", 100)
     none = spark.createDataFrame([], "seq long, transaction_id long, description string, amount double, category string")
     assert t.update(none).count() == 0 and t.delete(none.select("transaction_id")).count() == 0 and t.read().count() == 100
+
+
+def test_number_of_ranges_does_not_grow_with_the_table(spark):
+    def width(n, step=1):
+        return RangeTable.width_for(spark.range(0, n * step, step).select("id"), 2048)
+    assert width(10) == 2048 and width(0) == 2048
+    for n in (300_000, 3_000_000, 30_000_000):
+        assert 2048 < width(n) and n / width(n) <= 128
+    assert width(1000, 10**9) == 1 << 20
