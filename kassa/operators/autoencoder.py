@@ -3,9 +3,10 @@ Adam, learning rate 0.001) trained synchronously on Spark: one Adam step per min
 
 A row's mini-batch and its block in it are hashes of its key.  A mini-batch has ``batch_rows`` rows, or more on
 large data: an epoch has at most ``STEPS`` steps, so its number of jobs does not grow.  A block has
-about ``BLOCK_ROWS`` rows, sorted by key, packed as one array.  A step is one job: the weights (a few thousand
-numbers) are broadcast, every block yields its gradient sum, blocks are summed in the order of their
-numbers, in two levels (``FAN_IN`` sums reach the driver at most), and the driver makes the Adam step.
+about ``BLOCK_ROWS`` rows, sorted by key, packed as one array.  A step is one job with no more tasks than the
+mini-batch has blocks: the weights (a few thousand numbers) go out with it, every block yields its gradient sum,
+blocks are summed in the order of their numbers, in two levels (``FAN_IN`` sums reach the driver at most), and
+the driver makes the Adam step.
 
 Neither the number of partitions nor that of cores changes what is summed with what, or in which order, so
 the weights are the same on every cluster, to the last bit.  Packed blocks are cached and come from a
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kassa.operators.anomaly import Scaler, exact_quantile, mean_squared
-from kassa.session import materialise
+from kassa.session import scratch_path
 
 
 def layer_sizes(d: int, k: int | None = None) -> list[int]:
@@ -98,7 +99,7 @@ VALIDATION = -1
 
 def _packed(df: DataFrame, scaler: Scaler, key: str, cut: float, steps: int, blocks: int, seed: int) -> DataFrame:
     """(batch, block, z): the scaled rows of a block as one array, in the order of their keys; the validation
-    rows are batch ``VALIDATION``."""
+    rows are batch ``VALIDATION``.  A folder per batch, so that a batch is read without the others."""
     draw = F.xxhash64(F.col(key), F.lit(seed))
     batch = F.when(F.col(key) > F.lit(cut), VALIDATION).otherwise(F.pmod(draw, F.lit(steps))).cast("int")
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(blocks)).cast("int")
@@ -122,7 +123,10 @@ def _packed(df: DataFrame, scaler: Scaler, key: str, cut: float, steps: int, blo
         if held:
             yield packed()
 
-    return materialise(rows.select("batch", "block", "z").mapInPandas(pack, "batch int, block int, z binary"), "packed")
+    path = scratch_path(df.sparkSession, "packed")
+    out = rows.select("batch", "block", "z").mapInPandas(pack, "batch int, block int, z binary")
+    out.write.partitionBy("batch").parquet(path)
+    return df.sparkSession.read.schema("block int, z binary, batch int").parquet(path)
 
 
 class _Batch:
@@ -131,7 +135,8 @@ class _Batch:
     def __init__(self, packed: DataFrame, batch: int, blocks: int, d: int):
         # gradients of FAN_IN groups of blocks; with as few blocks every group is one
         self.blocks, self.group = blocks, -(-blocks // FAN_IN)
-        rows = packed.where(F.col("batch") == batch).select("block", "z").rdd
+        # a step is a job: tasks without a block would be most of its time
+        rows = packed.where(F.col("batch") == batch).select("block", "z").coalesce(blocks).rdd
         self.rdd = rows.map(lambda r: (r["block"], np.frombuffer(r["z"]).reshape(-1, d)))
         self.rdd = self.rdd.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -156,7 +161,6 @@ def _total(values):
 def fit_autoencoder(df: DataFrame, scaler: Scaler, key: str = "row_id", k: int | None = None, epochs: int = 100,
                     lr: float = 0.001, batch_rows: int = 64, patience: int = 10, validation: float = 0.2,
                     seed: int = 42) -> AutoencoderModel:
-    sc = df.sparkSession.sparkContext
     d = len(scaler.columns)
     sizes = layer_sizes(d, k)
     cut = exact_quantile(df, key, 1.0 - validation)
@@ -174,14 +178,11 @@ def fit_autoencoder(df: DataFrame, scaler: Scaler, key: str = "row_id", k: int |
         for epoch in range(1, epochs + 1):
             tr_sse = tr_n = 0.0
             for i in draw.permutation(steps):
-                shared = sc.broadcast(w)
-
-                def gradient(x, shared=shared):
-                    sse, grads = grad_sums(x, unflatten(shared.value, sizes))
+                def gradient(x, weights=w):
+                    sse, grads = grad_sums(x, unflatten(weights, sizes))
                     return [flatten(grads), sse, len(x)]
 
                 total = batches[i].sums(gradient)
-                shared.unpersist()
                 if total is None:
                     continue
                 g, sse, rows = total

@@ -114,6 +114,24 @@ def test_steps_are_those_of_the_whole_batches(spark):
     assert np.allclose(got.weights, w, rtol=0, atol=1e-9)
 
 
+def test_a_step_has_no_more_tasks_than_blocks(spark, monkeypatch):
+    df, cols = _plane(spark, 300)
+    scaler, seen = A.fit_scaler(df, cols), []
+    made = AE._Batch.__init__
+
+    def look(self, packed, batch, blocks, d):
+        made(self, packed, batch, blocks, d)
+        seen.append((self.rdd.getNumPartitions(), blocks))
+
+    monkeypatch.setattr(AE._Batch, "__init__", look)
+    AE.fit_autoencoder(df.repartition(8), scaler, epochs=1, batch_rows=60)
+    assert len(seen) == 5 and all(tasks <= blocks == 1 for tasks, blocks in seen)
+    seen.clear()
+    monkeypatch.setattr(AE, "BLOCK_ROWS", 16)
+    AE.fit_autoencoder(df.repartition(8), scaler, epochs=1, batch_rows=60)
+    assert all(tasks <= blocks and blocks > 1 for tasks, blocks in seen)
+
+
 def _jobs(spark, run):
     """Spark jobs that ``run`` starts (without adaptive execution, which makes a job of every stage)."""
     import uuid
