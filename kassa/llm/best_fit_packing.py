@@ -36,6 +36,8 @@ from kassa.llm.common import Scratch
 CAPACITY, END_ID = 4096, 1
 #: entries remembered per worker, and bytes of text whose new words are tokenised together
 WORDS, TOGETHER = 600_000, 1 << 20
+#: what a round's tables say; a piece without a sequence is left for the next round
+PLACED = "uid long, seq long, round int, slot int, size long"
 
 
 #: a full stop or comma between a letter and a blank is a part of its own
@@ -182,7 +184,7 @@ def _slots(pieces: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int,
     return out
 
 
-def _seeds(scratch: Scratch, left: DataFrame, pieces: dict[int, int], wanted: int, buckets: int) -> tuple[DataFrame, dict[int, int]]:
+def _seeds(left: DataFrame, pieces: dict[int, int], wanted: int, buckets: int) -> tuple[DataFrame, dict[int, int]]:
     """The ``wanted`` largest of ``left`` (uid, size), and their counts by size."""
     taken, part = {}, None
     for size in sorted(pieces, reverse=True):
@@ -194,7 +196,7 @@ def _seeds(scratch: Scratch, left: DataFrame, pieces: dict[int, int], wanted: in
     if part is not None:
         tied = _ranked(left.where(F.col("size") == part).withColumn("slot", F.lit(0)), ["size"], buckets)
         out = left.where(F.col("size") > part).unionByName(tied.where(F.col("rank") <= taken[part]).select("uid", "size"))
-    return scratch.settle(out, "seeds"), taken
+    return out, taken
 
 
 def _match(left: DataFrame, gaps: DataFrame, buckets: int) -> DataFrame:
@@ -220,20 +222,24 @@ def _match(left: DataFrame, gaps: DataFrame, buckets: int) -> DataFrame:
 def place(scratch: Scratch, pieces: DataFrame) -> DataFrame:
     """(uid, sequence_id, offset) for pieces (uid, size)."""
     buckets = max(8, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = [pieces.where(F.col("size") == CAPACITY).select(
-        "uid", F.col("uid").alias("seq"), F.lit(0).alias("round"), F.lit(0).alias("slot"), "size")]
+    full = pieces.where(F.col("size") == CAPACITY).select(
+        "uid", F.col("uid").alias("seq"), F.lit(0).alias("round"), F.lit(0).alias("slot"), "size")
+    placed = []
     left, bins, rounds = pieces.where(F.col("size") < CAPACITY).select("uid", "size"), None, 0
     gap = F.lit(CAPACITY) - F.col("used")
     while True:
         rounds += 1
+        scratch.release()
         sizes = _counts(left, F.col("size"))
         if not sizes:
             break
         room = {} if bins is None else _counts(bins.where(F.col("used") < CAPACITY), gap)
         wanted = _wanted(sizes, room)
         if wanted > 0:
-            seeds, taken = _seeds(scratch, left, sizes, wanted, buckets)
-            placed.append(seeds.select("uid", F.col("uid").alias("seq"), F.lit(rounds).alias("round"), F.lit(0).alias("slot"), "size"))
+            seeds, taken = _seeds(left, sizes, wanted, buckets)
+            seeds = scratch.settle(seeds.select(
+                "uid", F.col("uid").alias("seq"), F.lit(rounds).alias("round"), F.lit(0).alias("slot"), "size"), "seeds")
+            placed.append(seeds._kassa_path)
             opened = seeds.select(F.col("uid").alias("seq"), F.col("size").alias("used"))
             bins = opened if bins is None else bins.unionByName(opened)
             left = scratch.settle(left.join(seeds.select(F.col("uid").alias("s")), F.col("uid") == F.col("s"), "left_anti"), "left")
@@ -249,16 +255,17 @@ def place(scratch: Scratch, pieces: DataFrame) -> DataFrame:
         gaps = bins.withColumn("free", gap.cast("int")).join(F.broadcast(offered), F.col("free") == F.col("gap")).select(
             F.col("seq").alias("uid"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"),
             F.col("slot_size").alias("size"))
-        met = scratch.settle(_match(left, gaps, buckets), "met")
+        met = scratch.settle(_match(left, gaps, buckets).withColumn("round", F.lit(rounds)), "met")
+        placed.append(met._kassa_path)
         hits = met.where(F.col("seq").isNotNull())
-        placed.append(hits.select("uid", "seq", F.lit(rounds).alias("round"), "slot", "size"))
         grown = hits.groupBy(F.col("seq").alias("g")).agg(F.sum("size").alias("more"))
         bins = scratch.settle(bins.join(grown, F.col("seq") == F.col("g"), "left").select(
             "seq", (F.col("used") + F.coalesce("more", F.lit(0))).alias("used")), "bins")
         left = met.where(F.col("seq").isNull()).select("uid", "size")
-    everything = placed[0]
-    for p in placed[1:]:
-        everything = everything.unionByName(p)
+    everything = full
+    if placed:  # the rounds' tables in one scan: a union's plan would grow with the rounds
+        rest = scratch.spark.read.schema(PLACED).parquet(*placed)
+        everything = full.unionByName(rest.where(F.col("seq").isNotNull()))
     # at most CAPACITY pieces share a sequence
     inside = Window.partitionBy("seq").orderBy("round", "slot", "uid").rowsBetween(Window.unboundedPreceding, -1)
     return everything.select("uid", F.col("seq").alias("sequence_id"),

@@ -61,6 +61,16 @@ def test_tiny_pieces_fill_open_gaps_before_new_sequences(spark):
     assert placed(spark, sizes) <= first_fit_decreasing(sizes) + 2
 
 
+def test_rounds_are_read_in_one_scan(spark):
+    draw = random.Random(6)
+    sizes = [min(4096, int(draw.lognormvariate(6.4, 0.9)) + 1) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "uid long, size long")
+    scratch = Scratch(spark, "t")
+    out = packing.place(scratch, df)
+    assert scratch._n > 3  # tables of more than one round
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
 def test_ids_equal_library(spark):
     library = Tokenizer.from_file(PATH)
     draw = random.Random(2)
