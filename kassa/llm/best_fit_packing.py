@@ -22,26 +22,33 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kassa.llm.common import Scratch
 
 CAPACITY, END_ID = 4096, 1
 #: entries remembered per worker, and bytes of text whose new words are tokenised together
-WORDS, TOGETHER = 600_000, 1 << 20
+WORDS, TOGETHER = 900_000, 8 << 20
 #: what a round's tables say; a piece without a sequence is left for the next round
 PLACED = "uid long, seq long, round int, slot int, size long"
 
 
-#: a full stop or comma between a letter and a blank is a part of its own
-_EDGE = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r]|\Z)")
+#: ASCII characters other than letters, digits and blanks
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _all_letters(word: bytes) -> bool:
+    """Whether a word is a run of letters, and stays one in lower case."""
+    if word.isascii():
+        return word.isalpha()
+    word = word.decode("utf-8", "replace")
+    return word.isalpha() and word.lower().isalpha()
 
 
 class WordTokenizer:
@@ -49,6 +56,10 @@ class WordTokenizer:
 
     For tokenizers that drop white space, never join across it, lower-case A-Z, split a run of letters
     from other characters, and mark the last token of each run with ``</w>``.
+
+    Arrow splits texts and tells their different words; ids are looked up once per different word and laid
+    out by place.  Remembered words are in two halves: a full one becomes the older, and what is still met in
+    the older moves on, so frequent words are not learned again.
     """
 
     def __init__(self, path: str):
@@ -56,15 +67,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Remembers the ids of words not known yet."""
-        letters = [w for w in words if w.decode("utf-8", "replace").isalpha()]
-        other = list(words.difference(letters))
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of different words, by the library."""
+        letters = [w for w in words if _all_letters(w)]
+        out = {}
         if letters:
             # one text of all of them: each is one run of letters and ends with a marked token
             text = b" ".join(letters).decode("utf-8", "replace")
@@ -72,33 +84,55 @@ class WordTokenizer:
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) == len(letters):
                 raw = ids.tobytes()
-                self.known.update((w, raw[i:j]) for w, i, j in zip(letters, [0, *cuts.tolist()], cuts.tolist()))
+                out.update((w, raw[i:j]) for w, i, j in zip(letters, [0, *cuts.tolist()], cuts.tolist()))
+        other = [w for w in words if w not in out]
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
+        return out
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of different words that are not remembered."""
+        ended, runs, new = [], {}, []
+        for w in words:
+            run = w.rstrip(_SIGNS)
+            if len(run) < len(w) and _all_letters(run):
+                # letters, then other characters: two runs, whose ids do not depend on each other
+                ended.append((w, run, w[len(run):]))
             else:
-                other += letters
-        if other:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
-
-    @staticmethod
-    def words(text: str) -> list[bytes]:
-        """Parts of a text that are tokenised on their own, written alike where their ids are."""
-        raw = text.encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:  # a special token's spelling counts
-            raw = _EDGE.sub(rb" \1", raw.lower())
-        return raw.split()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        parts = [list(map(self.known.get, words)) for words in split]
-        new = {w for words, p in zip(split, parts) if None in p for w, x in zip(words, p) if x is None}
-        if new:
-            if len(self.known) + len(new) > WORDS:
-                self.known.clear()
-            self._learn(new)
-            parts = [[self.known[w] if x is None else x for w, x in zip(words, p)] if None in p else p
-                     for words, p in zip(split, parts)]
-        return [b"".join(p) for p in parts]
+                new.append(w)
+        runs = {r: self.known.get(r) or self.older.get(r) for _, *both in ended for r in both}
+        runs.update(self._encoded(list({*new, *[r for r, ids in runs.items() if not ids]})))
+        runs.update([(w, runs[a] + runs[b]) for w, a, b in ended])
+        return runs
+
+    def _found(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words; those met for the first time are remembered."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = {words[i]: self.older.get(words[i]) for i in missing}
+            new.update(self._learn([w for w, ids in new.items() if ids is None]))
+            for i in missing:
+                found[i] = new[words[i]]
+            if len(self.known) + len(new) > WORDS // 2:
+                self.known, self.older = {}, self.known
+            self.known.update(new)
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin and the last one's end."""
+        # a special token's spelling counts
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        found = self._found(coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        table = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = coded.indices.to_numpy()
+        begin, n = (np.cumsum(length) - length)[word], length[word]
+        end = np.cumsum(n)
+        at = np.repeat(begin - (end - n), n) + np.arange(n.sum())
+        return table[at], np.concatenate([[0], end])[split.offsets.to_numpy()]
 
 
 @functools.lru_cache(maxsize=2)
@@ -106,29 +140,38 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def cut(ids: bytes) -> list[tuple[int, int, int, int]]:
-    """(piece, start, length, crc32) of a document's ids; only longer documents are cut."""
-    step = 4 * CAPACITY
-    return [(k, at // 4, min(len(ids) - at, step) // 4, zlib.crc32(ids[at: at + step]))
-            for k, at in enumerate(range(0, len(ids), step))]
+#: one piece of a document
+PIECE = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "crc": pa.int64()}
+
+
+def cut(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Per document the list of its pieces, END_ID included; only longer documents are cut."""
+    ids = np.insert(ids, bounds[1:], END_ID)
+    size = np.diff(bounds) + 1
+    n = -(-size // CAPACITY)
+    last = np.cumsum(n)
+    piece = np.arange(n.sum()) - np.repeat(last - n, n)
+    start = piece * CAPACITY
+    length = np.minimum(np.repeat(size, n) - start, CAPACITY)
+    begin = np.cumsum(length) - length
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    crc = [zlib.crc32(raw[4 * i: 4 * j]) for i, j in zip(begin.tolist(), (begin + length).tolist())]
+    columns = [pa.array(c, kind) for c, kind in zip((piece, start, length, crc), PIECE.values())]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]), pa.int32()), pa.StructArray.from_arrays(columns, list(PIECE)))
 
 
 def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     """(id, piece, start, length, crc) of every document."""
-    end = np.array([END_ID], "<u4").tobytes()
-    parts = T.StructType([T.StructField("piece", T.IntegerType()), *[
-        T.StructField(c, T.LongType()) for c in ("start", "length", "crc")]])
-
-    @F.pandas_udf(T.ArrayType(parts))
-    def run(texts: pd.Series) -> pd.Series:
-        t, out, held, size = _tokenizer(tokenizer), [], [], 0
-        for i, x in enumerate(texts):
-            held.append(x)
-            size += len(x)
-            if size >= TOGETHER or i == len(texts) - 1:
-                out += [[dict(zip(parts.names, p)) for p in cut(ids + end)] for ids in t.ids(held)]
-                held, size = [], 0
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<struct<piece: int, start: bigint, length: bigint, crc: bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        t, out = _tokenizer(tokenizer), []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)))
+            out.append(cut(*t.ids(texts.slice(at, to - at))))
+            at = to
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct(list(PIECE.items()))))
 
     return docs.select(docs[key].alias("id"), F.explode(run(F.coalesce(docs[text], F.lit("")))).alias("p")).select("id", "p.*")
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -90,3 +91,22 @@ def test_ids_equal_library(spark):
 
 def test_empty_table(spark):
     assert packing.pack(docs_of(spark, ["x"]).limit(0), PATH).count() == 0
+
+
+def test_remembered_words_keep_their_ids(spark, monkeypatch):
+    """The frequent words stay remembered, and halves that fill up change no ids."""
+    library = Tokenizer.from_file(PATH)
+    draw = random.Random(9)
+    common = ["the", "cat,", "sat.", "İ,", "don't,", "é***", "x''", "A&&&", "3$", "Å.", "…,", "a̸=", "<|endoftext|>."]
+    texts = ["", None, "  ", "the"] + [" ".join(draw.choice(common) if draw.random() < 0.5 else "".join(
+        draw.choices("abcdeé", k=9)) + draw.choice(["", ",", "###"]) for _ in range(60)) for _ in range(80)]
+    monkeypatch.setattr(packing, "WORDS", 400)
+    words = packing.WordTokenizer(PATH)
+    learned = []
+    encoded = words._encoded
+    monkeypatch.setattr(words, "_encoded", lambda new: learned.extend(new) or encoded(new))
+    for t in texts:
+        ids, bounds = words.ids(pa.array([t or ""]))
+        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids and bounds.tolist() == [0, len(ids)]
+        assert len(words.known) <= 400
+    assert learned.count(b"the") == 1
