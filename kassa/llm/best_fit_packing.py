@@ -30,11 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kassa.llm.common import Scratch
+from kassa.llm.common import Scratch, give_back_memory
 
 CAPACITY, END_ID = 4096, 1
-#: entries remembered per worker, and bytes of text whose new words are tokenised together
-WORDS, TOGETHER = 900_000, 8 << 20
+#: entries remembered per worker, bytes of text whose words are told apart together, and new words that the
+#: library gets at once (what it makes of a word takes many times the word's size)
+WORDS, TOGETHER, AT_ONCE = 900_000, 2 << 20, 8_000
 #: what a round's tables say; a piece without a sequence is left for the next round
 PLACED = "uid long, seq long, round int, slot int, size long"
 
@@ -75,19 +76,21 @@ class WordTokenizer:
 
     def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of different words, by the library."""
-        letters = [w for w in words if _all_letters(w)]
         out = {}
-        if letters:
-            # one text of all of them: each is one run of letters and ends with a marked token
-            text = b" ".join(letters).decode("utf-8", "replace")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) == len(letters):
-                raw = ids.tobytes()
-                out.update((w, raw[i:j]) for w, i, j in zip(letters, [0, *cuts.tolist()], cuts.tolist()))
-        other = [w for w in words if w not in out]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
+        for at in range(0, len(words), AT_ONCE):
+            some = words[at: at + AT_ONCE]
+            letters = [w for w in some if _all_letters(w)]
+            if letters:
+                # one text of all of them: each is one run of letters and ends with a marked token
+                text = b" ".join(letters).decode("utf-8", "replace")
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) == len(letters):
+                    raw = ids.tobytes()
+                    out.update((w, raw[i:j]) for w, i, j in zip(letters, [0, *cuts.tolist()], cuts.tolist()))
+            other = [w for w in some if w not in out]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found))
         return out
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -171,6 +174,7 @@ def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)))
             out.append(cut(*t.ids(texts.slice(at, to - at))))
             at = to
+        give_back_memory()  # the worker may wait for its next task beside other steps' tasks
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct(list(PIECE.items()))))
 
     return docs.select(docs[key].alias("id"), F.explode(run(F.coalesce(docs[text], F.lit("")))).alias("p")).select("id", "p.*")

@@ -110,3 +110,20 @@ def test_remembered_words_keep_their_ids(spark, monkeypatch):
         assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids and bounds.tolist() == [0, len(ids)]
         assert len(words.known) <= 400
     assert learned.count(b"the") == 1
+
+
+def test_library_gets_few_new_words_at_once(monkeypatch):
+    """What the library makes of words is many times their size, so it never holds those of a whole batch."""
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abcdeé", k=9)) + draw.choice(["", "", "9x"]) for _ in range(300)) for _ in range(90)]
+    library, words, most = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH), []
+
+    class Counting:
+        def encode_batch_fast(self, some, **kw):
+            most.append(sum(len(s.split()) for s in some))
+            return library.encode_batch_fast(some, **kw)
+
+    monkeypatch.setattr(words, "tokenizer", Counting())
+    ids, bounds = words.ids(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert len(bounds) == 91 and 0 < max(most) <= 10_000
